@@ -149,6 +149,17 @@ class Timeline:
         )
         return line.with_rows(df.drop(*[f"_v_{n}" for n in sums], *[f"_c_{n}" for n in sums]))
 
+    def key_total(self, name, x):
+        """Sum of `x` over all rows of the key, on every row."""
+        whole = Window.partitionBy(*self.keys, SLICE)
+        line = self.with_columns({"_v": x})
+        part = {"_before": (F.sum("_v"), F.sum)}
+        line = line.with_rows(line.carry(part))
+        line = line.with_rows(line.carry({"_after": (F.sum("_v"), F.sum)}, forward=False))
+        parts = [F.sum("_v").over(whole), F.col("_before"), F.col("_after")]
+        value = sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0))
+        return line.with_rows(line.rows.withColumn(name, value).drop("_v", "_before", "_after"))
+
     def running_extreme(self, name, x, largest=True):
         f = F.max if largest else F.min
         pick = F.greatest if largest else F.least
