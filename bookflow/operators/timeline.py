@@ -27,28 +27,49 @@ def rows_per_slice(spark):
     return int(spark.conf.get("bookflow.rowsPerSlice", "2000000"))
 
 
-def slice_rows(df, keys, by):
-    """Add `_slice` (ascending with `by`) and `_slices` (null for keys below the limit)."""
+def large_keys(df, keys, by):
+    """Keys above the limit with their value range and number of slices."""
     sizes = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min(by).alias("_lo"), F.max(by).alias("_hi")
     )
     limit = F.greatest(
         F.lit(rows_per_slice(df.sparkSession)).cast("double"), F.col("rows") / MAX_LARGE_KEYS
     )
-    large = (
+    return (
         sizes.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("rows"))))
         .filter(F.col("n") > limit)
-        .select(*keys, "_lo", "_hi", F.ceil(F.col("n") / limit).alias(SLICES))
+        .select(*keys, "_lo", "_hi", F.ceil(F.col("n") / limit).cast("int").alias(SLICES))
     )
+
+
+def slice_rows(df, keys, by):
+    """Add `_slice` (ascending with `by`) and `_slices` (null for keys below the limit)."""
     share = (by - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     number = F.least(F.floor(share * F.col(SLICES)), F.col(SLICES) - 1)
     return (
-        df.join(F.broadcast(large), list(keys), "left")
+        df.join(F.broadcast(large_keys(df, keys, by)), list(keys), "left")
         .withColumn(SLICE, F.coalesce(number, F.lit(0)).cast("int"))
         .drop("_lo", "_hi")
     )
 
 
+def lookup(rows, reference, on, keys=(KEY,), salt_by=(SEQ,)):
+    """Left join of many rows to a reference with at most one row per `on`.
+
+    Rows of a large key are salted by hash and its few reference rows are repeated per salt, so
+    the join never puts one key on one task.
+    """
+    large = F.broadcast(large_keys(rows, keys, F.lit(0.0)).select(*keys, SLICES))
+    parts = F.coalesce(F.col(SLICES), F.lit(1))
+    left = rows.join(large, list(keys), "left").withColumn(
+        SLICE, F.pmod(F.xxhash64(*salt_by), parts).cast("int")
+    )
+    right = reference.join(large, list(keys), "left").withColumn(
+        SLICE, F.explode(F.sequence(F.lit(0), parts - 1))
+    )
+    return left.drop(SLICES).join(right.drop(SLICES), [*on, SLICE], "left").drop(SLICE)
+
+
 @dataclass(frozen=True)
 class Timeline:
     """Rows with slices, the keys, and the ascending order inside a key."""
