@@ -1,14 +1,14 @@
 """Per-sample time order that stays balanced when one sample holds most of the rows.
 
-Rows of a sample that is larger than a limit are cut into time slices, and windows run per
-(sample, slice). What a slice needs from earlier slices - the last row, a running total - is a
-small "carry", aggregated per slice with map-side combine, folded over the slices of the sample
-and joined back by broadcast. Samples below the limit have one slice and need no carry: the
-table of large samples is then empty and adaptive execution drops both joins.
-
-The limit is max(conf `bookflow.rowsPerSlice`, total rows / 100 000). So at most 100 000 samples
-exceed it and all their slices together number at most 200 000: that bounds both broadcasts,
-whatever the size of the data.
+Keys above a row limit are cut into slices of their order column, and windows then run per
+(key, slice). What a slice needs from the slices before it - the last rows, a running total - is a
+small "carry": aggregated per slice, folded over the slices of the key, and joined back by
+broadcast. Without such keys, windows simply run per key and no carry is planned.
+
+Finding the large keys is one narrow aggregation, run when a Timeline is made. The limit is
+max(conf `bookflow.rowsPerSlice`, rows / 100 000): at most 100 000 keys can exceed it and their
+slices number at most 200 000 in all, which bounds what is collected and broadcast whatever the
+size of the data.
 """
 
 from dataclasses import dataclass, replace
@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import KEY, SEQ, TIME
+from .lineage import cut
 
 SLICE = "_slice"
-SLICES = "_slices"
 MAX_LARGE_KEYS = 100_000
+MAX_CARRIES = 2  # each carry reads the rows twice, so chained ones multiply
+
+_known = {}
 
 
 def rows_per_slice(spark):
@@ -28,29 +31,26 @@ def rows_per_slice(spark):
 
 
 def large_keys(df, keys, by):
-    """Keys above the limit with their value range and number of slices."""
+    """Small table (key, lo, hi, slices) of the keys above the limit, or None when there are none."""
+    per_slice = rows_per_slice(df.sparkSession)
     sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(by).alias("_lo"), F.max(by).alias("_hi")
-    )
-    limit = F.greatest(
-        F.lit(rows_per_slice(df.sparkSession)).cast("double"), F.col("rows") / MAX_LARGE_KEYS
+        F.count(F.lit(1)).alias("n"),
+        F.min(by).cast("double").alias("_lo"),
+        F.max(by).cast("double").alias("_hi"),
     )
-    return (
+    limit = F.greatest(F.lit(float(per_slice)), F.col("rows") / MAX_LARGE_KEYS)
+    large = (
         sizes.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("rows"))))
         .filter(F.col("n") > limit)
-        .select(*keys, "_lo", "_hi", F.ceil(F.col("n") / limit).cast("int").alias(SLICES))
-    )
-
-
-def slice_rows(df, keys, by):
-    """Add `_slice` (ascending with `by`) and `_slices` (null for keys below the limit)."""
-    share = (by - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    number = F.least(F.floor(share * F.col(SLICES)), F.col(SLICES) - 1)
-    return (
-        df.join(F.broadcast(large_keys(df, keys, by)), list(keys), "left")
-        .withColumn(SLICE, F.coalesce(number, F.lit(0)).cast("int"))
-        .drop("_lo", "_hi")
+        .select(*keys, "_lo", "_hi", F.ceil(F.col("n") / limit).cast("int").alias("_slices"))
     )
+    # The answer only affects balance, never results, so a remembered one is always safe.
+    memo = (df.sparkSession.sparkContext.applicationId, large.semanticHash())
+    if memo not in _known:
+        _known[memo] = large.collect()
+    if not _known[memo]:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(_known[memo], large.schema))
 
 
 def lookup(rows, reference, on, keys=(KEY,), salt_by=(SEQ,)):
@@ -59,37 +59,59 @@ def lookup(rows, reference, on, keys=(KEY,), salt_by=(SEQ,)):
     Rows of a large key are salted by hash and its few reference rows are repeated per salt, so
     the join never puts one key on one task.
     """
-    large = F.broadcast(large_keys(rows, keys, F.lit(0.0)).select(*keys, SLICES))
-    parts = F.coalesce(F.col(SLICES), F.lit(1))
+    large = large_keys(rows, keys, F.lit(0.0))
+    if large is None:
+        return rows.join(reference, list(on), "left")
+    large = large.select(*keys, "_slices")
+    parts = F.coalesce(F.col("_slices"), F.lit(1))
     left = rows.join(large, list(keys), "left").withColumn(
         SLICE, F.pmod(F.xxhash64(*salt_by), parts).cast("int")
     )
     right = reference.join(large, list(keys), "left").withColumn(
         SLICE, F.explode(F.sequence(F.lit(0), parts - 1))
     )
-    return left.drop(SLICES).join(right.drop(SLICES), [*on, SLICE], "left").drop(SLICE)
+    joined = left.drop("_slices").join(right.drop("_slices"), [*on, SLICE], "left")
+    return joined.drop(SLICE)
 
 
 @dataclass(frozen=True)
 class Timeline:
-    """Rows with slices, the keys, and the ascending order inside a key."""
+    """Rows, the keys they belong to, and their ascending order inside a key."""
 
     rows: DataFrame
     keys: tuple
     order: tuple
+    sliced: bool
+    carries: int = 0
 
     @classmethod
     def of(cls, df, keys=(KEY,), by=None, order=None):
-        """Chronological by default: seconds descending, ties by `event_seq`."""
+        """Chronological by default: seconds descending, ties by `event_seq`.
+
+        Another order needs `by`, a number that never falls along it.
+        """
         by = -F.col(TIME).cast("double") if by is None else by
         order = (by, F.col(SEQ)) if order is None else tuple(order)
-        return cls(slice_rows(df, keys, by), tuple(keys), order)
+        keys = tuple(keys)
+        large = large_keys(df, keys, by)
+        if large is None:
+            return cls(df, keys, order, False)
+        share = (by - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+        number = F.least(F.floor(share * F.col("_slices")), F.col("_slices") - 1)
+        rows = df.join(large, list(keys), "left").withColumn(
+            SLICE, F.coalesce(number, F.when(F.col("_slices").isNotNull(), 0), F.lit(-1)).cast("int")
+        )
+        return cls(rows.drop("_lo", "_hi", "_slices"), keys, order, True)
+
+    @property
+    def parts(self):
+        return (*self.keys, SLICE) if self.sliced else self.keys
 
     def rank(self) -> Column:
         return F.struct(*[o.alias(f"o{i}") for i, o in enumerate(self.order)])
 
     def window(self):
-        return Window.partitionBy(*self.keys, SLICE).orderBy(*self.order)
+        return Window.partitionBy(*self.parts).orderBy(*self.order)
 
     def before(self):
         return self.window().rowsBetween(Window.unboundedPreceding, -1)
@@ -101,7 +123,7 @@ class Timeline:
         return replace(self, rows=df)
 
     def select(self, *cols):
-        return self.with_rows(self.rows.select(*self.keys, SLICE, SLICES, *cols))
+        return self.with_rows(self.rows.select(*self.parts, *cols))
 
     def filter(self, cond):
         return self.with_rows(self.rows.filter(cond))
@@ -109,94 +131,140 @@ class Timeline:
     def with_columns(self, cols):
         return self.with_rows(self.rows.withColumns(cols))
 
+    def drop(self, *names):
+        return self.with_rows(self.rows.drop(*names))
+
+    def _folded(self, per_slice, folds, forward, reach):
+        direction = F.col(SLICE) if forward else -F.col(SLICE)
+        w = Window.partitionBy(*self.keys).orderBy(direction).rowsBetween(reach, -1)
+        folded = per_slice.select(
+            *self.keys, SLICE, *[f(F.col(n)).over(w).alias(n) for n, f in folds.items()]
+        )
+        joined = self.rows.join(F.broadcast(folded), [*self.keys, SLICE], "left")
+        return replace(self, rows=joined, carries=self.carries + 1)
+
+    def settled(self):
+        """The same rows, checkpointed once enough carries have piled up in their plan."""
+        if not self.sliced or self.carries < MAX_CARRIES:
+            return self
+        return replace(self, rows=cut(self.rows), carries=0)
+
     def carry(self, parts, forward=True):
-        """Join per-slice aggregates folded over the earlier (or later) slices of the key.
+        """Columns holding per-slice aggregates folded over the earlier (or later) slices.
 
         parts: {name: (aggregate, fold)}, fold being a window aggregate over slice results.
+        Null where there is no such slice, and everywhere when nothing is sliced.
         """
+        if not self.sliced:
+            kinds = self.rows.groupBy(*self.keys).agg(*[a.alias(n) for n, (a, _) in parts.items()]).schema
+            return self.with_columns({n: F.lit(None).cast(kinds[n].dataType) for n in parts})
         per_slice = (
-            self.rows.filter(F.col(SLICES).isNotNull())
-            .groupBy(*self.keys, SLICE)
+            self.rows.filter(F.col(SLICE) >= 0)
+            .groupBy(*self.parts)
             .agg(*[agg.alias(name) for name, (agg, _) in parts.items()])
         )
-        direction = F.col(SLICE) if forward else -F.col(SLICE)
-        w = (
-            Window.partitionBy(*self.keys)
-            .orderBy(direction)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        folded = per_slice.select(
-            *self.keys, SLICE, *[fold(F.col(name)).over(w).alias(name) for name, (_, fold) in parts.items()]
-        )
-        return self.rows.join(F.broadcast(folded), [*self.keys, SLICE], "left")
+        folds = {n: fold for n, (_, fold) in parts.items()}
+        return self._folded(per_slice, folds, forward, Window.unboundedPreceding)
 
     def previous(self, names, prefix="prev_"):
         """Value of each named column in the previous row of the key; null in the first row."""
-        return self._neighbour(names, prefix, forward=True)
+        return self.shifted(names, {1: prefix})
 
     def following(self, names, prefix="next_"):
-        return self._neighbour(names, prefix, forward=False)
+        return self.shifted(names, {-1: prefix})
+
+    def shifted(self, names, prefixes):
+        """{k: prefix}: columns of the row k places earlier, or later for negative k."""
+        line = self.settled()
+        for forward in (True, False):
+            wanted = {abs(k): p for k, p in prefixes.items() if (k > 0) == forward}
+            if wanted:
+                line = line._shift(list(names), wanted, forward)
+        return line
 
-    def _neighbour(self, names, prefix, forward):
+    def _shift(self, names, wanted, forward):
+        move = F.lag if forward else F.lead
+        if not self.sliced:
+            w = self.window()
+            return self.with_columns({p + n: move(n, k).over(w) for k, p in wanted.items() for n in names})
+        reach = max(wanted)
         packed = F.struct(*names)
-        pick = F.max_by if forward else F.min_by
-        near = (F.lag if forward else F.lead)(packed, 1).over(self.window())
-        df = self.carry({"_c": (pick(packed, self.rank()), lambda c: F.last(c, True))}, forward)
-        df = df.withColumn("_n", F.coalesce(near, F.col("_c")))
-        df = df.withColumns({prefix + n: F.col(f"_n.{n}") for n in names}).drop("_c", "_n")
-        return self.with_rows(df)
+        order = self.order if forward else [o.desc() for o in self.order]
+        w = Window.partitionBy(*self.parts).orderBy(*order)
+        far = Window.partitionBy(*self.parts).orderBy(*([o.desc() for o in self.order] if forward else self.order))
+        # the `reach` rows of a slice nearest to its neighbour, nearest first
+        edge = (
+            self.rows.filter(F.col(SLICE) >= 0)
+            .withColumn("_n", F.row_number().over(far))
+            .filter(F.col("_n") <= reach)
+            .groupBy(*self.parts)
+            .agg(F.array_sort(F.collect_list(F.struct("_n", packed.alias("v")))).alias("_edge"))
+        )
+        near = lambda e: F.collect_list(F.reverse(e))
+        line = self._folded(edge, {"_edge": near}, forward, -reach)
+        df = line.rows
+        df = df.withColumn("_edge", F.reverse(F.flatten("_edge"))).withColumn("_i", F.row_number().over(w))
+        out = {}
+        for k, p in wanted.items():
+            inside = F.lag(packed, k).over(w)
+            index = F.lit(k + 1) - F.col("_i")
+            outside = F.when(index >= 1, F.try_element_at("_edge", index).getField("v"))
+            df = df.withColumn(f"_v{k}", F.coalesce(inside, outside))
+            out |= {p + n: F.col(f"_v{k}").getField(n) for n in names}
+        return line.with_rows(df.withColumns(out).drop("_edge", "_i", *[f"_v{k}" for k in wanted]))
 
     def lags(self, name, n):
         """Columns `<name>_lag1` .. `<name>_lag<n>`."""
-        line, source = self, name
+        line = self.shifted([name], {k: f"_lag{k}_" for k in range(1, n + 1)})
         for k in range(1, n + 1):
-            line = line.previous([source], prefix="_p_")
-            target = f"{name}_lag{k}"
-            line = line.with_rows(line.rows.withColumnRenamed(f"_p_{source}", target))
-            source = target
+            line = line.with_rows(line.rows.withColumnRenamed(f"_lag{k}_{name}", f"{name}_lag{k}"))
         return line
 
     def running_sum(self, sums, inclusive=True):
         """{output name: column}: sum from the first row of the key up to this one."""
         w = self.upto() if inclusive else self.before()
-        line = self.with_columns({f"_v_{n}": x for n, x in sums.items()})
-        df = line.carry({f"_c_{n}": (F.sum(f"_v_{n}"), F.sum) for n in sums})
+        line = self.settled().with_columns({f"_v_{n}": x for n, x in sums.items()})
+        line = line.carry({f"_c_{n}": (F.sum(f"_v_{n}"), F.sum) for n in sums})
         zero = F.lit(0)
-        df = df.withColumns(
+        line = line.with_columns(
             {
                 n: F.coalesce(F.sum(f"_v_{n}").over(w), zero) + F.coalesce(F.col(f"_c_{n}"), zero)
                 for n in sums
             }
         )
-        return line.with_rows(df.drop(*[f"_v_{n}" for n in sums], *[f"_c_{n}" for n in sums]))
+        return line.drop(*[f"_v_{n}" for n in sums], *[f"_c_{n}" for n in sums])
 
     def key_total(self, name, x):
         """Sum of `x` over all rows of the key, on every row."""
-        whole = Window.partitionBy(*self.keys, SLICE)
-        line = self.with_columns({"_v": x})
-        part = {"_before": (F.sum("_v"), F.sum)}
-        line = line.with_rows(line.carry(part))
-        line = line.with_rows(line.carry({"_after": (F.sum("_v"), F.sum)}, forward=False))
+        whole = Window.partitionBy(*self.parts)
+        line = self.settled().with_columns({"_v": x})
+        line = line.carry({"_before": (F.sum("_v"), F.sum)})
+        line = line.carry({"_after": (F.sum("_v"), F.sum)}, forward=False)
         parts = [F.sum("_v").over(whole), F.col("_before"), F.col("_after")]
         value = sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0))
-        return line.with_rows(line.rows.withColumn(name, value).drop("_v", "_before", "_after"))
+        return line.with_columns({name: value}).drop("_v", "_before", "_after")
 
     def running_extreme(self, name, x, largest=True):
         f = F.max if largest else F.min
         pick = F.greatest if largest else F.least
-        line = self.with_columns({"_v": x})
-        df = line.carry({"_c": (f("_v"), f)})
-        df = df.withColumn(name, pick(f("_v").over(self.upto()), F.col("_c"))).drop("_v", "_c")
-        return line.with_rows(df)
-
-    def last_known(self, name, x, strict=True):
-        """Latest non-null `x` of earlier rows (or up to this row when not strict)."""
-        w = self.before() if strict else self.upto()
-        line = self.with_columns({"_v": x})
-        seen = F.max_by("_v", F.when(F.col("_v").isNotNull(), self.rank()))
-        df = line.carry({"_c": (seen, lambda c: F.last(c, True))})
-        df = df.withColumn(name, F.coalesce(F.last("_v", True).over(w), F.col("_c")))
-        return line.with_rows(df.drop("_v", "_c"))
+        line = self.settled().with_columns({"_v": x}).carry({"_c": (f("_v"), f)})
+        return line.with_columns({name: pick(f("_v").over(self.upto()), F.col("_c"))}).drop("_v", "_c")
+
+    def last_known(self, name, x, strict=True, forward=True):
+        """Latest non-null `x` of earlier rows (or up to this row when not strict).
+
+        forward=False looks at later rows instead.
+        """
+        line = self.settled().with_columns({"_v": x})
+        pick = F.max_by if forward else F.min_by
+        seen = pick("_v", F.when(F.col("_v").isNotNull(), self.rank()))
+        line = line.carry({"_c": (seen, lambda c: F.last(c, True))}, forward)
+        if forward:
+            near = F.last("_v", True).over(self.before() if strict else self.upto())
+        else:
+            w = self.window().rowsBetween(1 if strict else 0, Window.unboundedFollowing)
+            near = F.first("_v", True).over(w)
+        return line.with_columns({name: F.coalesce(near, F.col("_c"))}).drop("_v", "_c")
 
     def position(self, name="pos"):
         """1-based chronological row number inside the key."""
@@ -206,5 +274,4 @@ class Timeline:
         """Number of the run of equal `state` values the row belongs to."""
         line = self.with_columns({"_s": state}).previous(["_s"], prefix="_q")
         changed = F.when(F.col("_q_s").isNull() | (F.col("_q_s") != F.col("_s")), 1).otherwise(0)
-        line = line.running_sum({name: changed})
-        return line.with_rows(line.rows.drop("_s", "_q_s"))
+        return line.running_sum({name: changed}).drop("_s", "_q_s")
