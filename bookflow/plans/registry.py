@@ -4,7 +4,7 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
-MODULES = ["flow", "book", "geography"]
+MODULES = ["flow", "book", "geography", "quotes"]
 
 _ENTRIES = {}
 
