@@ -625,7 +625,7 @@ def level_shape(market, spine, dead_zone=0.05):
     ok = X.total([(c(k) > 0).cast("int") for k in ("av1", "bv1", "av2", "bv2")]) == 4
     d1, d2 = c("av1") + c("bv1"), c("av2") + c("bv2")
     share = F.when(ok, d1 / (d1 + d2))
-    i1, i2 = (c("bv1") - c("av1")) / d1, (c("bv2") - c("av2")) / d2
+    i1, i2 = F.try_divide(c("bv1") - c("av1"), d1), F.try_divide(c("bv2") - c("av2"), d2)
     apart = ok & (F.abs(i1) > dead_zone) & (F.abs(i2) > dead_zone) & (i1 * i2 < 0)
     w60, w15 = F.when(ok, held(60)), F.when(ok, held(15))
     mean = lambda x, w: F.when(F.sum(w) > 0, F.sum(x * w) / F.sum(w))
