@@ -62,7 +62,8 @@ def moment_std(x, x2, n):
     return F.sqrt(at_least(x2 / n - m * m, 0.0))
 
 
-def corr_or_zero(x, y, eps=1e-12):
-    c = F.covar_pop(x, y)
-    den = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(den > eps, c / den).otherwise(0.0)
+def correlation(x, y):
+    """Pearson correlation over rows where both are known; null when either is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    u, v = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(u, v), F.stddev_pop(u) * F.stddev_pop(v))

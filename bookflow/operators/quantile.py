@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from .timeline import Timeline
 
 
-def value_ranks(df, value, keys):
-    """Distinct values per key with `n` copies, `upto` rows at or below, `rows` in the key."""
+def _ranked(df, value, keys):
     counts = (
         df.filter(value.isNotNull())
         .groupBy(*keys, value.alias("_x"))
@@ -17,7 +16,12 @@ def value_ranks(df, value, keys):
     )
     # asinh spreads heavy tails, so equal-width slices hold similar numbers of values
     line = Timeline.of(counts, keys=keys, by=F.asinh(F.col("_x")), order=(F.col("_x"),))
-    return line.running_sum({"upto": F.col("n")}).key_total("rows", F.col("n")).rows
+    return line.running_sum({"upto": F.col("n")}).key_total("rows", F.col("n"))
+
+
+def value_ranks(df, value, keys):
+    """Distinct values per key with `n` copies, `upto` rows at or below, `rows` in the key."""
+    return _ranked(df, value, keys).rows
 
 
 def _at_rank(r):
@@ -62,3 +66,26 @@ def quantiles_of(df, values, keys=()):
     if not keys:
         return reduce(lambda a, b: a.crossJoin(b), parts)
     return reduce(lambda a, b: a.join(b, list(keys), "full_outer"), parts)
+
+
+def even_quantiles(df, value, count, name="knots"):
+    """Quantiles at `count` even probabilities 0 .. 1, as one row with one array.
+
+    A distinct value covers a run of knots that follows from its ranks, so the work is one row per
+    distinct value plus one per knot.
+    """
+    line = _ranked(df.withColumn("_all", F.lit(0)), value, ("_all",)).following(["_x"], prefix="next")
+    step = (F.col("rows") - 1) / float(count - 1)
+    lo, hi = F.col("upto") - F.col("n"), F.col("upto")
+    # knot i sits at rank i * step; those with lo <= rank < hi start at this value
+    first = F.when(step > 0, F.ceil(lo / step)).otherwise(0)
+    last = F.when(step > 0, F.least(F.ceil(hi / step) - 1, F.lit(count - 1))).otherwise(count - 1)
+    rows = line.rows.withColumns({"_first": first, "_last": last, "_step": step})
+    rows = rows.filter(F.col("_first") <= F.col("_last"))
+    rows = rows.withColumn("i", F.explode(F.sequence("_first", "_last")))
+    rank = F.col("i") * F.col("_step")
+    inside = F.floor(rank) + 1 < F.col("upto")
+    upper = F.when(inside, F.col("_x")).otherwise(F.coalesce(F.col("next_x"), F.col("_x")))
+    q = F.col("_x") + (upper - F.col("_x")) * (rank - F.floor(rank))
+    pairs = rows.select(F.struct("i", q.alias("q")).alias("v"))
+    return pairs.agg(F.transform(F.array_sort(F.collect_list("v")), lambda v: v["q"]).alias(name))

@@ -458,8 +458,8 @@ def _path_sql():
     steps = [
         MARKET_GRID,
         "p0 AS (SELECT sample_id, step, CASE WHEN mid_rel > -0.9 THEN mid_rel END AS x FROM spine CROSS JOIN (SELECT unnest(range(200))::INT AS step) LEFT JOIN mg USING (sample_id, step))",
-        """p1 AS (SELECT sample_id, step, ln(1 + (coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY sample_id ORDER BY step ROWS UNBOUNDED PRECEDING),
-          first_value(x IGNORE NULLS) OVER (PARTITION BY sample_id ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))) AS lm FROM p0)""",
+        """p1 AS (SELECT sample_id, step, ln(1 + CASE WHEN x1 > 10 THEN 10 ELSE x1 END) AS lm FROM (SELECT sample_id, step, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY sample_id ORDER BY step ROWS UNBOUNDED PRECEDING),
+          first_value(x IGNORE NULLS) OVER (PARTITION BY sample_id ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x1 FROM p0))""",
         """p2 AS (SELECT *, lm - lag(lm) OVER w AS r, max(lm) OVER (PARTITION BY sample_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS hi,
           min(lm) OVER (PARTITION BY sample_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS lo FROM p1 WHERE lm IS NOT NULL WINDOW w AS (PARTITION BY sample_id ORDER BY step))""",
         "p3 AS (SELECT *, " + ", ".join(f"lag(r, {k}) OVER w AS r{k}" for k in (1, 2, 5, 10))
