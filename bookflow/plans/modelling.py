@@ -632,13 +632,13 @@ def regime_blend(spark, path):
     "volatility_expert",
     query(
         ["pr"],
-        "SELECT sample_id, 1000 * CASE WHEN vol > q THEN pred_b ELSE pred_a END AS gated FROM ft, (SELECT quantile_cont(vol, 0.75) AS q FROM ft WHERE month < 40)",
+        "SELECT sample_id, 100000 * CASE WHEN vol > q THEN pred_b ELSE pred_a END AS gated FROM ft, (SELECT quantile_cont(vol, 0.75) AS q FROM ft WHERE month < 40)",
         steps=[FT],
     ),
 )
 def volatility_expert(spark, path):
     f = features(spark, path)
-    return present(blend.high_volatility_expert(f, "vol", f.filter("month < 40"), "pred_a", "pred_b").select("sample_id", (F.col("gated") * 1000).alias("gated")))
+    return present(blend.high_volatility_expert(f, "vol", f.filter("month < 40"), "pred_a", "pred_b").select("sample_id", (F.col("gated") * 100000).alias("gated")))
 
 
 @register(

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
-MODULES = ["flow", "book", "geography", "quotes", "trades", "grids", "evaluation", "modelling"]
+MODULES = ["flow", "book", "geography", "quotes", "trades", "grids", "packs", "evaluation", "modelling"]
 
 _ENTRIES = {}
 
