@@ -281,7 +281,10 @@ def _bucket_table(market, transaction, order, edges, masked):
 
 
 def early_flow(market, transaction, order, spine, masked=False):
-    """30 columns: quote, trade and order pressure in three early buckets."""
+    """30 columns: quote, trade and order pressure in three early buckets.
+
+    The signed amount is in units of the mean mid, and 0 in a bucket without a quote.
+    """
     t = _bucket_table(market, transaction, order, EARLY_EDGES, masked)
     mid = c("mid") / at_least(c("nv"), 1)
     values = {
@@ -290,7 +293,7 @@ def early_flow(market, transaction, order, spine, masked=False):
         "m_imb1": c("imb"),
         "t_signvol": c("tsv"),
         "t_signvol_frac": c("tsv") / at_least(c("tv"), 1e-9),
-        "t_signamt": c("tamt") / at_least(mid, 1e-9),
+        "t_signamt": F.when(c("nv") > 0, c("tamt") / at_least(mid, 1e-9)).otherwise(0.0),
         "t_vol": c("tv"),
         "o_newpress": c("nb") - c("ns"),
         "o_canimb": (c("cs") - c("cb")) / at_least(c("cs") + c("cb"), 1e-9),

@@ -236,7 +236,7 @@ def _early_sql(masked):
     values = {
         "m_micro_dev": MICRO_DEV, "m_spread": "spread", "m_imb1": "imb", "t_signvol": "tsv",
         "t_signvol_frac": "tsv / greatest(ttv, 1e-9)",
-        "t_signamt": "tamt / greatest(smid / greatest(nv, 1), 1e-9)", "t_vol": "ttv", "o_newpress": "nb - ns",
+        "t_signamt": "CASE WHEN nv > 0 THEN tamt / greatest(smid / nv, 1e-9) ELSE 0 END", "t_vol": "ttv", "o_newpress": "nb - ns",
         "o_canimb": "(cs - cb) / greatest(cs + cb, 1e-9)", "o_netplace": "(nb + ns) - (cb + cs)",
     }
     wide = {f"x21_{v[0]}{i}_{v[2:]}": f"max({x}) FILTER (WHERE b = {i})" for i in range(3) for v, x in values.items()}

@@ -352,7 +352,7 @@ def _aligned(w):
     "flow_alignment",
     query(
         ["tx", "od", "spine"],
-        f"SELECT sample_id, {_aligned('60')} AS aligned_pressure_60, {_aligned('20')} AS aligned_pressure_20 FROM o LEFT JOIN sums USING (sample_id)",
+        f"SELECT sample_id, {_aligned('60')} AS aligned_pressure_60, {_aligned('20')} AS aligned_pressure_20 FROM o LEFT JOIN (SELECT sample_id, vb60, vs60, vb20, vs20 FROM sums) USING (sample_id)",
         steps=[trade_sums_sql(["60", "20"]), *order_sums_sql(["60", "20"])],
     ),
 )

@@ -4,6 +4,7 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
+OFFSET = 1.23e-10
 MODULES = ["flow", "book", "geography", "quotes", "trades", "grids", "packs", "evaluation", "modelling"]
 
 _ENTRIES = {}
@@ -28,7 +29,11 @@ def entries():
 
 
 def present(df, keys=("sample_id",), fill=None):
-    """Values as doubles at 6 decimals, keys untouched."""
+    """Values as doubles at 6 decimals, keys untouched.
+
+    The offset moves decimals such as 0.0000005 off the rounding edge, where the last bit of a
+    sum would decide; the check SQL adds the same.
+    """
     out = []
     for c in df.columns:
         if c in keys:
@@ -36,5 +41,5 @@ def present(df, keys=("sample_id",), fill=None):
             continue
         v = F.col(c).cast("double")
         v = v if fill is None else F.coalesce(v, F.lit(float(fill)))
-        out.append((F.round(v, 6) + 0.0).alias(c))
+        out.append((F.round(v + OFFSET, 6) + 0.0).alias(c))
     return df.select(*out)

@@ -50,7 +50,7 @@ def query(streams, body, keys=("sample_id",), fill=False, steps=()):
     skip = ", ".join(keys)
     star = f"CAST(COLUMNS(* EXCLUDE ({skip})) AS DOUBLE)"
     value = f"coalesce({star}, 0)" if fill else star
-    return f"WITH {', '.join(parts)} SELECT {skip}, round({value}, 6) + 0.0 FROM result"
+    return f"WITH {', '.join(parts)} SELECT {skip}, round({value} + 1.23e-10, 6) + 0.0 FROM result"
 
 
 def cols(pairs):
