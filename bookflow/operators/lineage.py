@@ -2,14 +2,24 @@
 
 import tempfile
 
+_own = {}
+
+
+def checkpoint_root(spark):
+    """The folder of `spark.checkpoint.dir`; a private one only where it is unset, in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="bookflow-checkpoint-")
+    return _own[app]
+
 
 def cut(df):
-    """Checkpoint in the folder of `spark.checkpoint.dir`; a private one only where it is unset."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="bookflow-checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint()

@@ -5,7 +5,7 @@ from importlib import import_module
 from pyspark.sql import functions as F
 
 OFFSET = 1.23e-10
-MODULES = ["flow", "book", "geography", "quotes", "trades", "grids", "packs", "evaluation", "modelling"]
+MODULES = ["flow", "book", "geography", "quotes", "trades", "grids", "packs", "evaluation", "modelling", "platform"]
 
 _ENTRIES = {}
 
