@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lazy import Columns
+
 EPS = 1e-12
 
 
@@ -71,18 +73,40 @@ def time_bin(t, width, bins, reverse=False):
 
 # quotes ----------------------------------------------------------------------------------------
 
-ask1, bid1 = col("ask_price_1"), col("bid_price_1")
-ask2, bid2 = col("ask_price_2"), col("bid_price_2")
-askv1, bidv1 = col("ask_volume_1"), col("bid_volume_1")
-askv2, bidv2 = col("ask_volume_2"), col("bid_volume_2")
-mid = (ask1 + bid1) / 2.0
-spread = ask1 - bid1
-has_quote = (ask1 > 0) & (bid1 > 0)
+q = Columns(
+    ask1=lambda: col("ask_price_1"),
+    bid1=lambda: col("bid_price_1"),
+    ask2=lambda: col("ask_price_2"),
+    bid2=lambda: col("bid_price_2"),
+    askv1=lambda: col("ask_volume_1"),
+    bidv1=lambda: col("bid_volume_1"),
+    askv2=lambda: col("ask_volume_2"),
+    bidv2=lambda: col("bid_volume_2"),
+    mid=lambda: (q.ask1 + q.bid1) / 2.0,
+    spread=lambda: q.ask1 - q.bid1,
+    has_quote=lambda: (q.ask1 > 0) & (q.bid1 > 0),
+    # trades and orders
+    price=lambda: col("price"),
+    volume=lambda: col("volume"),
+    is_buy=lambda: F.col("side") == 0,
+    is_sell=lambda: F.col("side") == 1,
+    is_new=lambda: F.col("order_action") == 0,
+    is_cancel=lambda: F.col("order_action") == 1,
+    side_sign=lambda: F.when(q.is_buy, 1.0).when(q.is_sell, -1.0),
+    action_sign=lambda: F.when(q.is_new, 1.0).when(q.is_cancel, -1.0),
+    signed_volume=lambda: q.side_sign * q.volume,
+    signed_amount=lambda: q.signed_volume * q.price,
+)
+
+
+def __getattr__(name):
+    """The columns above are also names of this module."""
+    return getattr(q, name)
 
 
 def robust_quote():
     """Uncrossed two-sided quote with mid >= 0.1 and relative spread within 10 %."""
-    return has_quote & (mid >= 0.1) & (spread >= 0) & (spread / mid <= 0.1)
+    return q.has_quote & (q.mid >= 0.1) & (q.spread >= 0) & (q.spread / q.mid <= 0.1)
 
 
 def imbalance(bid_volume, ask_volume, floor=EPS):
@@ -95,34 +119,25 @@ def smoothed_imbalance(bid_volume, ask_volume):
 
 
 def microprice(floor=EPS):
-    return (ask1 * bidv1 + bid1 * askv1) / at_least(askv1 + bidv1, floor)
+    return (q.ask1 * q.bidv1 + q.bid1 * q.askv1) / at_least(q.askv1 + q.bidv1, floor)
 
 
 def level_gaps():
     """Relative distance between the first and second level, (ask, bid)."""
-    m = at_least(mid, 1e-9)
-    return (ask2 - ask1) / m, (bid1 - bid2) / m
+    m = at_least(q.mid, 1e-9)
+    return (q.ask2 - q.ask1) / m, (q.bid1 - q.bid2) / m
 
 
 def price_volume_slope():
     """(ask slope, bid slope): price step per unit of volume step, null on equal volumes."""
     return (
-        ratio(ask2 - ask1, askv2 - askv1, "nonzero"),
-        ratio(bid2 - bid1, bidv2 - bidv1, "nonzero"),
+        ratio(q.ask2 - q.ask1, q.askv2 - q.askv1, "nonzero"),
+        ratio(q.bid2 - q.bid1, q.bidv2 - q.bidv1, "nonzero"),
     )
 
 
 # trades and orders -----------------------------------------------------------------------------
 
-price, volume = col("price"), col("volume")
-is_buy, is_sell = F.col("side") == 0, F.col("side") == 1
-is_new, is_cancel = F.col("order_action") == 0, F.col("order_action") == 1
-side_sign = F.when(is_buy, 1.0).when(is_sell, -1.0)
-action_sign = F.when(is_new, 1.0).when(is_cancel, -1.0)
-signed_volume = side_sign * volume
-signed_amount = signed_volume * price
-
-
 def seconds():
     return col("seconds_before_predict")
 

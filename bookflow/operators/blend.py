@@ -11,9 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip
-from ..schema import KEY, MONTH
-from .evaluate import cosine, moment_names, moments
+from ..schema import MONTH
 from .preprocess import _with_row, centred, equal_blocks
 from .quantile import exact_quantiles
 

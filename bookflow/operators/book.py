@@ -7,18 +7,24 @@ then turn buckets into columns; both steps combine map-side. A missing trade pri
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..functions.lazy import Columns
 from ..functions.expr import at_least, bucket, ratio, seconds
 from ..functions.stats import moment_std, ols_slope, sum_if
 from ..schema import KEY, SEQ
-from .assemble import derive, on_spine, outer, summarise
+from .assemble import derive, on_spine, summarise
 from .flow import COARSE_EDGES, order_summary, trade_summary
 from .quantile import quantiles_of
 from .timeline import Timeline
 
 c = F.col
-avg_price = X.null_if_nan(X.col("transaction_avgprice"))
-bar_volume = X.col("transaction_volume")
-bar_count = X.col("transaction_count")
+bar = Columns(
+    price=lambda: X.null_if_nan(X.col("transaction_avgprice")),
+    volume=lambda: X.col("transaction_volume"),
+    count=lambda: X.col("transaction_count"),
+    rel_spread=lambda: X.spread / at_least(X.mid, 1e-9),
+    imb1=lambda: X.smoothed_imbalance(X.bidv1, X.askv1),
+    imb2=lambda: X.smoothed_imbalance(X.bidv1 + X.bidv2, X.askv1 + X.askv2),
+)
 
 # Bucket edges and look-back horizons in seconds.
 FINE_EDGES = (30.0, 90.0, 180.0, 300.0, 450.0)
@@ -26,11 +32,6 @@ EARLY_EDGES = (10.0, 30.0)
 LEVEL_EDGES = (10.0, 30.0, 60.0, 300.0)
 HORIZONS = (30, 60, 120, 300)
 
-ONE = F.lit(1)
-mean_spread = X.spread / at_least(X.mid, 1e-9)
-imb1_smooth = X.smoothed_imbalance(X.bidv1, X.askv1)
-imb2_smooth = X.smoothed_imbalance(X.bidv1 + X.bidv2, X.askv1 + X.askv2)
-
 
 def per_bucket(df, b, aggs, values):
     """Aggregate per (sample, bucket), then derive per-bucket values from the aggregates."""
@@ -58,30 +59,30 @@ def market_summary(market, volume_reading="interval"):
     t = seconds()
     now = chronological()
     quote = F.struct(
-        avg_price.alias("ap"), bar_volume.alias("tv"), bar_count.alias("tc"), X.mid.alias("mid"),
-        mean_spread.alias("rs"), imb1_smooth.alias("i1"), imb2_smooth.alias("i2"),
+        bar.price.alias("ap"), bar.volume.alias("tv"), bar.count.alias("tc"), X.mid.alias("mid"),
+        bar.rel_spread.alias("rs"), bar.imb1.alias("i1"), bar.imb2.alias("i2"),
     )
     aggs = {
         "last": F.max_by(quote, now),
-        "first_ap": F.max_by(avg_price, F.struct(t, c(SEQ))),
-        "n": F.count(ONE).cast("double"),
-        "mx_v": F.max(bar_volume),
-        "mx_c": F.max(bar_count),
-        "sum_v": F.sum(bar_volume),
-        "sum_c": F.sum(bar_count),
-        "v_60": sum_if(t <= 60, bar_volume),
-        "v_300": sum_if((t > 60) & (t <= 300), bar_volume),
-        "slope_px": _masked_slope(avg_price, t),
-        "n_px": F.count(avg_price),
-        "s_px": F.sum(avg_price),
-        "s_px2": F.sum(avg_price * avg_price),
+        "first_ap": F.max_by(bar.price, F.struct(t, c(SEQ))),
+        "n": F.count(F.lit(1)).cast("double"),
+        "mx_v": F.max(bar.volume),
+        "mx_c": F.max(bar.count),
+        "sum_v": F.sum(bar.volume),
+        "sum_c": F.sum(bar.count),
+        "v_60": sum_if(t <= 60, bar.volume),
+        "v_300": sum_if((t > 60) & (t <= 300), bar.volume),
+        "slope_px": _masked_slope(bar.price, t),
+        "n_px": F.count(bar.price),
+        "s_px": F.sum(bar.price),
+        "s_px2": F.sum(bar.price * bar.price),
         "slope_mid": ols_slope(X.mid, t),
         "m_mid": F.avg(X.mid),
         "m_mid2": F.avg(X.mid * X.mid),
         "m_spread": F.avg(X.spread),
-        "m_rel": F.avg(mean_spread),
-        "m_i1": F.avg(imb1_smooth),
-        "m_i2": F.avg(imb2_smooth),
+        "m_rel": F.avg(bar.rel_spread),
+        "m_i1": F.avg(bar.imb1),
+        "m_i2": F.avg(bar.imb2),
     }
     at = {h: F.struct(-F.abs(t - h), -t, c(SEQ)) for h in HORIZONS}
     for h in HORIZONS:
@@ -172,19 +173,19 @@ def book_buckets(market, spine, edges=COARSE_EDGES, prefix="b", endpoint_return=
     t = seconds()
     micro = X.microprice(1.0) / at_least(X.mid, 1e-9) - 1
     aggs = {
-        "n": F.count(ONE),
-        "slope": _masked_slope(avg_price, t),
-        "np": F.count(avg_price),
-        "sp": F.sum(avg_price),
-        "sp2": F.sum(avg_price * avg_price),
+        "n": F.count(F.lit(1)),
+        "slope": _masked_slope(bar.price, t),
+        "np": F.count(bar.price),
+        "sp": F.sum(bar.price),
+        "sp2": F.sum(bar.price * bar.price),
         "spread": F.avg(X.spread),
-        "relspread": F.avg(mean_spread),
-        "imb1": F.avg(imb1_smooth),
-        "imb2": F.avg(imb2_smooth),
+        "relspread": F.avg(bar.rel_spread),
+        "imb1": F.avg(bar.imb1),
+        "imb2": F.avg(bar.imb2),
         "micro": F.avg(micro),
-        "maxtv": F.max(bar_volume),
-        "first_p": F.min_by(avg_price, F.when(avg_price.isNotNull(), F.struct(-t, c(SEQ)))),
-        "last_p": F.min_by(avg_price, F.when(avg_price.isNotNull(), F.struct(t, c(SEQ)))),
+        "maxtv": F.max(bar.volume),
+        "first_p": F.min_by(bar.price, F.when(bar.price.isNotNull(), F.struct(-t, c(SEQ)))),
+        "last_p": F.min_by(bar.price, F.when(bar.price.isNotNull(), F.struct(t, c(SEQ)))),
     }
     values = {k: c(k) for k in ("n", "spread", "relspread", "imb1", "imb2", "micro", "maxtv", "slope")}
     values["pstd"] = moment_std(c("sp"), c("sp2"), c("np")) / at_least(F.abs(c("sp") / c("np")), 1e-9)
@@ -202,8 +203,8 @@ def range_buckets(market, spine, edges=COARSE_EDGES):
     """High-low range, volume range and time span per bucket; last gap and span of the sample."""
     t = seconds()
     aggs = {
-        "hi": F.max(avg_price), "lo": F.min(avg_price), "m": F.avg(avg_price),
-        "vhi": F.max(bar_volume), "vlo": F.min(bar_volume), "thi": F.max(t), "tlo": F.min(t),
+        "hi": F.max(bar.price), "lo": F.min(bar.price), "m": F.avg(bar.price),
+        "vhi": F.max(bar.volume), "vlo": F.min(bar.volume), "thi": F.max(t), "tlo": F.min(t),
     }
     values = {
         "hlrange": (c("hi") - c("lo")) / at_least(c("m"), 1e-9),
@@ -244,8 +245,8 @@ def _quote_means(masked):
         return F.when(both_levels, gap / F.when(X.has_quote, m).otherwise(1.0))
 
     return {
-        "n": F.count(ONE),
-        "nv": F.count(keep(ONE)),
+        "n": F.count(F.lit(1)),
+        "nv": F.count(keep(F.lit(1))),
         "micro": F.sum(keep(X.microprice(1e-9))),
         "mid": F.sum(keep(X.mid)),
         "spread": F.avg(keep(X.spread / m)),
@@ -402,31 +403,31 @@ def market_tables(market):
     line = Timeline.of(market).previous(["seconds_before_predict"])
     gap = F.abs(t - X.col("prev_seconds_before_predict"))
     aggs = {
-        "market_row_count": F.count(ONE),
+        "market_row_count": F.count(F.lit(1)),
         "seconds_max": F.max(t),
         "seconds_min": F.min(t),
         "long_gap_count": F.count_if(gap > 4.5),
         "last60_row_count": F.count_if(recent),
-        "transaction_avgprice_std": F.stddev_samp(avg_price),
-        "transaction_avgprice_min": F.min(avg_price),
-        "transaction_avgprice_max": F.max(avg_price),
-        "transaction_avgprice_first_valid": _first(avg_price),
-        "last60_transaction_avgprice_std": F.stddev_samp(F.when(recent, avg_price)),
+        "transaction_avgprice_std": F.stddev_samp(bar.price),
+        "transaction_avgprice_min": F.min(bar.price),
+        "transaction_avgprice_max": F.max(bar.price),
+        "transaction_avgprice_first_valid": _first(bar.price),
+        "last60_transaction_avgprice_std": F.stddev_samp(F.when(recent, bar.price)),
     }
     for p, keep in (("", lambda x: x), ("last60_", lambda x: F.when(recent, x))):
         cond = None if p == "" else recent
         aggs |= {
-            f"{p}transaction_count_sum": F.sum(keep(bar_count)),
-            f"{p}transaction_count_max": F.max(keep(bar_count)),
-            f"{p}has_transaction_ratio": F.avg(keep((bar_count > 0).cast("double"))),
-            f"{p}transaction_volume_sum": F.sum(keep(bar_volume)),
-            f"{p}transaction_volume_max": F.max(keep(bar_volume)),
-            f"{p}transaction_avgprice_mean": F.avg(keep(avg_price)),
-            f"{p}transaction_avgprice_last_valid": _last(avg_price, cond),
+            f"{p}transaction_count_sum": F.sum(keep(bar.count)),
+            f"{p}transaction_count_max": F.max(keep(bar.count)),
+            f"{p}has_transaction_ratio": F.avg(keep((bar.count > 0).cast("double"))),
+            f"{p}transaction_volume_sum": F.sum(keep(bar.volume)),
+            f"{p}transaction_volume_max": F.max(keep(bar.volume)),
+            f"{p}transaction_avgprice_mean": F.avg(keep(bar.price)),
+            f"{p}transaction_avgprice_last_valid": _last(bar.price, cond),
         }
     aggs |= {
-        "transaction_count_mean": F.avg(bar_count),
-        "transaction_volume_mean": F.avg(bar_volume),
+        "transaction_count_mean": F.avg(bar.count),
+        "transaction_volume_mean": F.avg(bar.volume),
     }
     aggs |= _level_aggs(1, recent) | _level_aggs(2, recent)
     out = summarise(line.rows, aggs)

@@ -260,7 +260,7 @@ def stratified_sample(df, group, size, seed=7):
     h = hash_order(c(KEY), seed)
     rows = df.withColumn("_h", h)
     line = Timeline.of(rows, keys=(group,), by=c("_h").cast("double"), order=(c("_h"), c(KEY))).position("_p")
-    return line.filter(c("_p") <= size).drop("_h", "_p", "_slice").rows
+    return line.filter(c("_p") <= size).drop("_h", "_p").finished()
 
 
 def spaced_sample(df, group, size):
@@ -271,7 +271,7 @@ def spaced_sample(df, group, size):
     step = F.when(k > 1, (c("_n") - 1) / (k - 1)).otherwise(1.0)
     first = F.ceil((c("_p") - 1) / step)
     taken = (first < k) & (F.floor(first * step) == c("_p") - 1)
-    return line.filter(taken).drop("_p", "_n", "_slice").rows
+    return line.filter(taken).drop("_p", "_n").finished()
 
 
 def row_sample(df, size, seed=7):

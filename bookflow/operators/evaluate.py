@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip
 from ..schema import KEY, MONTH
 from .joins import strict_align
 from .quantile import exact_quantiles

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions.expr import at_least, bucket, ratio, seconds
-from ..functions.stats import count_if, sum0, sum_if
+from ..functions.stats import count_if, sum_if
 from ..schema import KEY
 from .assemble import derive, on_spine, summarise
 

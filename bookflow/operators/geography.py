@@ -7,6 +7,7 @@ falls back to the mean mid of the sample, and a sample without quotes has distan
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..functions.lazy import Columns
 from ..functions.expr import at_least, bucket, seconds
 from ..functions.stats import sum_if
 from ..schema import KEY
@@ -23,9 +24,11 @@ NEAR = 5e-4
 
 BUCKETS = len(COARSE_EDGES) + 1
 ORDER_CLASSES = ("nb", "ns", "cb", "cs")
-order_class = F.when(X.is_new, 0).otherwise(2) + F.when(X.is_buy, 0).otherwise(1)
-action_class = F.when(X.is_new, 0).otherwise(1)
-side_class = F.when(X.is_buy, 0).otherwise(1)
+code = Columns(
+    order=lambda: F.when(X.is_new, 0).otherwise(2) + F.when(X.is_buy, 0).otherwise(1),
+    action=lambda: F.when(X.is_new, 0).otherwise(1),
+    side=lambda: F.when(X.is_buy, 0).otherwise(1),
+)
 
 
 def mid_reference(market, edges=COARSE_EDGES):
@@ -66,7 +69,7 @@ def with_distance(events, market, *references):
     return rows.withColumn("_d", F.coalesce(d, F.lit(0.0)))
 
 
-def _by_class(rows, classes, code, values):
+def _by_class(rows, classes, number, values):
     """Volume-weighted distance values per (bucket, class) as columns."""
     v, d = X.volume, c("_d")
     aggs = {"w": F.sum(v), "wd": F.sum(v * d), "wa": F.sum(v * F.abs(d)), "wq": F.sum(v * d * d)}
@@ -75,7 +78,7 @@ def _by_class(rows, classes, code, values):
         "absdist": c("wa") / c("w"),
         "rmsdist": F.sqrt(c("wq") / c("w")),
     }
-    keyed = rows.withColumn("_b", c("_b") * len(classes) + code)
+    keyed = rows.withColumn("_b", c("_b") * len(classes) + number)
     t = derive(summarise(keyed, aggs, (KEY, "_b")), {k: F.when(c("w") > 0, forms[k]) for k in values}, (KEY, "_b"))
     codes = range(BUCKETS * len(classes))
     return t, codes
@@ -88,22 +91,22 @@ def _named(t, codes, classes, prefix):
 
 def order_geography(order, market, spine):
     """32 columns: signed and absolute distance per (bucket, new/cancel x side)."""
-    t, codes = _by_class(with_distance(order, market), ORDER_CLASSES, order_class, ("dist", "absdist"))
+    t, codes = _by_class(with_distance(order, market), ORDER_CLASSES, code.order, ("dist", "absdist"))
     return on_spine(spine, _named(t, codes, ORDER_CLASSES, "g"), fill=0.0)
 
 
 def trade_geography(transaction, order, market, spine):
     """32 columns: trade distance per side, order root-mean-square distance per class."""
-    t, codes = _by_class(with_distance(transaction, market), ("tb", "ts"), side_class, ("dist", "absdist"))
+    t, codes = _by_class(with_distance(transaction, market), ("tb", "ts"), code.side, ("dist", "absdist"))
     trades = _named(t, codes, ("tb", "ts"), "t")
-    o, order_codes = _by_class(with_distance(order, market), ORDER_CLASSES, order_class, ("rmsdist",))
+    o, order_codes = _by_class(with_distance(order, market), ORDER_CLASSES, code.order, ("rmsdist",))
     return on_spine(spine, trades, _named(o, order_codes, ORDER_CLASSES, "g"), fill=0.0)
 
 
 def order_bands(order, market, spine):
     """32 columns: share of volume per distance band for each (bucket, action)."""
     band = bucket(F.abs(c("_d")), BAND_EDGES)
-    rows = with_distance(order, market).withColumn("_b", c("_b") * 2 + action_class)
+    rows = with_distance(order, market).withColumn("_b", c("_b") * 2 + code.action)
     aggs = {f"band{k}": sum_if(band == k, X.volume) for k in range(4)} | {"w": F.sum(X.volume)}
     t = derive(
         summarise(rows, aggs, (KEY, "_b")),
@@ -120,8 +123,8 @@ def order_size_geography(order, market, spine):
     sizes = mean_size(order, {0: X.is_new, 1: ~X.is_new})
     big = X.volume > F.when(X.is_new, c("_size0")).otherwise(c("_size1"))
     classes = ("new_sm", "new_big", "can_sm", "can_big")
-    code = action_class * 2 + big.cast("int")
-    t, codes = _by_class(with_distance(order, market, sizes), classes, code, ("dist", "absdist"))
+    number = code.action * 2 + big.cast("int")
+    t, codes = _by_class(with_distance(order, market, sizes), classes, number, ("dist", "absdist"))
     return on_spine(spine, _named(t, codes, classes, "w"), fill=0.0)
 
 
@@ -129,8 +132,8 @@ def trade_size_geography(transaction, market, spine):
     """36 columns: distance of big and small trades per side, and big buy minus big sell."""
     sizes = mean_size(transaction, {0: F.lit(True)})
     classes = ("smb", "sms", "bigb", "bigs")
-    code = (X.volume > c("_size0")).cast("int") * 2 + side_class
-    t, codes = _by_class(with_distance(transaction, market, sizes), classes, code, ("dist", "absdist"))
+    number = (X.volume > c("_size0")).cast("int") * 2 + code.side
+    t, codes = _by_class(with_distance(transaction, market, sizes), classes, number, ("dist", "absdist"))
     wide = on_spine(spine, _named(t, codes, classes, "tw"), fill=0.0)
     gap = {f"tw{i}_bigbs_ddist": c(f"tw{i}_bigb_dist") - c(f"tw{i}_bigs_dist") for i in range(BUCKETS)}
     return wide.withColumns(gap)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as X
-from ..functions.expr import EPS, at_least, clip, finite_or_zero, null_if_nan, ratio, seconds, time_bin
+from ..functions.lazy import Columns
+from ..functions.expr import EPS, at_least, clip, finite_or_zero, null_if_nan, seconds, time_bin
 from ..functions.stats import count_if, sum0, sum_if
 from ..schema import KEY, SEQ, TIME
 from .assemble import derive, on_spine, summarise
@@ -20,8 +21,10 @@ from .joins import densify
 from .timeline import Timeline
 
 c = F.col
-ONE = F.lit(1)
-avg_price = null_if_nan(X.col("transaction_avgprice"))
+bar = Columns(
+    price=lambda: null_if_nan(X.col("transaction_avgprice")),
+    rel_spread=lambda: X.spread / at_least(X.mid, EPS),
+)
 
 
 def as_arrays(long, names, step="step"):
@@ -36,8 +39,8 @@ def as_arrays(long, names, step="step"):
 def _bar_line(market):
     """Bars with predecessor values; the first bar of a sample is its own predecessor."""
     line = Timeline.of(market).select(
-        SEQ, TIME, X.mid.alias("mid"), avg_price.alias("ap"), X.col("transaction_volume").alias("tv"),
-        X.col("transaction_count").alias("tc"), mean_rel.alias("relspread"),
+        SEQ, TIME, X.mid.alias("mid"), bar.price.alias("ap"), X.col("transaction_volume").alias("tv"),
+        X.col("transaction_count").alias("tc"), bar.rel_spread.alias("relspread"),
         X.smoothed_imbalance(X.bidv1, X.askv1).alias("imb1"),
         X.smoothed_imbalance(X.bidv1 + X.bidv2, X.askv1 + X.askv2).alias("imb2"),
         (X.askv1 + X.bidv1).alias("depth"),
@@ -45,9 +48,6 @@ def _bar_line(market):
     return line.previous(["mid", "ap", "depth"]).position()
 
 
-mean_rel = X.spread / at_least(X.mid, EPS)
-
-
 def _move(x, prev):
     return F.coalesce(F.when(x.isNotNull() & prev.isNotNull(), F.log(at_least(x, EPS) / at_least(prev, EPS))), F.lit(0.0))
 
@@ -69,7 +69,7 @@ def every_third_bar(market, steps=60):
 
 def last_bars(market, steps=120):
     """The last `steps` bars, right-aligned: 8 channels of moves, volume, spread and depth change."""
-    rows = _bar_line(market).key_total("n", ONE).rows
+    rows = _bar_line(market).key_total("n", F.lit(1)).rows
     dd = F.coalesce(c("depth") - c("prev_depth"), F.lit(0.0))
     step = steps - 1 - (c("n") - c("pos"))
     return rows.filter(c("n") - c("pos") < steps).select(
@@ -107,7 +107,7 @@ def raw_sequence(market, fit_ids, steps=200):
     11 value channels (missing becomes 0 after scaling), time share, trade flag and row mask.
     """
     stats = channel_statistics(market.join(fit_ids, KEY, "left_semi"))
-    line = Timeline.of(market).position().key_total("n", ONE)
+    line = Timeline.of(market).position().key_total("n", F.lit(1))
     rows = line.rows.filter(c("n") - c("pos") < steps).crossJoin(F.broadcast(stats))  # one row
     scale = lambda n: F.when(c(f"{n}_std") > 0, c(f"{n}_std")).otherwise(1.0)
     return rows.select(
@@ -125,20 +125,20 @@ def raw_sequence(market, fit_ids, steps=200):
 
 def sequence_audit(market, label, steps=200):
     """Per month: sample count, cap rate, distribution of count, time range and trade share."""
-    line = Timeline.of(market).position().key_total("n", ONE).previous([TIME])
+    line = Timeline.of(market).position().key_total("n", F.lit(1)).previous([TIME])
     rows = line.rows.filter(c("n") - c("pos") < steps)
     backwards = X.col(TIME) > X.col(f"prev_{TIME}") + 1e-4 * 600.0
     s = summarise(
         rows,
         {
-            "raw_count": F.max("n"), "kept_count": F.count(ONE), "earliest": F.max(seconds()), "latest": F.min(seconds()),
+            "raw_count": F.max("n"), "kept_count": F.count(F.lit(1)), "earliest": F.max(seconds()), "latest": F.min(seconds()),
             "activity": F.avg((c("transaction_count") > 0).cast("double")), "backwards": count_if(backwards),
         },
     )
     s = label.select(KEY, "month").join(s, KEY, "left").na.fill(0, ["raw_count", "kept_count", "backwards"])
     q = lambda x, p: F.percentile(x, F.lit(p))  # one value per sample
     return s.groupBy("month").agg(
-        F.count(ONE).alias("samples"),
+        F.count(F.lit(1)).alias("samples"),
         F.avg((c("raw_count") >= steps).cast("double")).alias("cap_rate"),
         F.avg((c("raw_count") > steps).cast("double")).alias("truncated_rate"),
         count_if(c("raw_count") == 0).alias("empty"),
@@ -178,7 +178,7 @@ def second_grid(market, transaction, order, spine, steps=STEPS):
     trades = recent(transaction).groupBy(KEY, step).agg(
         F.sum(X.side_sign * F.log1p(v)).alias("signed_log"),
         F.log1p(F.sum(v)).alias("volume"),
-        F.log1p(F.count(ONE)).alias("trades"),
+        F.log1p(F.count(F.lit(1))).alias("trades"),
     )
     orders = recent(order).groupBy(KEY, step).agg(
         F.log1p(sum_if(X.is_new & X.is_buy, v)).alias("new_bid"),
@@ -252,7 +252,7 @@ def market_grid(market, bins=MARKET_BINS):
     micro = (X.ask1 * X.bidv1 + X.bid1 * X.askv1) / (depth1 + GRID_EPS)
     channels = {
         "mid_rel": X.mid - 1.0,
-        "txpx_rel": avg_price - 1.0,
+        "txpx_rel": bar.price - 1.0,
         "rel_spread1": X.spread / m,
         "rel_spread2": (X.ask2 - X.bid2) / m,
         "imb1": (X.bidv1 - X.askv1) / (depth1 + GRID_EPS),
@@ -264,7 +264,7 @@ def market_grid(market, bins=MARKET_BINS):
         "log_txc": F.log1p(X.col("transaction_count")),
     }
     return market.groupBy(KEY, b).agg(
-        F.count(ONE).alias("rows"), *[F.avg(_bounded(v)).alias(k) for k, v in channels.items()]
+        F.count(F.lit(1)).alias("rows"), *[F.avg(_bounded(v)).alias(k) for k, v in channels.items()]
     )
 
 
@@ -278,7 +278,7 @@ def trade_grid(transaction, bins=FLOW_BINS):
     b = time_bin(seconds(), 60.0 / bins, bins, reverse=True).alias("step")
     p, v, g = X.price, X.volume, X.side_sign
     s = transaction.groupBy(KEY, b).agg(
-        F.count(ONE).alias("rows"), F.sum(_bounded(v)).alias("_v"), F.sum(_bounded(p * v)).alias("_a"),
+        F.count(F.lit(1)).alias("rows"), F.sum(_bounded(v)).alias("_v"), F.sum(_bounded(p * v)).alias("_a"),
         F.sum(_bounded(p)).alias("_p"), F.sum(_bounded(p * p)).alias("_p2"), F.sum(_bounded(g * v)).alias("_s"),
         count_if(X.is_buy).alias("_b"),
     )
@@ -302,7 +302,7 @@ def order_grid(order, bins=FLOW_BINS):
         "_cb": X.is_cancel & X.is_buy, "_cs": X.is_cancel & X.is_sell,
     }
     s = order.groupBy(KEY, b).agg(
-        F.count(ONE).alias("rows"),
+        F.count(F.lit(1)).alias("rows"),
         *[F.sum(_bounded(x)).alias(k) for k, x in sums.items()],
         *[sum_if(cond, _bounded(v)).alias(k) for k, cond in parts.items()],
     )
@@ -325,7 +325,7 @@ def fingerprint(market, cells, width):
     """Mean price and volume per cell of `width` seconds; cell 0 holds everything up to 590 s."""
     cell = F.least(F.greatest(F.ceil((590.0 - seconds()) / width), F.lit(0)), F.lit(cells - 1)).cast("int")
     return market.groupBy(KEY, cell.alias("step")).agg(
-        F.avg(avg_price).alias("price"), F.avg(X.col("transaction_volume")).alias("volume")
+        F.avg(bar.price).alias("price"), F.avg(X.col("transaction_volume")).alias("volume")
     )
 
 
@@ -352,7 +352,7 @@ def merged_events(events, is_order=False):
     action = F.col("order_action") if is_order else F.lit(0)
     category = (action * 2 + F.col("side")).cast("int")
     ok = (t >= 0) & (t <= 60) & (p > 0) & (v >= 0) & F.col("side").isin(0, 1) & action.isin(0, 1)
-    aggs = {"raw": F.count(ONE)}
+    aggs = {"raw": F.count(F.lit(1))}
     for k in range(4 if is_order else 2):
         aggs |= {f"v{k}": sum_if(category == k, v), f"n{k}": count_if(category == k), f"a{k}": sum_if(category == k, v * p)}
     return summarise(events.filter(ok), aggs, (KEY, TIME))
@@ -368,7 +368,7 @@ def event_sequence(events, limit, is_order=False):
     t = X.col(TIME)
     by = -t
     line = Timeline.of(merged_events(events, is_order), by=by, order=(by,))
-    line = line.position().key_total("total", ONE).previous([TIME])
+    line = line.position().key_total("total", F.lit(1)).previous([TIME])
     older = at_least(c("total") - limit, 0)
     rows = line.rows.withColumn("older", older.cast("long"))
     shift = F.when(c("older") > 0, 1).otherwise(0)
@@ -401,14 +401,14 @@ def event_sequence(events, limit, is_order=False):
 def event_coverage(events, limit):
     """Per sample: distinct instants, raw events, and what the last `limit` instants keep."""
     t = seconds()
-    g = summarise(events.filter((t >= 0) & (t <= 60)), {"v": F.sum(X.volume), "raw": F.count(ONE)}, (KEY, TIME))
+    g = summarise(events.filter((t >= 0) & (t <= 60)), {"v": F.sum(X.volume), "raw": F.count(F.lit(1))}, (KEY, TIME))
     by = -X.col(TIME)
-    line = Timeline.of(g, by=by, order=(by,)).position().key_total("total", ONE)
+    line = Timeline.of(g, by=by, order=(by,)).position().key_total("total", F.lit(1))
     kept = c("pos") > c("total") - limit
     s = summarise(
         line.rows,
         {
-            "unique_timestamps": F.count(ONE), "raw_events": F.sum("raw"), "v": F.sum("v"), "kv": sum_if(kept, c("v")),
+            "unique_timestamps": F.count(F.lit(1)), "raw_events": F.sum("raw"), "v": F.sum("v"), "kv": sum_if(kept, c("v")),
             "hi": F.max(X.col(TIME)), "lo": F.min(X.col(TIME)), "khi": F.max(F.when(kept, X.col(TIME))),
         },
     )
@@ -444,7 +444,7 @@ def resample_seconds(df, max_time=60, skip=(SEQ,)):
             aggs.append(F.avg(f.name).alias(f.name))
         else:
             aggs.append(F.first(f.name).alias(f.name))
-    cells = rows.groupBy(KEY, "second").agg(*aggs, F.count(ONE).alias("row_count"))
+    cells = rows.groupBy(KEY, "second").agg(*aggs, F.count(F.lit(1)).alias("row_count"))
     return densify(rows.select(KEY).distinct(), max_time + 1, cells, name="second")
 
 
@@ -510,7 +510,7 @@ def stream_lags(market, transaction, order, spine):
     return summarise(g, out)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def power_spectrum(series: pd.Series) -> pd.Series:
     """Squared magnitudes of the real Fourier transform without the mean; equal-length arrays."""
     x = np.stack(series.to_numpy())

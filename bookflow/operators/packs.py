@@ -17,7 +17,6 @@ from .quantile import exact_quantiles
 from .timeline import Timeline
 
 c = F.col
-ONE = F.lit(1)
 EPS = 1e-6
 
 # Look-back windows in seconds.
@@ -267,9 +266,9 @@ def _ranked(events, *names):
     """Events with gap to the previous one, `idx` counted from the newest, and the total `n`."""
     cols = {"t": seconds(), "p": X.price, "v": X.volume, "g": X.side_sign, "sv": X.signed_volume}
     keep = [v.alias(k) for k, v in cols.items()] + list(names)
-    rows = Timeline.of(events).select(SEQ, TIME, *keep).previous(["t", "p"]).drop("_slice").rows
+    rows = Timeline.of(events).select(SEQ, TIME, *keep).previous(["t", "p"]).finished()
     t = c("t")
-    return Timeline.of(rows, by=t, order=(t, c(SEQ))).position("idx").key_total("n", ONE).rows
+    return Timeline.of(rows, by=t, order=(t, c(SEQ))).position("idx").key_total("n", F.lit(1)).rows
 
 
 def _halves(x, agg):
@@ -303,7 +302,7 @@ def trade_events(transaction):
         "t_buy_sell_vol_ratio": sum0(F.when(g > 0, v)) / (sum0(F.when(g < 0, v)) + TINY),
         "t_large_buy_90": count_if((v > c("q90")) & (g > 0)), "t_large_sell_90": count_if((v > c("q90")) & (g < 0)),
         "t_large_sell_95": count_if((v > c("q95")) & (g < 0)), "t_avg_time_gap": F.avg(gap), "t_time_gap_std": F.stddev_samp(gap),
-        "t_max_time_gap": F.max(gap), "t_time_range": F.max(t) - F.min(t), "t_count": F.count(ONE).cast("double"),
+        "t_max_time_gap": F.max(gap), "t_time_range": F.max(t) - F.min(t), "t_count": F.count(F.lit(1)).cast("double"),
         "t_price_first_half_vs_second": newer_p / (older_p + TINY) - 1, "t_buy_ratio_first_half_vs_second": newer_g - older_g,
         "t_vol_first_third_vs_last": first3 / (last3 + TINY), "t_price_change_first_to_last": F.max_by(p, rank) - F.min_by(p, rank),
         "t_gap_first_half_vs_second": newer_gap / (older_gap + TINY), "t_price_weighted_15": F.sum(w(15) * p),
@@ -335,7 +334,7 @@ def order_events(order):
         "o_px_skew": F.skewness(p), "o_bid_depth": sum0(F.when(g > 0, v)), "o_ask_depth": sum0(F.when(g < 0, v)),
         "o_market_ratio": F.avg(new), "o_avg_time_gap": F.avg(gap), "o_time_gap_std": F.stddev_samp(gap),
         "o_price_first_half_vs_second": newer_p / (older_p + TINY) - 1, "o_vol_first_third_vs_last": first3 / (last3 + TINY),
-        "o_av_weighted_30": F.sum(w(30) * a * v), "o_count": F.count(ONE).cast("double"),
+        "o_av_weighted_30": F.sum(w(30) * a * v), "o_count": F.count(F.lit(1)).cast("double"),
     }
     for tau in (15, 30):
         aggs |= {f"o_vol_weighted_{tau}": F.sum(w(tau) * v), f"o_sv_weighted_{tau}": F.sum(w(tau) * sv)}
@@ -355,7 +354,7 @@ LAST_SECOND = 60
 def _seconds_grid(events, extra):
     second = F.bround(seconds(), 0).cast("int").alias("s")
     cells = events.groupBy(KEY, second).agg(
-        F.avg(X.price).alias("p"), F.sum(X.volume).alias("v"), F.count(ONE).alias("k"),
+        F.avg(X.price).alias("p"), F.sum(X.volume).alias("v"), F.count(F.lit(1)).alias("k"),
         F.when(F.min(X.side_sign) > 0, 1.0).otherwise(-1.0).alias("g"), *[x.alias(n) for n, x in extra.items()],
     )
     ids = events.select(KEY).distinct()
@@ -446,7 +445,7 @@ def quote_events(market):
         ((X.ask2 - X.ask1) / (X.askv2 - X.askv1 + TINY)).alias("sa"), ((X.bid1 - X.bid2) / (X.bidv1 - X.bidv2 + TINY)).alias("sb"),
         X.col("transaction_volume").alias("tv"),
     )
-    rows = line.previous(["mid", "av", "bv"]).position().key_total("n", ONE).rows
+    rows = line.previous(["mid", "av", "bv"]).position().key_total("n", F.lit(1)).rows
     zero = F.lit(0.0)
     rows = rows.withColumns(
         {

@@ -188,7 +188,7 @@ def ordinal_ranks(df, names, group=(MONTH,)):
         line = Timeline.of(out, keys=group, by=F.asinh(x), order=(x, c(KEY)))
         line = line.position("_r").key_total("_k", F.lit(1))
         rank = (c("_r") - 1) / F.greatest(c("_k") - 1, F.lit(1)) - 0.5
-        out = line.with_columns({f"{n}_pct": rank}).drop("_r", "_k", "_slice").rows
+        out = line.with_columns({f"{n}_pct": rank}).drop("_r", "_k").finished()
     return out
 
 
@@ -218,7 +218,7 @@ def equal_positions(df):
     df = df.withColumn("_all", F.lit(0))
     line = Timeline.of(df, keys=("_all",), by=c(KEY).cast("double"), order=(c(KEY),))
     line = line.position("pos").key_total("rows", F.lit(1)).with_columns({"pos": c("pos") - 1})
-    return line.drop("_all", "_slice").rows
+    return line.drop("_all").finished()
 
 
 def equal_blocks(df, blocks):

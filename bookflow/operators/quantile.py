@@ -21,7 +21,7 @@ def _ranked(df, value, keys):
 
 def value_ranks(df, value, keys):
     """Distinct values per key with `n` copies, `upto` rows at or below, `rows` in the key."""
-    return _ranked(df, value, keys).rows
+    return _ranked(df, value, keys).finished()
 
 
 def _at_rank(r):

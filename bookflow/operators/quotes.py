@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..functions.lazy import Columns
 from ..functions.expr import EPS, at_least, bucket, clip, null_if_nan, seconds
 from ..functions.stats import count_if, sum0, sum_if
 from ..schema import KEY, SEQ, TIME
@@ -22,23 +23,28 @@ c = F.col
 
 # Short names of quote columns as doubles.
 QUOTE = {
-    "t": seconds(), "a1": X.ask1, "b1": X.bid1, "av1": X.askv1, "bv1": X.bidv1,
-    "a2": X.ask2, "b2": X.bid2, "av2": X.askv2, "bv2": X.bidv2,
-    "ap": null_if_nan(X.col("transaction_avgprice")), "tv": X.col("transaction_volume"),
-    "tc": X.col("transaction_count"),
+    "t": seconds, "a1": lambda: X.ask1, "b1": lambda: X.bid1, "av1": lambda: X.askv1, "bv1": lambda: X.bidv1,
+    "a2": lambda: X.ask2, "b2": lambda: X.bid2, "av2": lambda: X.askv2, "bv2": lambda: X.bidv2,
+    "ap": lambda: null_if_nan(X.col("transaction_avgprice")), "tv": lambda: X.col("transaction_volume"),
+    "tc": lambda: X.col("transaction_count"),
 }
 BOOK = ("a1", "b1", "av1", "bv1")
 BOOK2 = ("a2", "b2", "av2", "bv2")
-mid = (c("a1") + c("b1")) / 2.0
-prev_mid = (c("prev_a1") + c("prev_b1")) / 2.0
-alive = (c("a1") > 0) & (c("b1") > 0)
-prev_alive = (c("prev_a1") > 0) & (c("prev_b1") > 0)
-ONE = F.lit(1)
+Q = Columns(
+    mid=lambda: (c("a1") + c("b1")) / 2.0,
+    prev_mid=lambda: (c("prev_a1") + c("prev_b1")) / 2.0,
+    alive=lambda: (c("a1") > 0) & (c("b1") > 0),
+    prev_alive=lambda: (c("prev_a1") > 0) & (c("prev_b1") > 0),
+    tight=lambda: _tight(c("a1"), c("b1")),
+    prev_tight=lambda: _tight(c("prev_a1"), c("prev_b1")),
+    tight_return=lambda: F.when(Q.tight & Q.prev_tight, F.log(Q.mid) - F.log(Q.prev_mid)),
+    later=lambda: F.struct((-c("t")).alias("t"), c(SEQ)),
+)
 
 
 def quotes(market):
     line = Timeline.of(market)
-    return line.select(SEQ, TIME, *[v.alias(k) for k, v in QUOTE.items()])
+    return line.select(SEQ, TIME, *[v().alias(k) for k, v in QUOTE.items()])
 
 
 def quote_line(market, names=BOOK + BOOK2):
@@ -77,7 +83,7 @@ def depth_ofi(level):
 
 def log_return():
     """Log change of mid between consecutive two-sided quotes, else null."""
-    return F.when(alive & prev_alive, F.log(mid / prev_mid))
+    return F.when(Q.alive & Q.prev_alive, F.log(Q.mid / Q.prev_mid))
 
 
 def simple_ofi(market, transaction, spine):
@@ -103,20 +109,20 @@ MOVES = ("spread_sd", "imb_sd", "micro_abs", "ask_slope", "dmid_abs", "dmid_sign
 def _quote_moves(market, masked):
     line = quote_line(market, ("a1", "b1"))
     if masked:
-        line = line.last_known("last_mid", F.when(alive, mid))
-        keep = lambda x: F.when(alive, x)
-        move = F.log(at_least(mid, 1e-9) / c("last_mid"))
+        line = line.last_known("last_mid", F.when(Q.alive, Q.mid))
+        keep = lambda x: F.when(Q.alive, x)
+        move = F.log(at_least(Q.mid, 1e-9) / c("last_mid"))
     else:
         keep = lambda x: x
-        move = F.log(at_least(mid, 1e-9) / at_least(prev_mid, EPS))
-    m = at_least(mid, 1e-9)
+        move = F.log(at_least(Q.mid, 1e-9) / at_least(Q.prev_mid, EPS))
+    m = at_least(Q.mid, 1e-9)
     spread = keep((c("a1") - c("b1")) / m)
     imb = keep(X.imbalance(c("bv1"), c("av1"), 1e-9))
     micro = (c("a1") * c("bv1") + c("b1") * c("av1")) / at_least(c("av1") + c("bv1"), 1e-9) / m - 1
     slope = (c("a2") - c("a1")) / m
     if masked:
         slope = F.when(c("a2") > 0, slope).otherwise(0.0)
-    n = at_least(F.count(keep(ONE)), 1)
+    n = at_least(F.count(keep(F.lit(1))), 1)
     aggs = {
         "sp": F.avg(spread), "sp2": F.avg(spread * spread), "im": F.avg(imb), "im2": F.avg(imb * imb),
         "micro_abs": F.avg(keep(F.abs(micro))), "ask_slope": F.avg(keep(slope)),
@@ -141,7 +147,7 @@ def dispersion_drift(market, transaction, order, spine, masked=False):
         transaction,
         bucket(seconds(), DRIFT_EDGES),
         {
-            "n": F.count(ONE), "v": F.sum(v), "l": F.avg(lv), "l2": F.avg(lv * lv),
+            "n": F.count(F.lit(1)), "v": F.sum(v), "l": F.avg(lv), "l2": F.avg(lv * lv),
             "sv": F.sum(X.signed_volume), "sv2": F.sum(X.signed_volume * v),
         },
         {
@@ -156,7 +162,7 @@ def dispersion_drift(market, transaction, order, spine, masked=False):
         {
             "nb": sum_if(X.is_new & X.is_buy, v), "ns": sum_if(X.is_new & ~X.is_buy, v),
             "cb": sum_if(~X.is_new & X.is_buy, v), "cs": sum_if(~X.is_new & ~X.is_buy, v),
-            "n_orders": F.count(ONE),
+            "n_orders": F.count(F.lit(1)),
         },
     )
     t = on_spine(spine, _quote_moves(market, masked), trades, orders, fill=0.0)
@@ -183,21 +189,21 @@ def dispersion_drift(market, transaction, order, spine, masked=False):
 
 def liquidity_impact(market, spine):
     """12 columns: OFI by horizon, Roll spread, Amihud illiquidity, microprice deviation."""
-    line = quote_line(market).last_known("last_mid", F.when(alive, mid))
-    dm = F.when(alive & (c("last_mid") > 0), F.log(mid / c("last_mid"))).otherwise(0.0)
+    line = quote_line(market).last_known("last_mid", F.when(Q.alive, Q.mid))
+    dm = F.when(Q.alive & (c("last_mid") > 0), F.log(Q.mid / c("last_mid"))).otherwise(0.0)
     line = line.with_columns({"e": ofi(1), "e2": ofi(2), "dm": dm}).previous(["dm"])
-    micro = (c("a1") * c("bv1") + c("b1") * c("av1")) / at_least(c("av1") + c("bv1"), 1e-9) / at_least(mid, 1e-9) - 1
+    micro = (c("a1") * c("bv1") + c("b1") * c("av1")) / at_least(c("av1") + c("bv1"), 1e-9) / at_least(Q.mid, 1e-9) - 1
     e, t = c("e"), c("t")
     has = c("prev_a1").isNotNull()
-    last_micro = F.min_by(micro, F.when(alive & (t <= 1.0), F.struct(t, F.lit(0).alias("z"))))
+    last_micro = F.min_by(micro, F.when(Q.alive & (t <= 1.0), F.struct(t, F.lit(0).alias("z"))))
     s = summarise(
         line.rows,
         {
             "e_n": F.count(e), "e_all": F.sum(e), "e_sq": F.sum(e * e), "e_sign": F.sum(F.signum(e)),
             "e_300": sum_if(t < 300, e), "e_60": sum_if(t < 60, e), "e_early": sum_if(t >= 300, e),
-            "e2_all": F.sum(c("e2")), "d_n": count_if(has & alive), "d": F.sum(c("dm")),
+            "e2_all": F.sum(c("e2")), "d_n": count_if(has & Q.alive), "d": F.sum(c("dm")),
             "dd": F.sum(c("dm") * c("prev_dm")), "am": F.sum(F.abs(c("dm")) / at_least(c("tv"), 1)),
-            "mic": last_micro, "mic2": F.sum(F.when(alive, micro * micro)), "mic_n": count_if(alive),
+            "mic": last_micro, "mic2": F.sum(F.when(Q.alive, micro * micro)), "mic_n": count_if(Q.alive),
         },
     )
     n, dn = at_least(c("e_n"), 1), at_least(c("d_n"), 1)
@@ -234,10 +240,10 @@ def volatility_sums(market):
     The last-minute buckets [0,10), [10,30), [30,60) are unions of whole parts.
     """
     rows = quote_line(market).rows
-    q1 = F.when(alive, X.imbalance(c("bv1"), c("av1")))
+    q1 = F.when(Q.alive, X.imbalance(c("bv1"), c("av1")))
     q2 = X.imbalance(c("bv2"), c("av2"))
     micro = (c("a1") * c("bv1") + c("b1") * c("av1")) / at_least(c("av1") + c("bv1"), EPS)
-    keep = lambda x: F.when(alive, x)
+    keep = lambda x: F.when(Q.alive, x)
     w = 1.0 / (c("t") + 1.0)
     r = log_return()
     spread = keep(c("a1") - c("b1"))
@@ -245,13 +251,13 @@ def volatility_sums(market):
         rows.withColumn("_b", _sub(c("t"), 60)),
         {
             "e1": sum0(ofi(1)), "e2": sum0(ofi(2)), "rr": sum0(r * r), "rr_dn": sum_if(r < 0, r * r),
-            "rr_up": sum_if(r > 0, r * r), "n": count_if(alive), "q1": sum0(q1), "q1s": sum0(q1 * q1),
-            "q2": sum0(keep(q2)), "mic": sum0(keep(micro)), "mid": sum0(keep(mid)),
-            "md": sum0(keep((micro - mid) / at_least(mid, EPS))), "sp": sum0(spread), "sp2": sum0(spread * spread),
+            "rr_up": sum_if(r > 0, r * r), "n": count_if(Q.alive), "q1": sum0(q1), "q1s": sum0(q1 * q1),
+            "q2": sum0(keep(q2)), "mic": sum0(keep(micro)), "mid": sum0(keep(Q.mid)),
+            "md": sum0(keep((micro - Q.mid) / at_least(Q.mid, EPS))), "sp": sum0(spread), "sp2": sum0(spread * spread),
             "q1w": sum0(q1 * w), "q2w": sum0(q2 * w), "w": sum0(w), "e1w": sum0(ofi(1) * w), "e2w": sum0(ofi(2) * w),
-            "hi": F.max(keep(mid)), "lo": F.min(keep(mid)), "rows": F.count(ONE).cast("double"),
+            "hi": F.max(keep(Q.mid)), "lo": F.min(keep(Q.mid)), "rows": F.count(F.lit(1)).cast("double"),
             "bv1": sum0(c("bv1")), "av1": sum0(c("av1")), "bv2": sum0(c("bv2")), "av2": sum0(c("av2")),
-            "tv": sum0(c("tv")), "tc": sum0(c("tc")), "pv": sum0(c("ap") * c("tv")), "mv": sum0(keep(mid * c("tv"))),
+            "tv": sum0(c("tv")), "tc": sum0(c("tc")), "pv": sum0(c("ap") * c("tv")), "mv": sum0(keep(Q.mid * c("tv"))),
         },
         (KEY, "_b"),
     )
@@ -351,7 +357,7 @@ def trade_gap_sums(transaction):
         {
             "k_num": sum0(ret * c("sv")), "k_den": sum_if(ret.isNotNull(), c("sv") * c("sv")),
             "g": sum0(gap), "g2": sum0(gap * gap), "g_n": F.count(gap), "tv": F.sum("v"),
-            "tn": F.count(ONE), "tsv": F.sum("sv"),
+            "tn": F.count(F.lit(1)), "tsv": F.sum("sv"),
         },
         (KEY, "_b"),
     )
@@ -420,7 +426,7 @@ def context(market, spine):
     """12 columns: the older part of the window (60-600 s) and the drift into the last minute."""
     rows = quote_line(market).rows
     t = c("t")
-    ctx, rec = (t >= 60) & alive, (t < 60) & alive
+    ctx, rec = (t >= 60) & Q.alive, (t < 60) & Q.alive
     q1, q2 = X.imbalance(c("bv1"), c("av1")), X.imbalance(c("bv2"), c("av2"))
     d1, d2 = c("bv1") + c("av1"), c("bv2") + c("av2")
     when = F.struct((-t).alias("t"), c(SEQ))
@@ -430,9 +436,9 @@ def context(market, spine):
             "n_c": count_if(ctx), "n_r": count_if(rec), "q1_c": sum_if(ctx, q1), "q2_c": sum_if(ctx, q2),
             "q1_r": sum_if(rec, q1), "pos": count_if(ctx & (q1 > 0)), "neg": count_if(ctx & (q1 < 0)),
             "d1_c": sum_if(ctx, d1), "d2_c": sum_if(ctx, d2), "d1_r": sum_if(rec, d1),
-            "sp_c": sum_if(ctx, (c("a1") - c("b1")) / at_least(mid, EPS)),
+            "sp_c": sum_if(ctx, (c("a1") - c("b1")) / at_least(Q.mid, EPS)),
             "e1_c": sum_if(t >= 60, ofi(1)), "e2_c": sum_if(t >= 60, ofi(2)), "e1_r": sum_if(t < 60, ofi(1)),
-            "m_first": F.min_by(mid, F.when(alive, when)), "m_60": F.max_by(mid, F.when(ctx, when)),
+            "m_first": F.min_by(Q.mid, F.when(Q.alive, when)), "m_60": F.max_by(Q.mid, F.when(ctx, when)),
         },
     )
     t = on_spine(spine, s, fill=0.0)
@@ -462,23 +468,18 @@ def context(market, spine):
 
 # robust-quote families ---------------------------------------------------------------------------
 
-tight = _tight(c("a1"), c("b1"))
-prev_tight = _tight(c("prev_a1"), c("prev_b1"))
-tight_return = F.when(tight & prev_tight, F.log(mid) - F.log(prev_mid))
-later = F.struct((-c("t")).alias("t"), c(SEQ))
-
 
 def _mean(x, cond=None):
     return F.avg(x if cond is None else F.when(cond, x))
 
 
 def _last(x):
-    return F.max_by(x, F.when(x.isNotNull(), later))
+    return F.max_by(x, F.when(x.isNotNull(), Q.later))
 
 
 def _endpoint(x, cond=None):
     x = x if cond is None else F.when(cond, x)
-    first, last = F.min_by(x, F.when(x.isNotNull(), later)), _last(x)
+    first, last = F.min_by(x, F.when(x.isNotNull(), Q.later)), _last(x)
     return F.when((F.count(x) >= 2) & (first > 0), (last - first) / first)
 
 
@@ -492,10 +493,10 @@ def _forward_slope(y):
 def price_paths(market, spine):
     """21 columns: mid returns, realised volatility and moments, momentum, spread, trade price."""
     rows = quote_line(market, ("a1", "b1")).rows
-    t, r = c("t"), tight_return
-    m = F.when(tight, mid)
-    rel = F.when(tight, (c("a1") - c("b1")) / mid)
-    dev = F.when((c("tc") > 0) & tight & (c("ap") >= 0.1), (c("ap") - mid) / mid)
+    t, r = c("t"), Q.tight_return
+    m = F.when(Q.tight, Q.mid)
+    rel = F.when(Q.tight, (c("a1") - c("b1")) / Q.mid)
+    dev = F.when((c("tc") > 0) & Q.tight & (c("ap") >= 0.1), (c("ap") - Q.mid) / Q.mid)
     dev = F.when(F.abs(dev) <= 0.1, dev)
     windows = {"full": None, "180": t <= 180, "60": t <= 60, "20": t <= 20}
     aggs = {}
@@ -537,8 +538,8 @@ def _sound_signals():
         "imb1": F.when(ok1, (c("bv1") - c("av1")) / d1),
         "imb2": F.when(ok2, (c("bv2") - c("av2")) / d2),
         "imb": F.when(ok1 & ok2, (c("bv1") + c("bv2") - c("av1") - c("av2")) / (d1 + d2)),
-        "micro": F.when(ok1 & tight, (micro - mid) / mid),
-        "spread": F.when(tight, (c("a1") - c("b1")) / mid),
+        "micro": F.when(ok1 & Q.tight, (micro - Q.mid) / Q.mid),
+        "spread": F.when(Q.tight, (c("a1") - c("b1")) / Q.mid),
         "depth": F.when(ok1 & ok2, F.log1p(d1 + d2)),
         "ofi1": e1,
         "ofi2": e2,
@@ -595,12 +596,12 @@ def last_quarter_minute(market, spine):
     """8 columns over the last 15 seconds; imbalance here is (ask - bid) over (ask + bid + 1)."""
     rows = quote_line(market, BOOK).rows
     w = c("t") <= 15
-    move = F.coalesce(mid - prev_mid, F.lit(0.0))
+    move = F.coalesce(Q.mid - Q.prev_mid, F.lit(0.0))
     flow = F.coalesce((c("av1") - c("prev_av1")) - (c("bv1") - c("prev_bv1")), F.lit(0.0))
     s = summarise(
         rows,
         {
-            "m_mid_mean_15": _mean(mid, w), "m_mid_std_15": F.stddev_samp(F.when(w, mid)),
+            "m_mid_mean_15": _mean(Q.mid, w), "m_mid_std_15": F.stddev_samp(F.when(w, Q.mid)),
             "m_sp_mean_15": _mean(c("a1") - c("b1"), w),
             "m_imb_mean_15": _mean((c("av1") - c("bv1")) / (c("av1") + c("bv1") + 1.0), w),
             "m_rv_15": F.sqrt(sum_if(w, move * move)), "m_ofi_sum_15": sum_if(w, flow),
@@ -686,14 +687,14 @@ def shock_line(market):
     """Changes of log spread, log depth and log mid between consecutive quotes, 15-60 s before
     the end, with the state two and five quotes later."""
     depth = c("av1") + c("bv1") + c("av2") + c("bv2")
-    rel = (c("a1") - c("b1")) / mid
+    rel = (c("a1") - c("b1")) / Q.mid
     line = quotes(market).select(
         SEQ,
         TIME,
         "t",
-        F.when((mid > 0) & (rel > 0), F.log(at_least(rel, 1e-8))).alias("ls"),
+        F.when((Q.mid > 0) & (rel > 0), F.log(at_least(rel, 1e-8))).alias("ls"),
         F.when(depth > 0, F.log1p(depth)).alias("ld"),
-        F.when(mid > 0, F.log(mid)).alias("lm"),
+        F.when(Q.mid > 0, F.log(Q.mid)).alias("lm"),
     )
     line = line.position().shifted(["t", "ls", "ld", "lm"], {1: "prev_", -2: "n2_", -5: "n5_"})
     eligible = c("prev_t").isNotNull() & (c("t") >= 15) & (c("t") <= 60)

@@ -149,6 +149,10 @@ class Timeline:
             return self
         return replace(self, rows=cut(self.rows), carries=0)
 
+    def finished(self):
+        """Rows without the slice column; sliced ones are checkpointed for the next user."""
+        return cut(self.rows.drop(SLICE)) if self.sliced and self.carries else self.rows
+
     def carry(self, parts, forward=True):
         """Columns holding per-slice aggregates folded over the earlier (or later) slices.
 
@@ -236,13 +240,16 @@ class Timeline:
 
     def key_total(self, name, x):
         """Sum of `x` over all rows of the key, on every row."""
-        whole = Window.partitionBy(*self.parts)
         line = self.settled().with_columns({"_v": x})
-        line = line.carry({"_before": (F.sum("_v"), F.sum)})
-        line = line.carry({"_after": (F.sum("_v"), F.sum)}, forward=False)
-        parts = [F.sum("_v").over(whole), F.col("_before"), F.col("_after")]
-        value = sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0))
-        return line.with_columns({name: value}).drop("_v", "_before", "_after")
+        near = F.coalesce(F.sum("_v").over(Window.partitionBy(*self.parts)), F.lit(0))
+        if not self.sliced:
+            return line.with_columns({name: near}).drop("_v")
+        # one row per large key
+        totals = line.rows.filter(F.col(SLICE) >= 0).groupBy(*self.keys).agg(F.sum("_v").alias("_t"))
+        joined = line.rows.join(F.broadcast(totals), list(self.keys), "left")
+        line = replace(line, rows=joined, carries=line.carries + 1)
+        whole = F.when(F.col(SLICE) >= 0, F.coalesce("_t", F.lit(0))).otherwise(near)
+        return line.with_columns({name: whole}).drop("_v", "_t")
 
     def running_extreme(self, name, x, largest=True):
         f = F.max if largest else F.min

@@ -4,11 +4,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..functions.lazy import Columns
 from ..functions.expr import EPS, at_least, bucket, clip, ratio, seconds
 from ..functions.stats import count_if, sum0, sum_if
 from ..schema import KEY, SEQ, TIME
 from .assemble import derive, on_spine, summarise
-from .book import market_tables, widen
+from .book import market_tables
 from .flow import trade_flow
 from .joins import asof_join, densify
 from .quantile import exact_quantiles
@@ -17,8 +18,9 @@ from .timeline import Timeline, lookup
 
 c = F.col
 
-TRADE = {"p": X.price, "v": X.volume, "g": X.side_sign, "sv": X.signed_volume, "t": seconds()}
-ONE = F.lit(1)
+TRADE = Columns(
+    p=lambda: X.price, v=lambda: X.volume, g=lambda: X.side_sign, sv=lambda: X.signed_volume, t=seconds
+)
 
 # A quote older than this many seconds does not match.
 TOLERANCE = 6.0
@@ -26,7 +28,7 @@ MATCH_SPAN = 66.0
 
 
 def trade_line(transaction, *names):
-    return Timeline.of(transaction).select(SEQ, TIME, *[TRADE[n].alias(n) for n in names])
+    return Timeline.of(transaction).select(SEQ, TIME, *[getattr(TRADE, n).alias(n) for n in names])
 
 
 # trades and orders against the latest earlier quote ----------------------------------------------
@@ -39,7 +41,7 @@ def _matched(events, market):
     return asof_join(events.filter(seconds() <= 60), recent, PAYLOAD, tolerance=TOLERANCE)
 
 
-quote_imbalance = ratio(X.bidv1 - X.askv1, X.bidv1 + X.askv1, "nonzero")
+quote_imbalance = lambda: ratio(X.bidv1 - X.askv1, X.bidv1 + X.askv1, "nonzero")
 share = lambda n, d: ratio(n, d, "nonzero")
 
 
@@ -51,7 +53,7 @@ def trade_quote_state(transaction, market, spine):
         {
             f"ref_{k}_{w}": F.avg(F.when(t <= w, x))
             for w in (15, 60)
-            for k, x in (("ask", X.askv1), ("bid", X.bidv1), ("imb", quote_imbalance))
+            for k, x in (("ask", X.askv1), ("bid", X.bidv1), ("imb", quote_imbalance()))
         },
     )
     rows = lookup(_matched(transaction, market), reference, [KEY])
@@ -70,7 +72,7 @@ def trade_quote_state(transaction, market, spine):
         aggs |= {
             f"n{w}": count_if(inside), f"all{w}": sum_if(inside, v), f"v{w}": sum_if(ok, v), f"pv{w}": sum_if(okp, v),
             f"signed{w}": sum_if(ok, g * use), f"gross{w}": sum_if(ok, use), f"exec{w}": sum_if(okp, v * bps),
-            f"cost{w}": sum_if(okp, v * g * bps), f"book{w}": sum_if(ok, v * quote_imbalance),
+            f"cost{w}": sum_if(okp, v * g * bps), f"book{w}": sum_if(ok, v * quote_imbalance()),
             f"thin{w}": sum_if(ok, v * g * thin), f"imb{w}": F.max(f"ref_imb_{w}"),
         }
     old = (t > 15) & (t <= 60)
@@ -192,7 +194,7 @@ def trade_microstructure(transaction, spine):
     v, root = c("v"), F.sqrt(c("v"))
     b = bucket(c("t"), GAP_EDGES)
     aggs = {f"n{i}": count_if(b == i) for i in range(3)} | {
-        "n": F.count(ONE), "g": sum0(gap), "g2": sum0(gap * gap), "gn": F.count(gap), "gmax": F.max(gap),
+        "n": F.count(F.lit(1)), "g": sum0(gap), "g2": sum0(gap * gap), "gn": F.count(gap), "gmax": F.max(gap),
         "k_num": F.sum(dp * c("sv")), "k_den": F.sum(c("sv") * c("sv")), "i_num": F.sum(F.abs(dp) * root),
         "i_den": F.sum(root), "moves": count_if(has & (dp != 0)), "v1": F.sum(v), "v2": F.sum(v * v),
         "v3": F.sum(v * v * v), "vmax": F.max(v), "n10": count_if(c("t") < 10), "v10": sum_if(c("t") < 10, v),
@@ -274,7 +276,7 @@ def large_trades(transaction, spine, fit_ids, q=0.9):
         rows,
         {
             "bn": count_if(big & X.is_buy), "sn": count_if(big & X.is_sell), "bv": sum_if(big & X.is_buy, v),
-            "sv": sum_if(big & X.is_sell, v), "n": F.count(ONE), "v": F.sum(v),
+            "sv": sum_if(big & X.is_sell, v), "n": F.count(F.lit(1)), "v": F.sum(v),
         },
     )
     n, v = c("bn") + c("sn"), c("bv") + c("sv")
@@ -313,7 +315,7 @@ def second_activity(transaction, spine):
     s = summarise(
         gaps,
         {
-            "n60": F.count(ONE), "n30": count_if(c("s") <= 30), "n10": count_if(c("s") <= 10),
+            "n60": F.count(F.lit(1)), "n30": count_if(c("s") <= 30), "n10": count_if(c("s") <= 10),
             "run": F.greatest(F.max("gap"), F.min("s"), 60 - F.max("s")),
         },
     )
@@ -339,7 +341,7 @@ def trade_runs(transaction):
     line = trade_line(transaction, "g", "v", "sv").runs(c("g"))
     return summarise(
         line.rows,
-        {"g": F.first("g"), "len": F.count(ONE).cast("double"), "vol": F.abs(F.sum("sv")), "v": F.sum("v")},
+        {"g": F.first("g"), "len": F.count(F.lit(1)).cast("double"), "vol": F.abs(F.sum("sv")), "v": F.sum("v")},
         (KEY, "run"),
     )
 
@@ -397,7 +399,7 @@ def flow_persistence(market, transaction, order, spine):
     runs = summarise(
         trade_runs(transaction),
         {
-            "len_max": F.max("len"), "n_runs": F.count(ONE), "n": F.sum("len"), "vol_max": F.max("vol"),
+            "len_max": F.max("len"), "n_runs": F.count(F.lit(1)), "n": F.sum("len"), "vol_max": F.max("vol"),
             "v": F.sum("v"), "buy": longest(c("g") > 0), "sell": longest(c("g") < 0),
         },
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
-from ..sources.adapters import label, predictions
+from ..sources.adapters import predictions
 from .registry import present, register
 from .sql import cols, query
 

@@ -4,8 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import blend, drift, preprocess
-from ..sources.adapters import predictions, streams
-from .evaluation import cosine_sql, long_predictions
+from ..sources.adapters import predictions
 from .registry import present, register
 from .sql import clip, cols, query
 

@@ -4,14 +4,13 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import stats
-from ..operators import blend, book, contract, flow, joins, models, preprocess, quotes
+from ..operators import blend, book, contract, flow, joins, models, quotes
 from ..operators.assemble import on_spine
-from ..schema import SEQ, TIME
+from ..schema import SEQ
 from ..sources import ingest, sinks
-from ..sources.adapters import predictions, streams, table
+from ..sources.adapters import predictions, streams
 from ..streaming import events as stream
-from .evaluation import cosine_sql
-from .book import BASE_JOIN, base_steps, bucket_query, bucket_sql
+from .book import BASE_JOIN, base_steps
 from .modelling import FT, average_rank_sql, features
 from .quotes import W
 from .registry import present, register

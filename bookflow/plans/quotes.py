@@ -2,9 +2,9 @@
 
 from ..operators import quotes as q
 from ..sources.adapters import streams
-from .book import bucket_query, bucket_sql
+from .book import bucket_sql
 from .registry import present, register
-from .sql import clip, cols, query, ratio, sum_if
+from .sql import clip, cols, query, sum_if
 
 W = "OVER (PARTITION BY sample_id ORDER BY t DESC, seq)"
 LAGS = ", ".join(f"lag({n}) {W} AS p{n}" for n in ("a1", "b1", "av1", "bv1", "a2", "b2", "av2", "bv2", "mid", "ok", "t"))

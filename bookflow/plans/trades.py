@@ -4,9 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, trades
 from ..sources.adapters import streams
-from . import quotes as quote_sql
-from .book import STEPS as TABLE_STEPS
-from .flow import SIZE_B, both, signed, trade_sums_sql
+from .flow import both, signed, trade_sums_sql
 from .quotes import W
 from .registry import present, register
 from .sql import clip, cols, query, ratio, sum_if

@@ -1,6 +1,7 @@
 """Compare registered queries with their check SQL: python -m tests.oracle [sf] [names...]"""
 
 import math
+import os
 import sys
 import time
 import traceback
@@ -76,6 +77,8 @@ def main(argv):
 
     sf = argv[0] if argv else "0.001"
     spark = session()
+    if os.environ.get("ROWS_PER_SLICE"):
+        spark.conf.set("bookflow.rowsPerSlice", os.environ["ROWS_PER_SLICE"])
     failed = []
     todo = registry.entries()
     for name in argv[1:] or todo:
