@@ -510,12 +510,32 @@ def stream_lags(market, transaction, order, spine):
     return summarise(g, out)
 
 
+SPECTRUM = ("low", "middle", "high", "entropy", "dominant", "ratio_2", "ratio_5", "ratio_10")
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def power_spectrum(series: pd.Series) -> pd.Series:
-    """Squared magnitudes of the real Fourier transform without the mean; equal-length arrays."""
-    x = np.stack(series.to_numpy())
-    power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)) ** 2
-    return pd.Series(list(power[:, 1:]))
+def path_spectrum(series: pd.Series) -> pd.Series:
+    """SPECTRUM values of equal-length return paths, a batch of paths at a time.
+
+    Energy shares of low, middle and high frequencies, entropy and peak of the power spectrum, and
+    variance of sums of 2, 5 and 10 returns against as many single ones.
+    """
+    x = np.stack(series.to_numpy()).astype(float)
+    power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1))[:, 1:] ** 2
+    total = power.sum(axis=1)
+    some = total > 1e-16
+    share = np.where(some[:, None], power / np.where(some, total, 1.0)[:, None], 0.0)
+    freqs = power.shape[1]
+    out = [share[:, lo:hi].sum(axis=1) for lo, hi in ((0, 4), (4, 16), (16, freqs))]
+    out.append(-(share * np.log(share + 1e-20)).sum(axis=1) / np.log(freqs))
+    out.append((power.argmax(axis=1) + 1) / freqs)
+    var = x.var(axis=1)
+    for h in (2, 5, 10):
+        width = x.shape[1] // h * h
+        blocks = x[:, x.shape[1] - width :].reshape(len(x), -1, h).sum(axis=2).var(axis=1)
+        moved = h * var > 1e-16
+        out.append(np.where(moved, np.clip(blocks / np.where(moved, h * var, 1.0), 0, 10), 0.0))
+    return pd.Series(list(np.stack(out, axis=1)))
 
 
 def _lag_corr(x, y):
@@ -563,35 +583,19 @@ def path_shape(market, spine):
         "mid_max_runup_log": F.max("up"),
         "mid_rv_ratio_20_to_60": safe(sq(last20), sq(last60)),
         "mid_rv_ratio_60_to_full": safe(sq(last60), sq(r.isNotNull())),
-        "var": F.var_pop(r),
         "series": F.transform(
             F.array_sort(F.collect_list(F.when(r.isNotNull(), F.struct("step", "r")))), lambda v: v["r"]
         ),
     }
-    t = summarise(g, aggs).withColumn("power", power_spectrum("series"))
-    ratios = []
-    for h in (2, 5, 10):
-        # whole blocks of h returns counted back from the end
-        width = (MARKET_BINS - 1) // h * h
-        block = F.floor((c("step") - (MARKET_BINS - width)) / h)
-        sums = g.filter(c("step") >= MARKET_BINS - width).groupBy(KEY, block.alias("b")).agg(F.sum("r").alias("x"))
-        ratios.append(sums.groupBy(KEY).agg(F.var_pop("x").alias(f"block_var_{h}")))
-    t = on_spine(t, *ratios)
-    energy = lambda lo, hi: F.aggregate(F.slice("power", lo, hi - lo), F.lit(0.0), lambda a, x: a + x)
-    freqs = (MARKET_BINS - 1) // 2
-    whole = energy(1, freqs + 1)
-    share = F.transform("power", lambda p: F.when(whole > 1e-16, p / whole).otherwise(0.0))
-    entropy = F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log(p + 1e-20)) / F.log(F.lit(float(freqs)))
-    top = F.array_position("power", F.array_max("power"))
-    out = {n: c(n) for n in aggs if n not in ("var", "series")}
-    for h in (2, 5, 10):
-        den = h * c("var")
-        out[f"mid_variance_ratio_{h}"] = F.when(den > 1e-16, clip(c(f"block_var_{h}") / den, 0, 10)).otherwise(0.0)
+    t = summarise(g, aggs).withColumn("s", path_spectrum("series"))
+    at = {n: F.element_at("s", i + 1) for i, n in enumerate(SPECTRUM)}
+    out = {n: c(n) for n in aggs if n != "series"}
+    out |= {f"mid_variance_ratio_{h}": at[f"ratio_{h}"] for h in (2, 5, 10)}
     out |= {
-        "mid_spectral_low_fraction": safe(energy(1, 5), whole),
-        "mid_spectral_mid_fraction": safe(energy(5, 17), whole),
-        "mid_spectral_high_fraction": safe(energy(17, freqs + 1), whole),
-        "mid_spectral_entropy": entropy,
-        "mid_dominant_frequency": top / float(freqs),
+        "mid_spectral_low_fraction": at["low"],
+        "mid_spectral_mid_fraction": at["middle"],
+        "mid_spectral_high_fraction": at["high"],
+        "mid_spectral_entropy": at["entropy"],
+        "mid_dominant_frequency": at["dominant"],
     }
     return on_spine(spine, derive(t, out), fill=0.0)

@@ -1,8 +1,6 @@
 """Exact quantiles by rank. Equal values are counted first, then ranked per (key, value slice),
 so no task ever holds all values of one key."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from .timeline import Timeline
@@ -58,14 +56,26 @@ def exact_quantiles(df, value, probs, keys=(), interpolation="linear"):
 
 
 def quantiles_of(df, values, keys=()):
-    """{name: (value column, probability)} for several columns, joined per key."""
-    by_value = {}
-    for name, (value, p) in values.items():
-        by_value.setdefault(str(value), (value, {}))[1][name] = p
-    parts = [exact_quantiles(df, v, probs, keys) for v, probs in by_value.values()]
-    if not keys:
-        return reduce(lambda a, b: a.crossJoin(b), parts)
-    return reduce(lambda a, b: a.join(b, list(keys), "full_outer"), parts)
+    """{name: (value column, probability)} for several columns in one pass, one row per key.
+
+    The columns are stacked to (key, column number, value), so all are ranked together.
+    """
+    columns, number = [], {}
+    for name, (value, _) in values.items():
+        if str(value) not in number:
+            number[str(value)] = len(columns)
+            columns.append(value)
+    pairs = [F.struct(F.lit(i).alias("_i"), v.cast("double").alias("v")) for i, v in enumerate(columns)]
+    rows = df.select(*keys, F.explode(F.array(*pairs)).alias("_p")).select(*keys, "_p.*")
+    probs = {f"p{i}": p for i, p in enumerate(sorted({p for _, p in values.values()}))}
+    at = {p: n for n, p in probs.items()}
+    q = exact_quantiles(rows, F.col("v"), probs, (*keys, "_i"))
+    return q.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("_i") == number[str(v)], F.col(at[p]))).alias(name)
+            for name, (v, p) in values.items()
+        ]
+    )
 
 
 def even_quantiles(df, value, count, name="knots"):

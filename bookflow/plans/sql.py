@@ -18,7 +18,7 @@ CTES = {
       l_linenumber % 3 AS trades FROM lineitem),
     raw_quotes AS (SELECT l_suppkey AS sample_id,
       row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey,
-        l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS seq,
+        l_quantity, l_extendedprice) AS seq,
       date_diff('day', CAST(l_shipdate AS DATE), DATE '2001-12-31') * (600.0::DOUBLE / 2560.0::DOUBLE) AS t,
       CASE WHEN trades > 0 THEN u END AS ap, CAST(trades * l_quantity AS INTEGER)::DOUBLE AS tv,
       trades::DOUBLE AS tc,

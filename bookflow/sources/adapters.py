@@ -85,10 +85,8 @@ def market(spark, path):
     ask = F.when(empty, 0.0).otherwise(unit * (1 + step))
     bid = unit * (1 - step)
     trades = c("l_linenumber") % 3
-    tie_break = [
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-    ]
+    # with time and supplier these fix every quote column, so remaining ties are identical rows
+    tie_break = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
     return table(spark, path, "lineitem").select(
         c("l_suppkey").alias(KEY),
         F.struct(*tie_break).alias(SEQ),
