@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import blend, drift, preprocess
+from ..operators import blend, columns, drift, preprocess
 from ..sources.adapters import predictions
 from .registry import present, register
 from .sql import clip, cols, query
@@ -191,6 +191,14 @@ def cross_section_blocks(spark, path):
     return present(out.drop(*names, "block"), KEY_MONTH)
 
 
+@register("cross_section_pooled", query(["pr"], _cross_section_sql("one") + "(SELECT *, 1 AS one FROM ft)", keys=KEY_MONTH, steps=[FT]))
+def cross_section_pooled(spark, path):
+    names = ["pred_a", "pred_b", "gap"]
+    rows = features(spark, path).select("sample_id", "month", *names).withColumn("one", F.lit(1))
+    out = preprocess.cross_section(rows, names, ["pred_a"], ("one",))
+    return present(out.drop(*names, "one"), KEY_MONTH)
+
+
 @register(
     "centring_variants",
     query(
@@ -480,7 +488,17 @@ def transfer_geometry(spark, path):
     return present(blend.transfer_geometry(f.filter("month < 40"), f.filter("month >= 40"), VECTORS), ("a", "b"))
 
 
-@register("stack_weights")
+@register(
+    "stack_weights",
+    query(
+        ["pr"],
+        """SELECT unnest(['pred_a', 'pred_b']) AS name, unnest([w1 / (w1 + w2), w2 / (w1 + w2)]) AS weight FROM (SELECT CASE WHEN u2 < 0 THEN by1 / g11 WHEN u1 < 0 THEN 0
+        ELSE u1 END AS w1, CASE WHEN u1 < 0 THEN by2 / g22 WHEN u2 < 0 THEN 0 ELSE u2 END AS w2 FROM (SELECT *, (g22 * by1 - g12 * by2) / (g11 * g22 - g12 * g12) AS u1,
+        (g11 * by2 - g12 * by1) / (g11 * g22 - g12 * g12) AS u2 FROM (SELECT aa + 0.01::DOUBLE * (aa + bb) / 2 AS g11, bb + 0.01::DOUBLE * (aa + bb) / 2 AS g22, ab AS g12, by1, by2
+        FROM (SELECT sum(pred_a * pred_a) AS aa, sum(pred_b * pred_b) AS bb, sum(pred_a * pred_b) AS ab, sum(pred_a * target) AS by1, sum(pred_b * target) AS by2 FROM pr))))""",
+        keys=("name",),
+    ),
+)
 def stack_weights(spark, path):
     return present(blend.stack_weights(features(spark, path), ["pred_a", "pred_b"], ridge=0.01), ("name",))
 
@@ -670,7 +688,39 @@ def geometry_estimate(spark, path):
     return present(blend.estimate_scores(f, list(scores), ["pred_a", "pred_b"], scores), ("name",))
 
 
-@register("rounding_noise")
+@register(
+    "rounding_noise",
+    query(
+        ["pr"],
+        "SELECT 0 AS k, "
+        + ", ".join(f"1000 * quantile_cont(noise, {p}) AS q{q}" for p, q in ((0.01, "01"), (0.05, "05"), (0.5, "50"), (0.95, "95"), (0.99, "99")))
+        + ", avg((noise > 0)::INT) AS positive_share FROM nz",
+        keys=("k",),
+        steps=[
+            FT,
+            "cf AS (SELECT [1.0, sum(pred_a * pred_b) / sum(pred_a * pred_a), sum(pred_a * gap) / sum(pred_a * pred_a)] AS w FROM ft)",
+            """nz AS (SELECT draw, sum(w[i + 1] * ((floor((((draw * 7919 + i * 104729 + 17) * 1103515245 + 12345) & 2147483647) / 256)) / 8388608 * 2 - 1) * 0.0005::DOUBLE) AS noise
+            FROM range(20000) d(draw), range(3) r(i), cf GROUP BY draw)""",
+        ],
+    ),
+)
 def rounding_noise(spark, path):
     g = blend.gram_matrix(features(spark, path), VECTORS)
-    return present(blend.rounding_noise(spark, list(g[0] / g[0, 0])).selectExpr("0 AS k", "*"), ("k",))
+    out = blend.rounding_noise(spark, list(g[0] / g[0, 0]))
+    scaled = {n: F.col(n) * 1000 for n in out.columns if n != "positive_share"}
+    return present(out.withColumns(scaled).selectExpr("0 AS k", "*"), ("k",))
+
+
+@register(
+    "top_features",
+    query(
+        ["pr"],
+        " UNION ALL ".join(f"SELECT '{n}' AS feature, abs(corr({n}, target)) AS score FROM ft" for n in FEATURES) + " ORDER BY score DESC, feature LIMIT 2",
+        keys=("feature",),
+        steps=[FT],
+    ),
+)
+def top_features(spark, path):
+    pairs = drift.correlation_pairs(features(spark, path), [*FEATURES, "target"]).filter("b = 'target'")
+    scores = pairs.select(F.col("a").alias("feature"), F.abs("corr").alias("score"))
+    return present(columns.top_features(scores, 2), ("feature",))

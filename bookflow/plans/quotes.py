@@ -1,5 +1,6 @@
 """Ordered quote families with their check SQL."""
 
+from ..operators import columns, flow
 from ..operators import quotes as q
 from ..sources.adapters import streams
 from .book import bucket_sql
@@ -206,7 +207,7 @@ def volatility_steps():
     ]
 
 
-def _volatility_sql():
+def _volatility_parts():
     depth = "((bv1 + av1) / greatest(n_all, 1) + 1)"
     seen = "((n_0 > 0)::INT + (n_1 > 0)::INT + (n_2 > 0)::INT)"
     ref = f"greatest(CASE WHEN {seen} > 0 THEN (mid_0 + mid_1 + mid_2) / {seen} ELSE 1 END, {EPS})"
@@ -241,23 +242,23 @@ def _volatility_sql():
         out[f"x30_depth_ratio_{s}"] = f"({x}2 / greatest(n_all, 1)) / greatest({x}1 / greatest(n_all, 1), {EPS})"
     lags = ", ".join(f"lag(sgn, {k}) {W} AS g{k}" for k in (1, 2, 3))
     acs = ", ".join(f"sum(sgn * g{k}) AS ac{k}, count(g{k}) AS n{k}" for k in (1, 2, 3))
-    return query(
-        ["mk", "tx", "od", "spine"],
-        f"SELECT sample_id, {cols(out)} FROM v LEFT JOIN ts USING (sample_id) LEFT JOIN o USING (sample_id)",
-        steps=volatility_steps()
-        + [
-            f"ts AS (SELECT sample_id, {acs}, sum(volume) AS vol, sum(sgn * volume) AS sv, "
-            "sum(sgn * volume) FILTER (WHERE t < 10) AS sv10, sum(volume) FILTER (WHERE t < 10) AS v10 "
-            f"FROM (SELECT *, {lags} FROM tx) GROUP BY sample_id)",
-            "o AS (SELECT sample_id, count(*) FILTER (WHERE act = 0) AS ad, count(*) FILTER (WHERE act = 1) AS cn, "
-            "count(*) FILTER (WHERE act = 0 AND side = 0) AS ab, count(*) FILTER (WHERE act = 1 AND side = 0) AS cb, "
-            "count(*) FILTER (WHERE act = 0 AND side = 1) AS aa, count(*) FILTER (WHERE act = 1 AND side = 1) AS ca "
-            "FROM od GROUP BY sample_id)",
-        ],
-    )
+    return out, [
+        *volatility_steps(),
+        f"ts AS (SELECT sample_id, {acs}, sum(volume) AS vol, sum(sgn * volume) AS sv, "
+        "sum(sgn * volume) FILTER (WHERE t < 10) AS sv10, sum(volume) FILTER (WHERE t < 10) AS v10 "
+        f"FROM (SELECT *, {lags} FROM tx) GROUP BY sample_id)",
+        "o AS (SELECT sample_id, count(*) FILTER (WHERE act = 0) AS ad, count(*) FILTER (WHERE act = 1) AS cn, "
+        "count(*) FILTER (WHERE act = 0 AND side = 0) AS ab, count(*) FILTER (WHERE act = 1 AND side = 0) AS cb, "
+        "count(*) FILTER (WHERE act = 0 AND side = 1) AS aa, count(*) FILTER (WHERE act = 1 AND side = 1) AS ca "
+        "FROM od GROUP BY sample_id)",
+    ]
+
+
+VOLATILITY, VOLATILITY_STEPS = _volatility_parts()
+VOLATILITY_BODY = f"SELECT sample_id, {cols(VOLATILITY)} FROM v LEFT JOIN ts USING (sample_id) LEFT JOIN o USING (sample_id)"
 
 
-@register("volatility_flow", _volatility_sql())
+@register("volatility_flow", query(["mk", "tx", "od", "spine"], VOLATILITY_BODY, steps=VOLATILITY_STEPS))
 def volatility_flow(spark, path):
     s = streams(spark, path)
     return present(q.volatility_flow(s.market, s.transaction, s.order, s.spine))
@@ -580,3 +581,20 @@ def liquidity_recovery(spark, path):
     s = streams(spark, path)
     fit = s.label.filter("month <= 7").select("sample_id")
     return present(q.liquidity_recovery(s.market, s.spine, fit))
+
+
+@register(
+    "feature_arm_flow",
+    query(
+        ["mk", "tx", "od", "spine"],
+        "SELECT sample_id, tx_n, "
+        + ", ".join(n for n in VOLATILITY if n.startswith(("x30_ord", "x30_qi")) or "ofi" in n or "depth_ratio" in n)
+        + f" FROM (SELECT sample_id, coalesce(n, 0) AS tx_n FROM spine LEFT JOIN (SELECT sample_id, count(*) AS n FROM tx GROUP BY sample_id) USING (sample_id)) JOIN ({VOLATILITY_BODY}) USING (sample_id)",
+        steps=VOLATILITY_STEPS,
+    ),
+)
+def feature_arm_flow(spark, path):
+    s = streams(spark, path)
+    base = flow.on_spine(s.spine, flow.trade_summary(s.transaction).select("sample_id", "tx_n"), fill=0.0)
+    pack = q.volatility_flow(s.market, s.transaction, s.order, s.spine)
+    return present(columns.feature_arm(base, pack, None, "flow"))
