@@ -348,24 +348,24 @@ def submission_rows(spark, path):
 
 @register(
     "stream_look_back",
-    "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H') AS start, event_type, count(*)::DOUBLE AS events, "
+    "SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) AS start, event_type, count(*)::DOUBLE AS events, "
     "round(sum(value) + 1.23e-10, 6) + 0.0 AS value FROM events GROUP BY ALL",
 )
 def stream_look_back(spark, path):
     agg = stream.look_back(stream.event_stream(spark, path), ["event_type"], "6 hours")
     out = stream.run_to_folder(agg, "complete")
-    return present(out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH")), ("start", "event_type"))
+    return present(out.withColumn("start", F.unix_micros("start")), ("start", "event_type"))
 
 
 @register(
     "stream_nested_windows",
-    "SELECT strftime(s, '%Y-%m-%d %H') AS start, count(*)::DOUBLE AS events, round(sum(value) + 1.23e-10, 6) + 0.0 AS value FROM "
+    "SELECT epoch_us(s) AS start, count(*)::DOUBLE AS events, round(sum(value) + 1.23e-10, 6) + 0.0 AS value FROM "
     "(SELECT time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR * k AS s, value FROM events, range(4) r(k)) GROUP BY ALL",
 )
 def stream_nested_windows(spark, path):
     agg = stream.look_back(stream.event_stream(spark, path), [], "24 hours", "6 hours")
     out = stream.run_to_folder(agg, "complete")
-    return present(out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH")), ("start",))
+    return present(out.withColumn("start", F.unix_micros("start")), ("start",))
 
 
 @register(

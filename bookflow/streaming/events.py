@@ -21,7 +21,9 @@ def event_stream(spark, path, name="events", files_per_batch=1):
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(path)
     )
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    # stored without a zone: read as UTC, whatever the zone of the session
+    micros = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"
+    return raw.withColumn("ts", F.timestamp_micros(F.expr(micros)))
 
 
 def complete_samples(events, key, gap, delay):
