@@ -2,8 +2,8 @@
 
 Each word is encoded by the vocabulary (sentencepiece, with byte fallback). A document has three figures: characters per
 token, the share of byte-fallback tokens, and the entropy of its tokens in bits. Every language (or any other grouping
-column) gets a rejection band per figure: quartiles of all its documents, exact to a bin of 1/1000 of the scale, and
-`reach` interquartile ranges beyond them. A document is kept if its base rules hold and all figures lie in the band.
+column) gets a rejection band per figure: quartiles of all its documents, exact to a bin of 1/4000 of the scale, and
+`reach` interquartile ranges beyond them (3: the outer fences of a box plot). A document is kept if its base rules hold and all figures lie in the band.
 
 Figures of texts with few tokens spread more, so a band is `reach * (1 + sqrt(spread_tokens / tokens))` ranges wide.
 
@@ -25,8 +25,8 @@ from .common import arrow, few, held, steps
 SYMBOLS = b"#*$%&|<>"
 CACHED = 1_000_000
 #: figure -> (upper end of its scale, least interquartile range)
-FIGURES = {"chars_per_token": (16.0, 0.1), "byte_share": (1.0, 0.02), "entropy": (20.0, 0.2)}
-STEPS = 1000
+FIGURES = {"chars_per_token": (16.0, 0.03), "byte_share": (1.0, 0.005), "entropy": (20.0, 0.1)}
+STEPS = 4000
 
 
 class Pieces(dict):
@@ -77,12 +77,12 @@ def repeated_lines(text):
     return len(lines) - len(set(lines))
 
 
-def _figures(path, carried):
+def _figures(path, text, carried):
     def run(batches):
         vocabulary = pieces(path)
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, text):
             rows = []
-            for t in batch.column("text").to_pylist():
+            for t in batch.column(text).to_pylist():
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 words = raw.split()
                 packed = b"".join(words)
@@ -107,13 +107,13 @@ def _figures(path, carried):
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, " + ", ".join(f"{f} double" for f in FIGURES)
 
 
-def measures(docs, path, group="lang", carried=("doc_id",)):
+def measures(docs, path, text="text", group="lang", carried=("doc_id",)):
     """docs(text, group, ...) -> the carried columns, group and the figures of each row, as a held table."""
-    docs = docs.select(*dict.fromkeys([*carried, group, "text"]))
+    docs = docs.select(*dict.fromkeys([*carried, group, text]))
     carried = list(dict.fromkeys([*carried, group]))
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", " + MEASURES
-    return held(docs.mapInArrow(_figures(path, carried), schema), "measures")
+    return held(docs.mapInArrow(_figures(path, text, carried), schema), "measures")
 
 
 def base_failed(min_words=50, repeat_percent=50):
@@ -139,7 +139,7 @@ def bands(measured, group="lang"):
     return quartiles.groupBy(group).agg(*out)
 
 
-def judged(measured, group="lang", reach=4.0, spread_tokens=100.0):
+def judged(measured, group="lang", reach=3.0, spread_tokens=100.0):
     """Adds base_failed, a flag per figure and kept."""
     limits = held(bands(measured, group), "bands")
     names = [c for c in limits.columns if c != group]

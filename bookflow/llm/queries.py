@@ -7,7 +7,12 @@ from .common import documents
 from .fertility import judged, measures
 from .kd_shards import kd_shards
 from .licenses import license_scan
+from .line_dedup import LineIndex
+from .mixing import Mixture
+from .ngram_join import near_duplicates
 from .packing import pack
+from .pu_quality import pu_scores
+from .spot_signatures import edited_fingerprints
 from .token_counts import token_counts
 
 _ENTRIES = {}
@@ -25,6 +30,11 @@ def entries():
     return dict(_ENTRIES)
 
 
+@query("op1_mixture")
+def op1(spark, path):
+    return Mixture(documents(spark, path)).documents()
+
+
 @query("op2_kd_shards")
 def op2(spark, path):
     out = kd_shards(documents(spark, path), shards=16)
@@ -45,6 +55,33 @@ def op4(spark, path):
     return license_scan(documents(spark, path))
 
 
+LINES_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+k AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+),
+s AS (SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT r, doc_id, line, pos, coalesce(keeper <> doc_id, false) AS lost FROM k LEFT JOIN s USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id"""
+
+
+@query("op5_line_dedup", LINES_SQL)
+def op5(spark, path):
+    docs = documents(spark, path)
+    index = LineIndex(spark)
+    index.insert(docs)
+    return index.apply(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_spot_signatures")
+def op6(spark, path):
+    return edited_fingerprints(documents(spark, path))
+
+
 @query("op7_fertility_rules")
 def op7(spark, path):
     out = judged(measures(documents(spark, path), public_tokenizers.path("piece_bpe_32k.model")))
@@ -56,3 +93,13 @@ def op7(spark, path):
 def op10(spark, path):
     out = pack(documents(spark, path), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op8_ngram_join")
+def op8(spark, path):
+    return near_duplicates(documents(spark, path))
+
+
+@query("op9_pu_quality")
+def op9(spark, path):
+    return pu_scores(documents(spark, path), spark.read.parquet(f"{path}/labels.parquet"))
