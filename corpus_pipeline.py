@@ -38,9 +38,11 @@ def line_dedup(spark, docs, sf_dir):
 def ngram_join(spark, docs, sf_dir):
     """The document of the smallest id of each group of near duplicates, once."""
     stays = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).drop("_id")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return kept.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(F.col("doc_id").cast("long").alias("_own"), *[F.col(c).alias(n) for c, n in names.items()])
+    first = F.row_number().over(Window.partitionBy("_own").orderBy(names["text"]))
+    kept = rows.join(stays, F.col("_own").eqNullSafe(F.col("_id"))).withColumn("_n", first).where("_n = 1")
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def mixture(spark, docs, sf_dir):
