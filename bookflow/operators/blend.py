@@ -7,11 +7,10 @@ weights, grids and solves then work on K x K numbers, never on rows.
 import itertools
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..schema import MONTH
+from .linear import predicted, ridge_fit
 from .preprocess import _with_row, centred, equal_blocks
 from .quantile import exact_quantiles
 
@@ -256,17 +255,16 @@ def month_table(df, features, target="target"):
 def common_component(df, features, pred, train_end, alpha=100.0, target="target"):
     """Replace the month mean of a prediction by one regressed on month summaries.
 
-    The regression sees one row per month up to `train_end`; `alpha` is the ridge penalty.
+    The regression sees one row per month up to `train_end`; `alpha` is the ridge penalty
+    on standardised summaries; a summary missing in a month is the median of the training months.
     """
     t = month_table(df, features, target)
     inputs = [n for n in t.columns if n not in (MONTH, "mean_target")]
-    t = t.na.fill(0.0, inputs)
+    # a summary no month has, or only months after training have, is 0
+    medians = t.filter(c(MONTH) <= train_end).agg(*[F.median(n).alias(n) for n in inputs]).first()  # one number per summary
+    t = t.na.fill({n: 0.0 if medians[n] is None else float(medians[n]) for n in inputs})
     train = t.filter(c(MONTH) <= train_end)
-    n = train.count()
-    v = VectorAssembler(inputCols=inputs, outputCol="x")
-    # the library divides the squared error by 2n and the penalty by 2
-    fit = LinearRegression(featuresCol="x", labelCol="mean_target", regParam=alpha / n, solver="normal").fit(v.transform(train))
-    common = fit.transform(v.transform(t)).select(MONTH, c("prediction").alias("common"))
+    common = t.select(MONTH, predicted(inputs, ridge_fit(train, inputs, "mean_target", alpha)).alias("common"))
     out = centred(df, pred, (MONTH,)).join(F.broadcast(common), MONTH, "left")  # one row per month
     return out.withColumn("adjusted", c("centred") + c("common")).drop("centred", "common")
 
@@ -283,23 +281,19 @@ def centring_variants(df, pred, blocks=6):
 
 
 def geometry_fit(matrix, scores, ridges=None):
-    """Ridge on the Gram matrix of scored vectors, the penalty chosen leaving one out at a time.
+    """Ridge on the Gram matrix of scored vectors, the penalty with the least leave-one-out error.
 
-    Returns (penalty, coefficients, mean absolute error); K x K input.
+    One factorisation serves all penalties: leaving a vector out changes its score by its coefficient over the diagonal
+    of the inverse. Returns (penalty, coefficients, mean absolute error); K x K input.
     """
-    g = np.clip(np.asarray(matrix, float), -1.0, 1.0)
-    s = np.asarray(scores, float)
-    best = None
-    for r in np.logspace(-7, 0, 29) if ridges is None else ridges:
-        err = []
-        for k in range(len(s)):
-            keep = np.arange(len(s)) != k
-            coef = np.linalg.solve(g[np.ix_(keep, keep)] + r * np.eye(len(s) - 1), s[keep])
-            err.append(abs(g[k, keep] @ coef - s[k]))
-        row = (float(np.mean(err)), float(np.sqrt(np.mean(np.square(err)))), float(r))
-        best = row if best is None or row < best else best
-    coef = np.linalg.solve(g + best[2] * np.eye(len(s)), s)
-    return best[2], coef, best[0]
+    values, vectors = np.linalg.eigh(np.clip(np.asarray(matrix, float), -1.0, 1.0))
+    ridges = np.logspace(-7, 0, 29) if ridges is None else np.asarray(ridges, float)
+    inverse = 1.0 / (values[:, None] + ridges)  # vectors x penalties
+    coefficients = vectors @ ((vectors.T @ np.asarray(scores, float))[:, None] * inverse)
+    left_out = np.abs(coefficients / (vectors**2 @ inverse))
+    mae, rmse = left_out.mean(0), np.sqrt((left_out**2).mean(0))
+    at = np.lexsort((ridges, rmse, mae))[0]
+    return float(ridges[at]), coefficients[:, at], float(mae[at])
 
 
 def estimate_scores(df, scored, candidates, scores):

@@ -44,6 +44,14 @@ def checked(df, span, codes=("side",), may_miss=()):
     return df.filter(F.when(bad, F.raise_error(F.lit("input contract broken"))).otherwise(F.lit(True)))
 
 
+def coded(df, *codes):
+    """The same rows, with an error raised on the first unknown or missing code that is read."""
+    bad = F.lit(False)
+    for n in codes:
+        bad = bad | F.coalesce(~c(n).isin(0, 1), F.lit(True))
+    return df.filter(F.when(bad, F.raise_error(F.lit("unknown side or action"))).otherwise(F.lit(True)))
+
+
 def level_profile(market):
     """One row: empty levels (price 0) per side and level, and the share of samples with any."""
     prices = [f"{s}_price_{n}" for n in (1, 2) for s in ("ask", "bid")]

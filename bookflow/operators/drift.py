@@ -7,8 +7,7 @@ a table with one row per feature.
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -121,42 +120,79 @@ def drift_report(reference, other, names):
 # redundancy --------------------------------------------------------------------------------------
 
 
-def correlation_pairs(df, names):
-    """Pearson correlation of every pair of columns, one row per pair, from product sums.
+def _pair_sums(names, centre):
+    """Per task and row column: counts, sums, squares and products over rows where both columns are known."""
+    k = len(names)
 
-    Missing values are left out pairwise. The number of pairs depends on columns, not rows.
-    """
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    x = {n: null_if_nan(c(n).cast("double")) for n in names}
-    both = df.agg(*[correlation(x[a], x[b]).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), c(f"{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
-    return both.select(F.explode(rows).alias("_p")).select("_p.*")
+    def run(frames):
+        sums = np.zeros((6, k, k))
+        for frame in frames:
+            x = frame.to_numpy(np.float64) - centre
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0.0), known.astype(np.float64)
+            squares = x * x
+            sums += [m.T @ m, x.T @ m, m.T @ x, squares.T @ m, m.T @ squares, x.T @ x]
+        if sums[0].any():
+            yield pd.DataFrame({"i": range(k), "sums": list(sums.transpose(1, 0, 2).reshape(k, -1))})
+
+    return run
 
 
-def correlation_matrix(df, names):
-    """Correlation matrix of complete columns as an array, computed by the ML statistics package."""
-    vectors = VectorAssembler(inputCols=list(names), outputCol="_v", handleInvalid="skip").transform(df)
-    return Correlation.corr(vectors, "_v").head()[0].toArray()
+def pair_moments(df, names):
+    """(i, j, n, corr) of every ordered pair of columns in one pass; missing values are left out pairwise.
+
+    A task holds six matrices of columns by columns and gives one row per column; blocks of them are added by column. Values
+    are taken from their column means first, so that products keep their digits. `corr` is null when a side is constant.
+    """
+    names, k = list(names), len(names)
+    x = df.select(*[null_if_nan(c(n).cast("double")).alias(f"x{i}") for i, n in enumerate(names)])
+    centre = F.array(*[F.coalesce(F.avg(f"x{i}"), F.lit(0.0)) for i in range(k)])
+    centre = np.array(x.agg(centre.alias("m")).first().m)  # one number per column
+    sums = x.mapInPandas(_pair_sums(names, centre), "i int, sums array<double>")
+    cells = sums.select("i", F.posexplode("sums").alias("cell", "v")).groupBy("i", "cell").agg(F.sum("v").alias("v"))
+    at = lambda part: F.max(F.when((c("cell") / k).cast("int") == part, c("v")))
+    pairs = cells.groupBy("i", (c("cell") % k).alias("j")).agg(*[at(p).alias(f"s{p}") for p in range(6)])
+    n, sx, sy, sxx, syy, sxy = (c(f"s{p}") for p in range(6))
+    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+    flat = (vx <= 1e-12 * sxx) | (vy <= 1e-12 * syy)
+    corr = F.when((n > 0) & ~flat, (sxy - sx * sy / n) / F.sqrt(vx * vy))
+    return pairs.where(n > 0).select("i", "j", n.cast("long").alias("n"), corr.alias("corr"))
+
+
+def correlation_pairs(df, names, min_periods=1):
+    """Pearson correlation of every pair of columns, one row per pair; null below `min_periods` common rows."""
+    name = lambda i: F.element_at(F.array(*[F.lit(x) for x in names]), i + 1)
+    m = pair_moments(df, names).where("i < j")
+    every = df.sparkSession.range(len(names)).select(c("id").cast("int").alias("i"))
+    every = every.select("i", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("j")).where("i < j")
+    corr = F.when(c("n") >= min_periods, c("corr")).alias("corr")
+    return every.join(m, ["i", "j"], "left").select(name(c("i")).alias("a"), name(c("j")).alias("b"), corr)
+
+
+def correlation_matrix(df, names, min_periods=1):
+    """Pairwise correlations as an array of columns by columns, NaN where unknown."""
+    out = np.full((len(names), len(names)), np.nan)
+    for r in pair_moments(df, names).where(c("n") >= min_periods).collect():  # columns x columns numbers
+        out[r.i, r.j] = np.nan if r["corr"] is None else r["corr"]
+    return out
 
 
 def prune_correlated(matrix, names, gains, threshold=0.995):
-    """Keep columns by falling gain unless one kept already correlates at `threshold` or more.
+    """Strikes out, for each column by falling gain, all later ones that correlate with it at `threshold` or more.
 
-    Works on the column-by-column matrix only. Returns (kept, [(removed, keeper, correlation)]).
+    Works on the column-by-column matrix only. Returns (kept, [(removed, closest kept column, correlation)]).
     """
-    place = {n: i for i, n in enumerate(names)}
-    kept, removed = [], []
-    for n in sorted(names, key=lambda n: (-gains.get(n, 0.0), n)):
-        if not kept:
-            kept.append(n)
+    strength = np.abs(np.nan_to_num(np.asarray(matrix, float)))
+    order = sorted(range(len(names)), key=lambda i: (-gains.get(names[i], 0.0), names[i]))
+    later, struck = set(order), {}
+    for i in order:
+        later.discard(i)
+        if i in struck:
             continue
-        r = np.abs(matrix[place[n], [place[k] for k in kept]])
-        best = int(np.nanargmax(r)) if np.isfinite(r).any() else None
-        if best is not None and r[best] >= threshold:
-            removed.append((n, kept[best], float(r[best])))
-        else:
-            kept.append(n)
-    return kept, removed
+        for j in later.intersection(np.flatnonzero(strength[i] >= threshold).tolist()):
+            if strength[i, j] > struck.get(j, (0.0,))[0]:
+                struck[j] = (float(strength[i, j]), names[i])
+    return [names[i] for i in order if i not in struck], [(names[i], *struck[i][::-1]) for i in order if i in struck]
 
 
 def prune_by_gain(gains, share=0.1):
@@ -167,29 +203,18 @@ def prune_by_gain(gains, share=0.1):
 
 def pack_overlap(left, right, left_names, right_names, threshold=0.999):
     """For each right column its closest left column, whether it is constant, and a drop reason."""
-    both = left.select(KEY, *left_names).join(right.select(KEY, *right_names), KEY)
-    x = {n: null_if_nan(c(n).cast("double")) for n in [*left_names, *right_names]}
-    aggs = [correlation(x[a], x[b]).alias(f"{j}_{i}") for j, b in enumerate(right_names) for i, a in enumerate(left_names)]
-    spread = [(F.max(x[b]) == F.min(x[b])).alias(f"k_{j}") for j, b in enumerate(right_names)]
-    row = both.agg(*aggs, *spread)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(b).alias("feature"),
-                F.array_max(
-                    F.array(
-                        *[
-                            F.struct(F.coalesce(F.abs(c(f"{j}_{i}")), F.lit(0.0)).alias("r"), F.lit(a).alias("n"))
-                            for i, a in enumerate(left_names)
-                        ]
-                    )
-                ).alias("best"),
-                F.coalesce(c(f"k_{j}"), F.lit(True)).alias("constant"),
-            )
-            for j, b in enumerate(right_names)
-        ]
-    )
-    t = row.select(F.explode(rows).alias("_r")).select("_r.*")
+    names, k = [*left_names, *right_names], len(left_names)
+    both = left.select(KEY, *[c(n).alias(f"_l{i}") for i, n in enumerate(left_names)])
+    both = both.join(right.select(KEY, *[c(n).alias(f"_r{i}") for i, n in enumerate(right_names)]), KEY)
+    columns = [*[f"_l{i}" for i in range(k)], *[f"_r{i}" for i in range(len(right_names))]]
+    name = lambda i: F.element_at(F.array(*[F.lit(n) for n in names]), i + 1)
+    pairs = pair_moments(both, columns).where((c("i") >= k) & (c("j") < k))
+    best = pairs.groupBy("i").agg(F.max(F.struct(F.coalesce(F.abs("corr"), F.lit(0.0)).alias("r"), name(c("j")).alias("n"))).alias("best"))
+    spread = stacked(both, columns[k:]).groupBy("feature").agg((F.max("value") == F.min("value")).alias("constant"))
+    spread = spread.select((F.substring("feature", 3, 9).cast("int") + k).alias("i"), F.coalesce("constant", F.lit(True)).alias("constant"))
+    t = spread.join(best, "i", "left").withColumn("feature", name(c("i")))
+    none = F.struct(F.lit(0.0).alias("r"), F.lit(max(left_names)).alias("n"))  # no common row with any left column
+    t = t.withColumn("best", F.coalesce("best", none))
     reason = F.when(c("constant"), "constant").when(c("best.r") >= threshold, "duplicate").otherwise("keep")
     return t.select("feature", "constant", c("best.n").alias("partner"), c("best.r").alias("correlation"), reason.alias("reason"))
 
@@ -229,8 +254,7 @@ def boundary_scores(df, names, window, block_rows=100_000):
 
     Ids are cut into blocks, each with a halo of `window` rows from its neighbours.
     """
-    if window > block_rows:
-        raise ValueError("window must not exceed a block")
+    block_rows = max(block_rows, window)
     rows = equal_positions(df.select(KEY, *names))
     block = F.floor(c("pos") / block_rows)
     here = F.array(F.struct(block.alias("b"), F.lit(True).alias("own")))
@@ -240,9 +264,20 @@ def boundary_scores(df, names, window, block_rows=100_000):
         here, halo((inside < window) & (block > 0), block - 1), halo(inside >= block_rows - window, block + 1)
     )
     spread = rows.withColumn("_c", F.explode(copies)).select("*", "_c.b", "_c.own")
-    left = Window.partitionBy("b").orderBy("pos").rowsBetween(-window, -1)
-    right = Window.partitionBy("b").orderBy("pos").rowsBetween(0, window - 1)
-    gap = [F.avg(n).over(right) - F.avg(n).over(left) for n in names]
+    # means of both sides from running sums and counts at three places
+    order = Window.partitionBy("b").orderBy("pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {f"_s{i}": F.coalesce(F.sum(n).over(upto), F.lit(0.0)) for i, n in enumerate(names)}
+    spread = spread.withColumns(sums | {f"_k{i}": F.count(n).over(upto) for i, n in enumerate(names)})
+
+    def mean(i, ahead):
+        end, start = (F.lead(f"_{x}{i}", window - 1).over(order) if ahead else F.lag(f"_{x}{i}", 1).over(order) for x in "sk"), (
+            F.coalesce(F.lag(f"_{x}{i}", 1 if ahead else window + 1).over(order), F.lit(0)) for x in "sk"
+        )
+        total, known = (a - b for a, b in zip(end, start))
+        return F.when(known > 0, total / known)
+
+    gap = [mean(i, True) - mean(i, False) for i in range(len(names))]
     score = F.sqrt(sum((g * g for g in gap), F.lit(0.0)) / float(len(names)))
     out = spread.withColumn("score", score)
     whole = (c("pos") >= window) & (c("pos") <= c("rows") - window)

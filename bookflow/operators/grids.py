@@ -17,7 +17,9 @@ from ..functions.stats import count_if, sum0, sum_if
 from ..schema import KEY, SEQ, TIME
 from .assemble import derive, on_spine, summarise
 from .book import widen
+from .contract import coded
 from .joins import densify
+from .quantile import quantiles_of
 from .timeline import Timeline
 
 c = F.col
@@ -136,20 +138,25 @@ def sequence_audit(market, label, steps=200):
         },
     )
     s = label.select(KEY, "month").join(s, KEY, "left").na.fill(0, ["raw_count", "kept_count", "backwards"])
-    q = lambda x, p: F.percentile(x, F.lit(p))  # one value per sample
-    return s.groupBy("month").agg(
+    s = s.withColumn("coverage", c("earliest") - c("latest"))
+    exact = quantiles_of(
+        s,
+        {
+            "kept_q50": (c("kept_count"), 0.5), "coverage_q10": (c("coverage"), 0.1), "coverage_q50": (c("coverage"), 0.5),
+            "activity_q50": (c("activity"), 0.5),
+        },
+        ("month",),
+    )
+    counts = s.groupBy("month").agg(
         F.count(F.lit(1)).alias("samples"),
         F.avg((c("raw_count") >= steps).cast("double")).alias("cap_rate"),
         F.avg((c("raw_count") > steps).cast("double")).alias("truncated_rate"),
         count_if(c("raw_count") == 0).alias("empty"),
         F.sum("backwards").alias("order_violations"),
         F.avg("kept_count").alias("kept_mean"),
-        q(c("kept_count"), 0.5).alias("kept_q50"),
-        q(c("earliest") - c("latest"), 0.1).alias("coverage_q10"),
-        q(c("earliest") - c("latest"), 0.5).alias("coverage_q50"),
-        q(c("activity"), 0.5).alias("activity_q50"),
         F.stddev_pop("activity").alias("activity_std"),
     )
+    return counts.join(exact, "month", "left")
 
 
 # one-second grid of all three streams ------------------------------------------------------------
@@ -351,10 +358,11 @@ def merged_events(events, is_order=False):
     p, v, t = X.price, X.volume, seconds()
     action = F.col("order_action") if is_order else F.lit(0)
     category = (action * 2 + F.col("side")).cast("int")
-    ok = (t >= 0) & (t <= 60) & (p > 0) & (v >= 0) & F.col("side").isin(0, 1) & action.isin(0, 1)
+    ok = (t >= 0) & (t <= 60) & (p > 0) & (v >= 0)
     aggs = {"raw": F.count(F.lit(1))}
     for k in range(4 if is_order else 2):
         aggs |= {f"v{k}": sum_if(category == k, v), f"n{k}": count_if(category == k), f"a{k}": sum_if(category == k, v * p)}
+    events = coded(events, "side", "order_action") if is_order else coded(events, "side")
     return summarise(events.filter(ok), aggs, (KEY, TIME))
 
 

@@ -7,10 +7,11 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from ..schema import KEY
+from .linear import predicted, ridge_fit
 from .preprocess import _with_row, average_rank
 from .quantile import exact_quantiles
 
@@ -47,9 +48,10 @@ def random_forest(df, names, train_filter, score_filter, seeds=(1,), depth=6, tr
 
 
 def ridge(df, names, train_filter, score_filter, alpha=1.0):
-    v = assembled(df, names)
-    fit = LinearRegression(labelCol="target", regParam=alpha, elasticNetParam=0.0, solver="normal").fit(v.filter(train_filter))
-    return fit.transform(v.filter(score_filter)).select(KEY, "prediction")
+    """Ridge on standardised features; missing values become 0."""
+    df = df.na.fill(0.0, list(names))
+    fit = ridge_fit(df.filter(train_filter), names, "target", alpha)
+    return df.filter(score_filter).select(KEY, predicted(names, fit).alias("prediction"))
 
 
 def feature_gains(df, names, train_filter, seed=1, depth=4, rounds=10):

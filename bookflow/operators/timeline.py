@@ -1,17 +1,18 @@
 """Per-sample time order that stays balanced when one sample holds most of the rows.
 
-Keys above a row limit are cut into slices of their order column, and windows then run per
-(key, slice). What a slice needs from the slices before it - the last rows, a running total - is a
-small "carry": aggregated per slice, folded over the slices of the key, and joined back by
-broadcast. Without such keys, windows simply run per key and no carry is planned.
-
-Finding the large keys is one narrow aggregation, run when a Timeline is made. The limit is
-max(conf `bookflow.rowsPerSlice`, rows / 100 000): at most 100 000 keys can exceed it and their
-slices number at most 200 000 in all, which bounds what is collected and broadcast whatever the
-size of the data.
+Rows of keys above a row limit are range-partitioned by key and full order, ties included, so a burst of equal instants or
+an outlier is split like anything else; a slice is one such partition. They are written to the shared folder once, which
+fixes the slices. Windows then run per (key, slice). What a slice needs from the slices before it - the last rows, a running
+total - is a small "carry": aggregated per slice, folded over the slices of the key, and joined back by broadcast. Without
+such keys, windows simply run per key and no carry is planned. Both ways give the same values.
+
+Finding the large keys is one narrow aggregation, run when a Timeline is made and remembered for that DataFrame object, whose
+list of files is fixed. The limit is max(conf `bookflow.rowsPerSlice`, rows / 100 000): at most 100 000 keys can exceed it and
+their slices number at most 200 000 in all, which bounds what is collected and broadcast whatever the size of the data.
 """
 
 from dataclasses import dataclass, replace
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,34 +24,24 @@ SLICE = "_slice"
 MAX_LARGE_KEYS = 100_000
 MAX_CARRIES = 2  # each carry reads the rows twice, so chained ones multiply
 
-_known = {}
+_sizes = WeakKeyDictionary()
 
 
 def rows_per_slice(spark):
     return int(spark.conf.get("bookflow.rowsPerSlice", "2000000"))
 
 
-def large_keys(df, keys, by):
-    """Small table (key, lo, hi, slices) of the keys above the limit, or None when there are none."""
+def large_keys(df, keys):
+    """Keys above the limit with their number of slices, as rows; none as a rule."""
     per_slice = rows_per_slice(df.sparkSession)
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(by).cast("double").alias("_lo"),
-        F.max(by).cast("double").alias("_hi"),
-    )
-    limit = F.greatest(F.lit(float(per_slice)), F.col("rows") / MAX_LARGE_KEYS)
-    large = (
-        sizes.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("rows"))))
-        .filter(F.col("n") > limit)
-        .select(*keys, "_lo", "_hi", F.ceil(F.col("n") / limit).cast("int").alias("_slices"))
-    )
-    # The answer only affects balance, never results, so a remembered one is always safe.
-    memo = (df.sparkSession.sparkContext.applicationId, large.semanticHash())
-    if memo not in _known:
-        _known[memo] = large.collect()
-    if not _known[memo]:
-        return None
-    return F.broadcast(df.sparkSession.createDataFrame(_known[memo], large.schema))
+    known = _sizes.setdefault(df, {})
+    if (tuple(keys), per_slice) not in known:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        limit = F.greatest(F.lit(float(per_slice)), F.col("rows") / MAX_LARGE_KEYS)
+        whole = F.broadcast(sizes.agg(F.sum("n").alias("rows")))  # one row
+        large = sizes.crossJoin(whole).filter(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("_slices"))
+        known[(tuple(keys), per_slice)] = (large.collect(), large.schema)
+    return known[(tuple(keys), per_slice)]
 
 
 def lookup(rows, reference, on, keys=(KEY,), salt_by=(SEQ,)):
@@ -59,10 +50,10 @@ def lookup(rows, reference, on, keys=(KEY,), salt_by=(SEQ,)):
     Rows of a large key are salted by hash and its few reference rows are repeated per salt, so
     the join never puts one key on one task.
     """
-    large = large_keys(rows, keys, F.lit(0.0))
-    if large is None:
+    found, schema = large_keys(rows, keys)
+    if not found:
         return rows.join(reference, list(on), "left")
-    large = large.select(*keys, "_slices")
+    large = F.broadcast(rows.sparkSession.createDataFrame(found, schema))
     parts = F.coalesce(F.col("_slices"), F.lit(1))
     left = rows.join(large, list(keys), "left").withColumn(
         SLICE, F.pmod(F.xxhash64(*salt_by), parts).cast("int")
@@ -88,20 +79,20 @@ class Timeline:
     def of(cls, df, keys=(KEY,), by=None, order=None):
         """Chronological by default: seconds descending, ties by `event_seq`.
 
-        Another order needs `by`, a number that never falls along it.
+        Another order is given whole, or by its leading number `by`.
         """
         by = -F.col(TIME).cast("double") if by is None else by
         order = (by, F.col(SEQ)) if order is None else tuple(order)
         keys = tuple(keys)
-        large = large_keys(df, keys, by)
-        if large is None:
+        found, schema = large_keys(df, keys)
+        if not found:
             return cls(df, keys, order, False)
-        share = (by - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-        number = F.least(F.floor(share * F.col("_slices")), F.col("_slices") - 1)
-        rows = df.join(large, list(keys), "left").withColumn(
-            SLICE, F.coalesce(number, F.when(F.col("_slices").isNotNull(), 0), F.lit(-1)).cast("int")
-        )
-        return cls(rows.drop("_lo", "_hi", "_slices"), keys, order, True)
+        large = F.broadcast(df.sparkSession.createDataFrame(found, schema).select(*keys))
+        slices = sum(r["_slices"] for r in found)
+        hot = df.join(large, list(keys), "left_semi").repartitionByRange(slices, *keys, *order)
+        hot = cut(hot.withColumn(SLICE, F.spark_partition_id()))
+        rest = df.join(large, list(keys), "left_anti").withColumn(SLICE, F.lit(-1))
+        return cls(hot.unionByName(rest), keys, order, True)
 
     @property
     def parts(self):

@@ -316,7 +316,7 @@ def correlation_pairs(spark, path):
 
 
 def _pruned(spark, path):
-    f = features(spark, path).na.fill(0.0, ["holey"]).withColumn("copy", F.col("pred_a") * 2 + 1)
+    f = features(spark, path).withColumn("copy", F.col("pred_a") * 2 + 1)
     names = ["pred_a", "pred_b", "gap", "holey", "copy"]
     gains = {"pred_a": 5.0, "copy": 9.0, "gap": 1.0, "pred_b": 3.0}
     return drift.prune_correlated(drift.correlation_matrix(f, names), names, gains, 0.9)
@@ -333,7 +333,7 @@ def _pruned(spark, path):
         keys=("feature",),
         steps=[
             FT,
-            "f5 AS (SELECT pred_a, pred_b, gap, coalesce(holey, 0) AS holey, pred_a * 2 + 1 AS copy FROM ft)",
+            "f5 AS (SELECT pred_a, pred_b, gap, holey, pred_a * 2 + 1 AS copy FROM ft)",
             "cm AS ("
             + " UNION ALL ".join(
                 f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM f5" for a in ("pred_a", "pred_b", "gap", "holey", "copy")
@@ -679,6 +679,21 @@ def common_component(spark, path):
     return present(blend.common_component(f, ["pred_b", "gap"], "pred_a", 60).select("sample_id", "adjusted"))
 
 
+@register(
+    "common_component_one",
+    query(
+        ["pr"],
+        """SELECT sample_id, pred_a - m + y + wa / sa * (a - ma) + wb / sb * (b - mb) AS adjusted FROM ft JOIN mt USING (month), (SELECT *,
+        ((n + 100) * ta - n * r * tb) / d AS wa, ((n + 100) * tb - n * r * ta) / d AS wb FROM (SELECT *, n * corr_a * sy AS ta, n * corr_b * sy AS tb,
+        (n + 100) * (n + 100) - n * r * n * r AS d FROM (SELECT count(*)::DOUBLE AS n, avg(t) AS y, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb,
+        stddev_pop(t) AS sy, corr(a, b) AS r, corr(a, t) AS corr_a, corr(b, t) AS corr_b FROM mt WHERE month <= 60)))""",
+        steps=[FT, "mt AS (SELECT month, avg(target) AS t, avg(pred_a) AS m, avg(pred_b) AS a, stddev_pop(pred_b) AS b FROM ft GROUP BY month)"],
+    ),
+)
+def common_component_one(spark, path):
+    return present(blend.common_component(features(spark, path), ["pred_b"], "pred_a", 60).select("sample_id", "adjusted"))
+
+
 @register("geometry_estimate")
 def geometry_estimate(spark, path):
     f = features(spark, path)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import stats
-from ..operators import blend, book, contract, flow, joins, models, quotes
+from ..operators import blend, book, contract, drift, flow, joins, models, quotes
 from ..operators.assemble import on_spine
 from ..schema import SEQ
 from ..sources import ingest, sinks
@@ -115,10 +115,10 @@ def key_sets(spark, path):
     return one_row(contract.key_sets(s.spine, s.market))
 
 
-@register("union_slices", query(["pr"], "SELECT sample_id, 1000 * pred_a AS x FROM pr WHERE sample_id < 300 OR sample_id >= 600"))
+@register("union_slices", query(["pr"], "SELECT sample_id, 1000 * pred_a AS x FROM pr"))
 def union_slices(spark, path):
     p = predictions(spark, path).select("sample_id", (F.col("pred_a") * 1000).alias("x"))
-    return present(contract.union_disjoint([ingest.id_range(p, 0, 300), ingest.id_range(p, 600)]))
+    return present(contract.union_disjoint([ingest.id_range(p, None, 300), ingest.id_range(p, 300, 600), ingest.id_range(p, 600)]))
 
 
 @register("distinct_rows", query(["mk"], "SELECT DISTINCT sample_id, tc, bv1 FROM mk"))
@@ -352,8 +352,7 @@ def submission_rows(spark, path):
     "round(sum(value) + 1.23e-10, 6) + 0.0 AS value FROM events GROUP BY ALL",
 )
 def stream_look_back(spark, path):
-    agg = stream.look_back(stream.event_stream(spark, path), ["event_type"], "6 hours")
-    out = stream.run_to_folder(agg, "complete")
+    out, _ = stream.drained(spark, path, lambda s: stream.look_back(s, ["event_type"], "6 hours"))
     return present(out.withColumn("start", F.unix_micros("start")), ("start", "event_type"))
 
 
@@ -363,8 +362,7 @@ def stream_look_back(spark, path):
     "(SELECT time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR * k AS s, value FROM events, range(4) r(k)) GROUP BY ALL",
 )
 def stream_nested_windows(spark, path):
-    agg = stream.look_back(stream.event_stream(spark, path), [], "24 hours", "6 hours")
-    out = stream.run_to_folder(agg, "complete")
+    out, _ = stream.drained(spark, path, lambda s: stream.look_back(s, [], "24 hours", "6 hours"))
     return present(out.withColumn("start", F.unix_micros("start")), ("start",))
 
 
@@ -373,12 +371,10 @@ def stream_nested_windows(spark, path):
     """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
     r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g),
     s AS (SELECT user_id, run, min(ts) AS start, max(ts) AS last_ts, count(*) AS n, sum(value) AS v FROM r GROUP BY ALL)
-    SELECT user_id, epoch_us(start) AS start, epoch_us(last_ts) AS last_ts, n::DOUBLE AS events, round(v + 1.23e-10, 6) + 0.0 AS value FROM s
-    WHERE last_ts + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    SELECT user_id, epoch_us(start) AS start, epoch_us(last_ts) AS last_ts, n::DOUBLE AS events, round(v + 1.23e-10, 6) + 0.0 AS value FROM s""",
 )
 def stream_complete_samples(spark, path):
-    done = stream.complete_samples(stream.event_stream(spark, path), "user_id", "2 hours", "1 hour")
-    out = stream.run_to_folder(done, "append")
+    out, _ = stream.drained(spark, path, lambda s: stream.complete_samples(s, "user_id", "2 hours", "1 hour"))
     micros = {n: F.unix_micros(n) for n in ("start", "last_ts")}
     return present(out.withColumns(micros), ("user_id", "start", "last_ts"))
 
@@ -403,11 +399,14 @@ def model_random_forest(spark, path):
     "model_ridge",
     query(
         ["pr"],
-        "SELECT sample_id, (my - sl * mx) + sl * pred_a AS prediction FROM pr, (SELECT regr_slope(target, pred_a) AS sl, avg(pred_a) AS mx, avg(target) AS my FROM pr WHERE month < 50) WHERE month >= 50",
+        """SELECT sample_id, y + wa / sa * (pred_a - ma) + wb / sb * (pred_b - mb) AS prediction FROM pr, (SELECT *, ((n + 50) * ta - n * r * tb) / d AS wa,
+        ((n + 50) * tb - n * r * ta) / d AS wb FROM (SELECT *, n * corr_a * sy AS ta, n * corr_b * sy AS tb, (n + 50) * (n + 50) - n * r * n * r AS d FROM
+        (SELECT count(*)::DOUBLE AS n, avg(target) AS y, avg(pred_a) AS ma, avg(pred_b) AS mb, stddev_pop(pred_a) AS sa, stddev_pop(pred_b) AS sb, stddev_pop(target) AS sy,
+        corr(pred_a, pred_b) AS r, corr(pred_a, target) AS corr_a, corr(pred_b, target) AS corr_b FROM pr WHERE month < 50))) WHERE month >= 50""",
     ),
 )
 def model_ridge(spark, path):
-    return present(models.ridge(predictions(spark, path), ["pred_a"], TRAIN, SCORE, alpha=0.0))
+    return present(models.ridge(predictions(spark, path), ["pred_a", "pred_b"], TRAIN, SCORE, alpha=50.0))
 
 
 @register("model_adversarial")
@@ -418,6 +417,21 @@ def model_adversarial(spark, path):
     return present(spark.createDataFrame(rows, "name string, value double"), ("name",))
 
 
+@register("model_drop_shifted")
+def model_drop_shifted(spark, path):
+    f = features(spark, path)
+    kept, history = models.drop_shifted(f.filter(TRAIN), f.filter(SCORE), MODEL_FEATURES, keep_auc=0.5)
+    rows = [(n, float(n in kept)) for n in MODEL_FEATURES] + [(f"auc_{i}", float(auc)) for i, (auc, _) in enumerate(history)]
+    return present(spark.createDataFrame(rows, "name string, value double"), ("name",))
+
+
+@register("model_prune_by_gain")
+def model_prune_by_gain(spark, path):
+    gains = models.feature_gains(features(spark, path), MODEL_FEATURES, TRAIN, rounds=3)
+    kept = drift.prune_by_gain(gains, 0.25)
+    return present(spark.createDataFrame([(n, float(g), float(n in kept)) for n, g in gains.items()], "name string, gain double, kept double"), ("name",))
+
+
 @register("residual_codes")
 def residual_codes(spark, path):
     out = models.residual_codes(predictions(spark, path), levels=2, size=4)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.contract import coded
 from ..schema import FLOW_SPAN, KEY, MARKET_SPAN, MONTH, SEQ, TIME
 
 # The reference instants of the two countdowns and their scale.
@@ -127,6 +128,6 @@ def predictions(spark, path):
 
 
 def streams(spark, path):
-    return Streams(
-        market(spark, path), transaction(spark, path), order(spark, path), label(spark, path)
-    )
+    """The streams; a read of a row with an unknown side or action fails."""
+    trades, orders = coded(transaction(spark, path), "side"), coded(order(spark, path), "side", "order_action")
+    return Streams(market(spark, path), trades, orders, label(spark, path))

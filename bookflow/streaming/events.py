@@ -1,8 +1,10 @@
 """Structured Streaming forms of the two stream-shaped behaviours.
 
-`complete_samples` emits a sample only when the watermark proves it complete, once; `look_back`
-aggregates tumbling or sliding windows of fixed length. Both write through foreachBatch to a
-folder, so a batch that is repeated after a failure overwrites its own output.
+`complete_samples` emits a sample once, when no more of its events can come; `look_back` aggregates tumbling or sliding
+windows of fixed length. `drained` runs either over all files there are and then closes the stream: a last row far behind
+the others moves the watermark past every open sample or window, so the trailing ones come out too. Each batch writes a
+folder of its own, so a batch that is repeated after a failure overwrites its own output. Rows later than the watermark are
+left out, and counted.
 """
 
 import uuid
@@ -15,11 +17,11 @@ from ..operators.lineage import checkpoint_root
 def event_stream(spark, path, name="events", files_per_batch=1):
     """Stream of the Parquet files of one table."""
     schema = spark.read.parquet(f"{path}/{name}.parquet").schema
+    # a table is a file or a folder of files
     raw = (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(path)
+        .parquet(f"{path}/{name}.parquet*")
     )
     # stored without a zone: read as UTC, whatever the zone of the session
     micros = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"
@@ -27,10 +29,7 @@ def event_stream(spark, path, name="events", files_per_batch=1):
 
 
 def complete_samples(events, key, gap, delay):
-    """One row per closed session of a key: no event within `gap`, and `delay` behind the stream.
-
-    Late events of an emitted session are dropped by the watermark, never emitted twice.
-    """
+    """One row per session of a key, which ends when no event follows within `gap`; rows may come `delay` late."""
     return (
         events.withWatermark("ts", delay)
         .groupBy(F.session_window("ts", gap).alias("w"), F.col(key))
@@ -50,25 +49,29 @@ def look_back(events, keys, length, slide=None, delay="0 seconds"):
     )
 
 
-def run_to_folder(stream, mode):
-    """Run what is available to the end and return the written rows.
+def drained(spark, path, build, closing="2 days", name="events"):
+    """(rows of build(stream) over all files of a table, number of rows that came too late).
 
-    append keeps each batch in its own folder; complete replaces the whole result each time.
+    `closing` must exceed window length, gap and delay together.
     """
-    spark = stream.sparkSession
-    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
-
-    def write(batch, number):
-        target = f"{root}/rows/batch={number}" if mode == "append" else f"{root}/rows"
-        batch.write.mode("overwrite").parquet(target)
-
+    root = f"{checkpoint_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stored = spark.read.parquet(f"{path}/{name}.parquet")
+    stored.limit(0).write.parquet(f"{root}/closing/{name}.parquet")
+    late = _run(build(event_stream(spark, path, name).unionByName(event_stream(spark, f"{root}/closing", name))), root)
+    last = stored.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
+    end = last.select(*[(F.expr(f"ts + INTERVAL {closing}") if n == "ts" else F.lit(None)).cast(t).alias(n) for n, t in stored.dtypes])
+    end.write.mode("append").parquet(f"{root}/closing/{name}.parquet")
+    late += _run(build(event_stream(spark, path, name).unionByName(event_stream(spark, f"{root}/closing", name))), root)
+    return spark.read.parquet(f"{root}/rows").drop("batch"), late
+
+
+def _run(stream, root):
     query = (
-        stream.writeStream.outputMode(mode)
+        stream.writeStream.outputMode("append")
         .option("checkpointLocation", f"{root}/state")
         .trigger(availableNow=True)
-        .foreachBatch(write)
+        .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}"))
         .start()
     )
     query.awaitTermination()
-    out = spark.read.parquet(f"{root}/rows")
-    return out.drop("batch") if mode == "append" else out
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])

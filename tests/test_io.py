@@ -25,7 +25,7 @@ def arrow_file(path, batches):
 
 def test_arrow_files_keep_row_order(spark, tmp_path):
     files = [arrow_file(tmp_path / "a.feather", [10, 7]), arrow_file(tmp_path / "b.feather", [5])]
-    df = ingest.convert_arrow_files(spark, files, ORDER, rows_per_task=4)
+    df = ingest.convert_arrow_files(spark, files, ORDER, rows_per_slice=4)
     rows = df.orderBy("event_seq").collect()
     assert [r.volume for r in rows] == [*range(17), *range(5)]
     assert df.schema["price"].dataType.simpleString() == "float" and df.schema["side"].dataType.simpleString() == "tinyint"
