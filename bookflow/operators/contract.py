@@ -80,9 +80,8 @@ def stream_profile(df, code_columns=()):
         F.count(F.lit(1)).alias("n"),
         F.min(t).alias("lo"),
         F.max(t).alias("hi"),
-        *[F.array_sort(F.collect_set(n)).alias(n) for n in code_columns],
     )
-    return per.agg(
+    out = per.agg(
         F.count(F.lit(1)).alias("samples"),
         F.sum("n").alias("rows"),
         F.min("n").alias("rows_min"),
@@ -90,8 +89,11 @@ def stream_profile(df, code_columns=()):
         F.avg("n").alias("rows_mean"),
         F.min("lo").alias("time_min"),
         F.max("hi").alias("time_max"),
-        *[F.size(F.array_distinct(F.flatten(F.collect_set(n)))).alias(f"values_{n}") for n in code_columns],
     )
+    if not code_columns:
+        return out
+    # counted by value, so no task holds the values of a column that turns out not to be a code
+    return out.crossJoin(df.agg(*[F.countDistinct(n).alias(f"values_{n}") for n in code_columns]))  # one row each
 
 
 def order_audit(df):

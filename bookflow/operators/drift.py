@@ -58,44 +58,57 @@ def psi(reference, other, names, bins=10, floor=1e-6):
     return t.groupBy("feature").agg(F.sum((at("o") - at("r")) * F.log(at("o") / at("r"))).alias("psi"))
 
 
-def distribution(df, names, scaler):
-    """Rows, missing rate, moments, seven quantiles and extreme shares of every feature.
-
-    scaler: (feature, median, mean, std) of the training data.
-    """
-    rows = stacked(df, names)
-    q = exact_quantiles(rows, c("value"), QUANTILES, FEATURE)
-    with_scale = rows.join(F.broadcast(scaler), "feature")  # one row per feature
-    z = (F.coalesce(c("value"), c("median")) - c("mean")) / F.when(c("std") >= 1e-6, c("std")).otherwise(1.0)
-    s = with_scale.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.avg(c("value").isNull().cast("double")).alias("missing_rate"),
-        F.avg("value").alias("avg"),
-        F.stddev_pop("value").alias("dev"),
-        F.avg((F.abs(z) > 5).cast("double")).alias("abs_z_gt_5_rate"),
-        F.avg((F.abs(z) > 10).cast("double")).alias("abs_z_gt_10_rate"),
-    )
-    return s.join(q, "feature", "left")
+REFERENCE = "reference"
+EDGES = {f"e{i}": i / 10 for i in range(11)}
 
 
-def fit_scaler(df, names):
-    rows = stacked(df, names)
-    s = rows.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return s.join(exact_quantiles(rows, c("value"), {"median": 0.5}, FEATURE), "feature", "left")
+def window_profiles(frames, names):
+    """Quantiles, moments, missing and extreme shares, and bin shares of every feature in every frame.
 
-
-def drift_report(reference, other, names):
-    """One row per feature: PSI, shifts of median and mean, IQR ratio, missing change, score."""
-    scaler = fit_scaler(reference, names)
-    r = distribution(reference, names, scaler)
-    o = distribution(other, names, scaler)
-    short = lambda d, p: d.select("feature", *[c(n).alias(p + n) for n in d.columns if n != "feature"])
-    t = short(r, "r_").join(short(o, "o_"), "feature").join(psi(reference, other, names), "feature", "left")
-    t = t.join(scaler.select("feature", "std"), "feature")
+    frames: {label: table}, one of them REFERENCE, whose median, deviation and decile edges measure the others. The label is a
+    key column, so one ranking serves all frames, features and probabilities, and two more passes all the rest.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b), [stacked(d.withColumn("window", F.lit(w)), names, "window") for w, d in frames.items()])
+    ranks = exact_quantiles(rows, c("value"), QUANTILES | EDGES, ("window", "feature"))
+    own = ranks.filter(c("window") == REFERENCE)
+    inner = F.array_sort(F.array_distinct(F.array(*[c(e) for e in EDGES])))
+    inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
+    spread = rows.filter(c("window") == REFERENCE).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    measure = spread.join(own.select("feature", c("q50").alias("median"), inner.alias("edges")), "feature", "left")
+    x = rows.join(F.broadcast(measure), "feature")  # one row per feature
+    z = F.abs((F.coalesce(c("value"), c("median")) - c("mean")) / F.when(c("std") >= 1e-6, c("std")).otherwise(1.0))
+    place = F.when(c("value").isNotNull(), F.size(F.filter("edges", lambda e: e <= c("value")))).otherwise(-1)
+    bins = x.groupBy("window", "feature", "std", F.size("edges").alias("inner"), place.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.count_if(z > 5).alias("z5"), F.count_if(z > 10).alias("z10")
+    )  # at most twelve rows per window and feature
+    known = F.sum(F.when(c("bin") >= 0, c("n")))
+    shares = F.map_from_entries(F.collect_list(F.when(c("bin") >= 0, F.struct("bin", "n"))))
+    out = bins.groupBy("window", "feature", "std", "inner").agg(
+        F.sum("n").alias("rows"), known.alias("known"), (F.sum("total") / known).alias("avg"), shares.alias("bins"),
+        (F.sum(F.when(c("bin") < 0, c("n")).otherwise(0)) / F.sum("n")).alias("missing_rate"),
+        (F.sum("z5") / F.sum("n")).alias("abs_z_gt_5_rate"), (F.sum("z10") / F.sum("n")).alias("abs_z_gt_10_rate"),
+    )
+    return out.join(ranks.select("window", "feature", *QUANTILES), ["window", "feature"], "left")
+
+
+def drift_windows(reference, windows, names, floor=1e-6):
+    """One row per window and feature: PSI, shifts of median and mean, IQR ratio, missing change, score.
+
+    windows: {label: table}. The weights of the score are fixed values of the report.
+    """
+    t = window_profiles({REFERENCE: reference} | windows, names)
+    kept = ("rows", "known", "avg", "bins", "missing_rate", "abs_z_gt_10_rate", "abs_z_gt_5_rate", "q25", "q50", "q75")
+    r = t.filter(c("window") == REFERENCE).select("feature", "std", "inner", *[c(n).alias(f"r_{n}") for n in kept])
+    o = t.filter(c("window") != REFERENCE).select("window", "feature", *[c(n).alias(f"o_{n}") for n in kept])
+    t = o.join(r, "feature")
     iqr, oiqr = c("r_q75") - c("r_q25"), c("o_q75") - c("o_q25")
     den = F.greatest(F.abs(iqr), c("std") * 0.05, F.lit(1e-12))
     shift = F.abs(c("o_q50") - c("r_q50")) / den
     mean_shift = F.abs(c("o_avg") - c("r_avg")) / F.greatest(c("std"), F.lit(1e-12))
+    share = lambda p, b: F.greatest(F.coalesce(F.try_element_at(c(f"{p}_bins"), b), F.lit(0)) / c(f"{p}_known"), F.lit(floor))
+    part = lambda b: (share("o", b) - share("r", b)) * F.ln(share("o", b) / share("r", b))
+    index = F.aggregate(F.sequence(F.lit(0), c("inner")), F.lit(0.0), lambda total, b: total + part(b))
+    t = t.withColumn("psi", index)
     score = (
         F.coalesce(c("psi"), F.lit(0.0))
         + F.least(shift, F.lit(10.0)) * 0.25
@@ -104,6 +117,7 @@ def drift_report(reference, other, names):
         + F.least(c("o_abs_z_gt_10_rate"), F.lit(0.2)) * 5.0
     )
     return t.select(
+        "window",
         "feature",
         "psi",
         shift.alias("median_shift_iqr"),
@@ -117,6 +131,11 @@ def drift_report(reference, other, names):
     )
 
 
+def drift_report(reference, other, names):
+    """The report for a single window."""
+    return drift_windows(reference, {"other": other}, names).drop("window")
+
+
 # redundancy --------------------------------------------------------------------------------------
 
 

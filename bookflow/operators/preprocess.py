@@ -154,21 +154,28 @@ def shape_transforms(df, pred):
 # cross-section within a group --------------------------------------------------------------------
 
 
+def _stacked(df, names, *keep):
+    """Rows (keep..., number of the column, its value), so that one ranking serves all columns."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("_f"), c(n).cast("double").alias("_v")) for i, n in enumerate(names)])
+    return df.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.*")
+
+
+def _unstacked(long, columns):
+    """{name: (number of the column, value)} -> one row per sample."""
+    return long.groupBy(KEY).agg(*[F.max(F.when(c("_f") == i, x)).alias(n) for n, (i, x) in columns.items()])
+
+
 def group_ranks(df, names, group=(MONTH,)):
     """Average-tie rank share, signed rank 2r/(n+1)-1 and clipped z-score of each column per group.
 
     Missing values get 0.
     """
-    out = df
-    for n in names:
-        out = average_rank(out, c(n), group, name="_r")
-        r, k = c("_r"), c("rows")
-        out = out.withColumns(
-            {
-                f"{n}_pct": r / k,
-                f"{n}_rank": F.coalesce(2.0 * r / (k + 1.0) - 1.0, F.lit(0.0)),
-            }
-        ).drop("_r", "rows")
+    long = average_rank(_stacked(df, names, KEY, *group), c("_v"), (*group, "_f"), name="_r")
+    ranks = _unstacked(long, {f"_r{i}": (i, c("_r")) for i in range(len(names))} | {f"_k{i}": (i, c("rows")) for i in range(len(names))})
+    out = df.join(ranks, KEY, "left")
+    for i, n in enumerate(names):
+        signed = F.coalesce(2.0 * c(f"_r{i}") / (c(f"_k{i}") + 1.0) - 1.0, F.lit(0.0))
+        out = out.withColumns({f"{n}_pct": c(f"_r{i}") / c(f"_k{i}"), f"{n}_rank": signed}).drop(f"_r{i}", f"_k{i}")
     stats = df.groupBy(*group).agg(
         *[F.avg(n).alias(f"_m_{n}") for n in names], *[F.stddev_pop(n).alias(f"_s_{n}") for n in names]
     )
@@ -182,14 +189,10 @@ def group_ranks(df, names, group=(MONTH,)):
 
 def ordinal_ranks(df, names, group=(MONTH,)):
     """Centred ordinal rank r / (n - 1) - 0.5 per group (ties by sample id), as `<name>_pct`."""
-    out = df
-    for n in names:
-        x = c(n).cast("double")
-        line = Timeline.of(out, keys=group, by=F.asinh(x), order=(x, c(KEY)))
-        line = line.position("_r").key_total("_k", F.lit(1))
-        rank = (c("_r") - 1) / F.greatest(c("_k") - 1, F.lit(1)) - 0.5
-        out = line.with_columns({f"{n}_pct": rank}).drop("_r", "_k").finished()
-    return out
+    keys = (*group, "_f")
+    line = Timeline.of(_stacked(df, names, KEY, *group), keys=keys, order=(c("_v"), c(KEY))).position("_r").key_total("_k", F.lit(1))
+    rank = (c("_r") - 1) / F.greatest(c("_k") - 1, F.lit(1)) - 0.5
+    return df.join(_unstacked(line.finished(), {f"{n}_pct": (i, rank) for i, n in enumerate(names)}), KEY, "left")
 
 
 def row_ranks(df, names):

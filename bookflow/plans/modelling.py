@@ -272,7 +272,7 @@ def population_stability(spark, path):
     return present(drift.psi(f.filter("month < 40"), f.filter("month >= 40"), FEATURES), ("feature",))
 
 
-def _drift_sql():
+def _drift_sql(months=None):
     z = "abs((coalesce(value, med) - mu) / CASE WHEN sd >= 1e-6 THEN sd ELSE 1 END)"
     q = lambda p: f"quantile_cont(value, {p})"
     return query(
@@ -283,7 +283,7 @@ def _drift_sql():
         (SELECT *, abs(o50 - r50) / greatest(abs(r75 - r25), sd * 0.05, 1e-12) AS shift, abs(oavg - ravg) / greatest(sd, 1e-12) AS mshift FROM
         rs JOIN os USING (feature) JOIN ps USING (feature) JOIN sl USING (feature))""",
         keys=("feature",),
-        steps=[FT, STACK, *PSI]
+        steps=[FT, STACK if months is None else STACK.replace("FROM ft)", f"FROM ft WHERE month < 40 OR month BETWEEN {months[0]} AND {months[1]})"), *PSI]
         + [
             "sl AS (SELECT feature, quantile_cont(value, 0.5) AS med, avg(value) AS mu, stddev_pop(value) AS sd FROM lo WHERE month < 40 GROUP BY feature)",
             f"rs AS (SELECT feature, {q(0.25)} AS r25, {q(0.5)} AS r50, {q(0.75)} AS r75, avg(value) AS ravg, avg((value IS NULL)::INT) AS rmiss FROM lo WHERE month < 40 GROUP BY feature)",
@@ -299,6 +299,16 @@ def drift_report(spark, path):
     return present(drift.drift_report(f.filter("month < 40"), f.filter("month >= 40"), FEATURES), ("feature",))
 
 
+DRIFT_WINDOWS = [(40, 47), (48, 55), (56, 63), (64, 71), (72, 99)]
+
+
+@register("drift_windows", " UNION ALL ".join(f"SELECT 'm{a}' AS \"window\", * FROM ({_drift_sql((a, b))})" for a, b in DRIFT_WINDOWS))
+def drift_windows(spark, path):
+    f = features(spark, path)
+    windows = {f"m{a}": f.filter(F.col("month").between(a, b)) for a, b in DRIFT_WINDOWS}
+    return present(drift.drift_windows(f.filter("month < 40"), windows, FEATURES), ("window", "feature"))
+
+
 PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
 
 
