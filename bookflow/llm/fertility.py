@@ -139,7 +139,7 @@ def bands(measured, group="lang"):
     return quartiles.groupBy(group).agg(*out)
 
 
-def judged(measured, group="lang", reach=3.0, spread_tokens=100.0):
+def judged(measured, group="lang", reach=3.0, spread_tokens=200.0):
     """Adds base_failed, a flag per figure and kept."""
     limits = held(bands(measured, group), "bands")
     names = [c for c in limits.columns if c != group]
