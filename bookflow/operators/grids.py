@@ -528,22 +528,23 @@ def path_spectrum(series: pd.Series) -> pd.Series:
     Energy shares of low, middle and high frequencies, entropy and peak of the power spectrum, and
     variance of sums of 2, 5 and 10 returns against as many single ones.
     """
-    x = np.stack(series.to_numpy()).astype(float)
-    power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1))[:, 1:] ** 2
-    total = power.sum(axis=1)
-    some = total > 1e-16
-    share = np.where(some[:, None], power / np.where(some, total, 1.0)[:, None], 0.0)
-    freqs = power.shape[1]
-    out = [share[:, lo:hi].sum(axis=1) for lo, hi in ((0, 4), (4, 16), (16, freqs))]
-    out.append(-(share * np.log(share + 1e-20)).sum(axis=1) / np.log(freqs))
-    out.append((power.argmax(axis=1) + 1) / freqs)
-    var = x.var(axis=1)
+    r = np.stack(series.to_numpy()).astype(float)
+    n = r.shape[1]
+    single = r.var(axis=1)
+    energy = np.square(np.abs(np.fft.rfft(r - r.mean(axis=1, keepdims=True), axis=1)))[:, 1:]
+    upto = energy.cumsum(axis=1)
+    flat = upto[:, -1] <= 1e-16
+    upto /= np.where(flat, np.inf, upto[:, -1])[:, None]  # all zero for a flat path
+    share = np.diff(upto, axis=1, prepend=0.0)
+    low, both = upto[:, 3], upto[:, 15]
+    entropy = -np.sum(share * np.log(share + 1e-20), axis=1) / np.log(share.shape[1])
+    columns = [low, both - low, upto[:, -1] - both, entropy, (energy.argmax(axis=1) + 1) / share.shape[1]]
+    # sums of h returns are steps of the path, counted back from its end
+    path = np.cumsum(np.c_[np.zeros(len(r)), r], axis=1)
     for h in (2, 5, 10):
-        width = x.shape[1] // h * h
-        blocks = x[:, x.shape[1] - width :].reshape(len(x), -1, h).sum(axis=2).var(axis=1)
-        moved = h * var > 1e-16
-        out.append(np.where(moved, np.clip(blocks / np.where(moved, h * var, 1.0), 0, 10), 0.0))
-    return pd.Series(list(np.stack(out, axis=1)))
+        steps = np.diff(path[:, n % h :: h], axis=1).var(axis=1)
+        columns.append(np.clip(np.divide(steps, h * single, out=np.zeros(len(r)), where=h * single > 1e-16), 0, 10))
+    return pd.Series(list(np.column_stack(columns)))
 
 
 def _lag_corr(x, y):
@@ -569,8 +570,6 @@ def path_shape(market, spine):
     )
     g = g.withColumns({f"r{k}": F.lag("r", k).over(w) for k in (1, 2, 5, 10)})
     last60, last20 = c("step") >= MARKET_BINS - 60, c("step") >= MARKET_BINS - 20
-    by_size = Window.partitionBy(KEY).orderBy(F.desc_nulls_last(F.abs("r")), "step")
-    g = g.withColumn("size_rank", F.row_number().over(by_size))
     r = c("r")
     in60 = lambda k: last60 & (c("step") - k >= MARKET_BINS - 60)
     aggs = {f"mid_return_autocorr_{k}_full": _lag_corr(c(f"r{k}"), r) for k in (1, 2, 5, 10)}
@@ -586,7 +585,7 @@ def path_shape(market, spine):
         "mid_path_efficiency_60": safe(F.abs(sum_if(last60, r)), sum_if(last60, F.abs(r))),
         "mid_sign_persistence": F.when(pairs > 0, sum_if(pair, s * ps) / pairs).otherwise(0.0),
         "mid_reversal_magnitude_fraction": safe(sum_if(pair & (s * ps < 0), F.abs(r)), moved1),
-        "mid_jump_concentration_top5": safe(sum_if(c("size_rank") <= 5, F.abs(r)), moved),
+        "moved": moved,
         "mid_max_drawdown_log": F.max("down"),
         "mid_max_runup_log": F.max("up"),
         "mid_rv_ratio_20_to_60": safe(sq(last20), sq(last60)),
@@ -597,7 +596,9 @@ def path_shape(market, spine):
     }
     t = summarise(g, aggs).withColumn("s", path_spectrum("series"))
     at = {n: F.element_at("s", i + 1) for i, n in enumerate(SPECTRUM)}
-    out = {n: c(n) for n in aggs if n != "series"}
+    largest = F.slice(F.sort_array(F.transform("series", F.abs), asc=False), 1, 5)
+    out = {n: c(n) for n in aggs if n not in ("series", "moved")}
+    out["mid_jump_concentration_top5"] = safe(F.aggregate(largest, F.lit(0.0), lambda a, v: a + v), c("moved"))
     out |= {f"mid_variance_ratio_{h}": at[f"ratio_{h}"] for h in (2, 5, 10)}
     out |= {
         "mid_spectral_low_fraction": at["low"],

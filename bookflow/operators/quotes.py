@@ -5,7 +5,6 @@ aggregation, so a family costs one exchange on (sample, slice) and a small one o
 The whole window of a sample is used; its rows are not limited in number.
 """
 
-from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from ..functions.stats import count_if, sum0, sum_if
 from ..schema import KEY, SEQ, TIME
 from .assemble import derive, on_spine, summarise
 from .book import per_bucket, widen
-from .quantile import exact_quantiles
+from .quantile import quantiles_of
 from .timeline import Timeline
 
 c = F.col
@@ -711,12 +710,8 @@ def shock_line(market):
 def shock_thresholds(rows, fit_ids, q=0.95):
     """95 % quantiles of the three changes over the fitting samples: one row."""
     fit = rows.join(fit_ids, KEY, "left_semi")
-    parts = (
-        exact_quantiles(fit, F.when(c("spread") > 0, c("spread")), {"thr_spread": q}),
-        exact_quantiles(fit, F.when(c("depth") > 0, c("depth")), {"thr_depth": q}),
-        exact_quantiles(fit, F.abs(c("price")), {"thr_price": q}),
-    )
-    return reduce(lambda a, b: a.crossJoin(b), parts)
+    rising = {"thr_spread": F.when(c("spread") > 0, c("spread")), "thr_depth": F.when(c("depth") > 0, c("depth")), "thr_price": F.abs(c("price"))}
+    return quantiles_of(fit, {n: (x, q) for n, x in rising.items()})
 
 
 def liquidity_recovery(market, spine, fit_ids, q=0.95):
