@@ -1,7 +1,8 @@
 """Headline queries, timed one by one: prints one JSON line.
 
 BENCH_SF_DIR is the folder of the tables, BENCH_CPUS the number of local threads,
-BENCH_QUERIES an optional comma-separated list of query names.
+BENCH_QUERIES an optional comma-separated list of query names. BENCH_SMALL_DIR names smaller tables;
+`growth` then holds each query's time over its time there.
 """
 
 import json
@@ -39,14 +40,22 @@ def main():
     todo = registry.entries()
     names = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE
     todo["trade_flow"][0](spark, path).write.format("noop").mode("overwrite").save()  # warm-up
-    took = {}
-    for name in names:
-        t0 = time.time()
-        todo[name][0](spark, path).write.format("noop").mode("overwrite").save()
-        took[name] = round(time.time() - t0, 3)
-        print(f"{name} {took[name]}", file=sys.stderr, flush=True)
+
+    def timed(folder):
+        took = {}
+        for name in names:
+            t0 = time.time()
+            todo[name][0](spark, folder).write.format("noop").mode("overwrite").save()
+            took[name] = round(time.time() - t0, 3)
+            print(f"{name} {took[name]}", file=sys.stderr, flush=True)
+        return took
+
+    took = timed(path)
     sf = os.path.basename(path.rstrip("/")).removeprefix("sf")
-    print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))
+    out = {"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}
+    if small := os.environ.get("BENCH_SMALL_DIR"):
+        out["growth"] = {n: round(took[n] / max(t, 0.001), 2) for n, t in timed(small).items()}
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
