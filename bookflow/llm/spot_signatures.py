@@ -1,7 +1,7 @@
 """Spot signatures: chains of content words that follow common words, with DataFrame functions only.
 
 A text is its set of signatures: each anchor (a common word) with the next `CHAIN` words that are not anchors. Sets are
-kept as sorted distinct 32-bit hashes, and the fingerprint is their hexadecimal text, so equal texts have equal
+kept as sorted distinct 32-bit hashes, and the fingerprint is their list as text, so equal texts have equal
 fingerprints and the likeness of two fingerprints is the Jaccard coefficient of their sets. Sets whose lengths lie in
 partitions that are not neighbours can't reach the threshold; `likeness` prunes by length before it intersects.
 
@@ -48,15 +48,17 @@ def any_of(words):
 def signatures(text, anchors=ANCHORS, chain=CHAIN):
     """Sorted distinct hashes of a text's spot signatures."""
     anchor = any_of(set(anchors)) + "(?= )"
-    follow = rf"(?: {anchor})*+ [^ ]+"
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    found = F.regexp_extract_all(plain, F.lit(rf"(?<= )(?=({anchor}{follow * chain}))"), F.lit(1))
+    follow = rf"(?: {anchor})*+ [^ ]++"
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]++", " "), F.lit(" "))
+    found = F.regexp_extract_all(plain, F.lit(rf" (?=({anchor}{follow * chain}))"), F.lit(1))
     hashes = F.array_sort(F.array_distinct(F.transform(found, lambda s: F.hash(F.regexp_replace(s, f" {anchor}", "")))))
-    return F.when(F.size(hashes) > 0, hashes).otherwise(F.array(F.hash(F.lit("whole text"), text)))
+    whole = F.array(F.hash(F.lit("whole text"), text))
+    # named by a lambda, so that the search runs once
+    return F.element_at(F.transform(F.array(hashes), lambda h: F.when(F.size(h) > 0, h).otherwise(whole)), 1)
 
 
 def fingerprint(hashes):
-    return F.array_join(F.transform(hashes, lambda h: F.substring(F.hex(h.cast("long") + F.lit(1 << 40)), -8, 8)), "")
+    return F.array_join(hashes.cast("array<string>"), ",")
 
 
 def length_partition(hashes, threshold=PARTITION_FLOOR):
@@ -71,26 +73,26 @@ def likeness(a, b, threshold=0.0):
     return F.when(small < threshold * large, 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
-def _keyed(docs):
-    """id (null as the smallest), copy and a number among equal rows: together a key for each row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(NONE)).alias("id"), F.xxhash64("doc_id", "text").alias("copy"), "text")
-    return docs.withColumn("again", F.row_number().over(Window.partitionBy("id", "copy").orderBy("copy")))
+#: Equal rows have equal keys; a null id is the smallest.
+KEY = ("id", "copy")
 
 
-KEY = ("id", "copy", "again")
+def _keyed(docs):
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(NONE)).alias("id"), F.xxhash64("doc_id", "text").alias("copy"), "text")
 
 
 def successors(docs):
-    """Rows (id, copy, again) with the key of the row before them (of which they are the next) and its code points.
+    """Keys of rows with the key of the row before them, of which they are the next, and its number of code points.
 
-    Rows are in descending order of doc_id, nulls last; the next of the last is the first. Only keys are sorted.
+    Rows are in descending order of doc_id, nulls last; the next of the last is the first. Equal rows are one here. Only
+    keys are sorted.
     """
-    order = [F.col("id").desc(), "copy", "again"]
-    keys = _keyed(docs).select(*KEY, F.char_length("text").alias("n_chars")).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    keys = held(keys, "order")
+    order = [F.col("id").desc(), "copy"]
+    keys = _keyed(docs).select(*KEY, F.char_length("text").alias("n_chars")).distinct()
+    keys = held(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "order")
     row = F.struct(*KEY, "n_chars")
-    lasts = keys.groupBy("part").agg(F.max(F.struct(F.bitwise_not("id"), "copy", "again", "id", "n_chars")).alias("last"))
+    lasts = keys.groupBy("part").agg(F.max(F.struct(F.bitwise_not("id"), "copy", "id", "n_chars")).alias("last"))
     # one row per partition of the order
     lasts = lasts.select("part", F.struct(*[F.col(f"last.{c}").alias(c) for c in (*KEY, "n_chars")]).alias("last"))
     whole = Window.orderBy("part")
@@ -104,19 +106,24 @@ def successors(docs):
 def edited_fingerprints(docs):
     """docs(doc_id, text) -> fingerprints of each text and of its edited text, and their likeness.
 
-    The edited text keeps the first half of its code points; floor(n / 2) of the next document follow.
+    The edited text keeps the first half of its code points; floor(n / 2) of the next document follow. Texts go through one
+    exchange by key, which both sides use; the next document's part that is wanted goes through a second one.
     """
-    rows = _keyed(docs)
+    rows = _keyed(docs).withColumn("own", signatures(F.col("text")))
+    again = F.row_number().over(Window.partitionBy(*KEY).orderBy("copy"))  # among equal rows
     half = F.floor(F.col("prior_n_chars") / 2).cast("int")
-    given = rows.join(successors(docs), list(KEY)).select(
-        *[F.col(f"prior_{c}").alias(c) for c in KEY], F.col("text").substr(F.lit(1), half).alias("tail"), signatures(F.col("text")).alias("next_set")
-    )
+    given = rows.join(held(successors(docs), "next").hint("merge"), list(KEY)).withColumn("again", again).where("again = 1")
+    given = given.select(*[F.col(f"prior_{c}").alias(c) for c in KEY], F.col("text").substr(F.lit(1), half).alias("tail"), F.col("own").alias("next_set"), F.col("doc_id").alias("next_id"))
     n = F.char_length("text")
-    edited = F.concat(F.col("text").substr(F.lit(1), (n - F.floor(n / 2)).cast("int")), "tail")
-    out = rows.join(given, list(KEY)).select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_set")
-    out = out.select("*", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("own"), signatures(F.col("edited")).alias("other"))
+    out = rows.join(given.hint("merge"), list(KEY)).withColumn("again", again)
+    # the next of equal rows but the last is its like
+    more = F.count("*").over(Window.partitionBy(*KEY)) > F.col("again")
+    tail = F.when(more, F.col("text").substr(F.lit(1), F.floor(n / 2).cast("int"))).otherwise(F.col("tail"))
+    edited = F.concat(F.col("text").substr(F.lit(1), (n - F.floor(n / 2)).cast("int")), tail)
+    out = out.withColumn("more", more).select("doc_id", n.cast("long").alias("n_chars"), "own", edited.alias("edited"), *[F.when(F.col("more"), F.col(own)).otherwise(F.col(x)).alias(x) for own, x in (("own", "next_set"), ("doc_id", "next_id"))])
+    out = out.select("*", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("edited")).alias("other"))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_set")).alias("near_next"),
-        length_partition(F.col("own")).alias("length_partition"),
+        length_partition(F.col("own")).alias("length_partition"), "next_id",
     )
