@@ -1,5 +1,8 @@
 """Input checks, expressions, set operations, sinks, streaming and models."""
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -121,6 +124,28 @@ def union_slices(spark, path):
     return present(contract.union_disjoint([ingest.id_range(p, None, 300), ingest.id_range(p, 300, 600), ingest.id_range(p, 600)]))
 
 
+@register(
+    "bucketed_activity",
+    query(
+        ["tx"],
+        """SELECT sample_id, count(*) AS n, sum(volume) AS volume, max(gap) AS longest FROM (SELECT sample_id, volume,
+        lag(t) OVER (PARTITION BY sample_id ORDER BY t DESC, seq) - t AS gap FROM tx) GROUP BY sample_id""",
+    ),
+)
+def bucketed_activity(spark, path):
+    return present(bucketed_gaps(spark, path))
+
+
+def bucketed_gaps(spark, path, buckets=8):
+    """Per-sample window and totals over a bucketed table: no exchange."""
+    table = f"bucketed_{uuid.uuid4().hex}"
+    ingest.write_bucketed(streams(spark, path).transaction, table, buckets)
+    w = Window.partitionBy("sample_id").orderBy(F.desc("seconds_before_predict"), "event_seq")
+    t = F.col("seconds_before_predict")
+    rows = spark.table(table).withColumn("gap", F.lag(t).over(w) - t)
+    return rows.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"), F.max("gap").alias("longest"))
+
+
 @register("distinct_rows", query(["mk"], "SELECT DISTINCT sample_id, tc, bv1 FROM mk"))
 def distinct_rows(spark, path):
     m = streams(spark, path).market

@@ -119,3 +119,10 @@ def test_streams_end_completely_and_count_late_rows(spark, tmp_path):
     done, late = stream.drained(spark, str(tmp_path), lambda s: stream.complete_samples(s, "user_id", "2 hours", "1 hour"))
     assert done.count() + late >= 7 and done.where("user_id = 1").agg(F.max("last_ts")).first()[0] is not None
     assert done.agg(F.sum("events")).first()[0] + late == 7
+
+
+def test_bucketed_windows_need_no_exchange(spark):
+    from bookflow.plans.platform import bucketed_gaps
+
+    plan = bucketed_gaps(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" in plan
