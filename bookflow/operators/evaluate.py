@@ -246,8 +246,17 @@ def promotion_gates(paired, min_delta=0.0, min_positive_months=1):
     return out.withColumn("passed", c("gain") & c("months") & c("lomo"))
 
 
+MAX_CANDIDATES = 10_000
+
+
 def pareto(df, metrics, name="name", group="group", eps=1e-12):
-    """Rows not dominated within their group on all metrics; the input is a small score table."""
+    """Rows not dominated within their group on all metrics.
+
+    The input is a score table; a group of more than `MAX_CANDIDATES` rows is an error, as all its pairs are compared.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    small = F.when(c("_n") > MAX_CANDIDATES, F.raise_error(F.lit("too many candidates in a group"))).otherwise(F.lit(True))
+    df = df.join(sizes.filter(small).drop("_n"), group)
     other = df.select(group, c(name).alias("_o"), *[c(m).alias(f"_o_{m}") for m in metrics])
     better = reduce(lambda a, b: a & b, [c(f"_o_{m}") - c(m) >= -eps for m in metrics])
     strictly = reduce(lambda a, b: a | b, [c(f"_o_{m}") - c(m) > eps for m in metrics])
