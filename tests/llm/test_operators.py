@@ -154,6 +154,13 @@ def test_line_dedup(spark, hard, case):
     assert found(spark, "op5_line_dedup", path, "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("name", [n for n, (_, sql) in queries.entries().items() if sql])
+def test_check_sql(spark, name):
+    from tests.oracle import compare
+
+    assert compare(spark, SMALL, *queries.entries()[name]) is None
+
+
 def test_line_dedup_is_reversible(spark):
     from bookflow.llm.line_dedup import LineIndex
 
