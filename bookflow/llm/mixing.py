@@ -131,7 +131,8 @@ class Mixture:
         start = F.greatest(F.col("block") * b, F.col("off"))
         stop = F.least((F.col("block") + 1) * b, F.col("off") + F.col("size"))
         parts = parts.withColumn("from_word", start - F.col("off")).withColumn("words", stop - start)
-        return parts.join(times, ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+        # what generates the slots is a small table, so their number can't be seen in the plan: never to be broadcast
+        return parts.join(times.hint("merge"), ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
     def documents(self):
         """doc_id, size, source_size, target, taken of each row."""
