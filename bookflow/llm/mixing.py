@@ -16,6 +16,7 @@ Defined results: null and empty texts have no words, and nothing of them is take
 without words has target 0; repeated rows are rows of their own; an empty table gives an empty mix.
 """
 
+import math
 from functools import reduce
 
 from pyspark.sql import Window
@@ -24,8 +25,7 @@ from pyspark.sql import functions as F
 from .common import WHITE, WORD, fraction, held
 
 WEIGHTS = (3, 1, 2)
-#: Rows a prefix-sum bucket is made for, and slots of an output shard.
-BUCKET_ROWS = 20_000
+#: Slots of an output shard.
 SHARD_SLOTS = 65_536
 ROUNDS = 16
 #: Stands for a null id in keys.
@@ -90,7 +90,7 @@ class Mixture:
 
     def _offsets(self):
         """Rows with `off`, the words before them in their source."""
-        buckets = max(1, -(-self.rows.count() // BUCKET_ROWS))
+        buckets = max(1, math.isqrt(self.rows.count()))  # as many as rows in each, so neither sum grows with all rows
         ids = self.sources.select(F.col("source").alias("own"), "sid", "source_size", "target")
         rows = self.rows.join(ids, F.col("source").eqNullSafe(F.col("own"))).drop("source", "own")
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(buckets)))
