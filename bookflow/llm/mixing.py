@@ -116,7 +116,9 @@ class Mixture:
         # a source's shards are spread again, and long runs cut, before they are written out slot by slot
         run = 4096
         runs = F.sequence(F.col("first"), F.col("stop") - 1, F.lit(run).cast("long"))
-        s = s.select("sid", "shard", "blocks", "stop", F.explode(runs).alias("run")).repartition("sid", "shard", "run")
+        s = s.select("sid", "shard", "blocks", "stop", F.explode(runs).alias("run"))
+        # by a stated number: a few rows of runs would else be gathered in one task, which then writes all slots
+        s = s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "shard", "run")
         s = s.select("sid", "shard", "blocks", F.explode(F.sequence("run", F.least(F.col("run") + run, F.col("stop")) - 1)).alias("slot"))
         s = s.withColumn("pass", F.expr("slot DIV blocks"))
         block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(self.seed), F.col("sid"), F.col("pass"))
