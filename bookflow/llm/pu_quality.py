@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import arrow, held, steps
+from .common import arrow, fraction, held, steps
 
 _KINDS = np.zeros(256, np.int64)
 for _i, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&", b"|<>[]{}\\/=_~^@+", b"!?", b".,;:", b"'\"()-", b" \t", b"\n")):
@@ -172,5 +172,9 @@ def pu_scores(docs, labels, positives=20_000, unlabelled=40_000, threshold=0.3):
 
 
 def _sample(rows, n):
-    found = rows.orderBy("rank", "doc_id").limit(n).select("x").toPandas()["x"]
+    """The n rows of the smallest hashes; a threshold on the hash keeps what is sorted near n whatever the table holds."""
+    total = rows.count()
+    if total > n:
+        rows = rows.where(fraction("rank") < min(1.0, (1.1 * n + 1000) / total))
+    found = rows.orderBy(fraction("rank"), "doc_id").limit(n).select("x").toPandas()["x"]
     return np.stack(found).astype(np.float64) if len(found) else np.zeros((0, FEATURES))
