@@ -27,7 +27,7 @@ from .components import components
 N = 5
 THRESHOLD = 0.8
 #: Classes in a block of a component, and in a work unit of small components.
-BLOCK = 256
+BLOCK = 128
 SEED = 20240229
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
