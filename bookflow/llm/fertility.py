@@ -2,10 +2,12 @@
 
 Each word is encoded by the vocabulary (sentencepiece, with byte fallback). A document has three figures: characters per
 token, the share of byte-fallback tokens, and the entropy of its tokens in bits. Every language (or any other grouping
-column) gets a rejection band per figure: quartiles of all its documents, exact to a bin of 1/4000 of the scale, and
+column) and length gets a rejection band per figure: quartiles of its documents, exact to a bin of 1/4000 of the scale, and
 `reach` interquartile ranges beyond them (3: the outer fences of a box plot). A document is kept if its base rules hold and all figures lie in the band.
 
-Figures of texts with few tokens spread more, so a band is `reach * (1 + sqrt(spread_tokens / tokens))` ranges wide.
+Level and spread of the figures depend on the number of tokens, so the quartiles are those of documents of like length:
+lengths are quarter octaves of tokens, and a length with fewer than `least_docs` documents takes in the nearest lengths, as
+many on either side as it needs, up to the whole language.
 
 Defined results: null and empty texts have no words, fail the base rules and take no part in the bands; a null language
 is a language of its own; repeated rows count as often as they stand; an empty table gives an empty one. A language
@@ -120,37 +122,50 @@ def base_failed(min_words=50, repeat_percent=50):
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
 
 
-def bands(measured, group="lang"):
-    """Per group, the quartiles of each figure over documents that pass the base rules, from counts per bin."""
-    stacked = measured.where(~base_failed() & (F.col("n_tokens") > 0)).select(
-        F.col(group),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), F.floor(F.col(f) / top * STEPS).alias("bin")) for f, (top, _) in FIGURES.items()])).alias("s"),
+def length_bin():
+    """Quarter octaves of the number of tokens; null without tokens."""
+    return F.when(F.col("n_tokens") > 0, F.floor(4 * F.log2("n_tokens")))
+
+
+def bands(measured, group="lang", least_docs=100):
+    """Per group and length, the quartiles of each figure over documents of like length that pass the base rules, from counts per bin."""
+    own = measured.where(F.col("n_tokens") > 0).select(F.col(group).alias("band_group"), length_bin().alias("length"), (~base_failed()).alias("passes"), *FIGURES)
+    figure = F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), F.floor(F.col(f) / top * STEPS).alias("bin")) for f, (top, _) in FIGURES.items()])).alias("s")
+    bins = own.select("band_group", "length", "passes", figure).groupBy("band_group", "length", "s.figure", "s.bin").agg(F.count_if("passes").alias("n"))
+    bins = held(bins, "bins")
+    # every length with the lengths around it, as far as it has to look; a group has some 100 lengths at most
+    sizes = held(bins.where(F.col("figure") == next(iter(FIGURES))).groupBy("band_group", "length").agg(F.sum("n").alias("docs")), "lengths")
+    near = sizes.select("band_group", "length").join(
+        sizes.select(F.col("band_group").alias("near_group"), F.col("length").alias("near"), "docs"), F.col("band_group").eqNullSafe(F.col("near_group"))
     )
-    bins = stacked.groupBy(group, "s.figure", "s.bin").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(group, "figure")  # at most STEPS rows, entropy and characters per token a few more
-    bins = bins.withColumn("all", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("bin")))
+    near = near.withColumn("far", F.abs(F.col("near") - F.col("length")))
+    upto = F.sum("docs").over(Window.partitionBy("band_group", "length").orderBy("far"))
+    at_far = F.sum("docs").over(Window.partitionBy("band_group", "length", "far"))
+    near = near.withColumn("before", upto - at_far).where(F.col("before") < least_docs).select("near_group", "near", F.col("length").alias("for"))
+    looked = bins.where("n > 0").join(few(held(near, "near")), F.col("band_group").eqNullSafe(F.col("near_group")) & (F.col("length") == F.col("near")))
+    looked = looked.groupBy("band_group", "for", "figure", "bin").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("band_group", "for", "figure")  # at most STEPS rows, entropy and characters per token a few more
+    looked = looked.withColumn("all", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("bin")))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin")))
-    quartiles = bins.groupBy(group, "figure").agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
+    quartiles = looked.groupBy("band_group", "for", "figure").agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
     out = []
     for f, (top, least) in FIGURES.items():
         mine = F.col("figure") == f
         q1, q3 = (F.max(F.when(mine, (F.col(q) + 0.5) * top / STEPS)) for q in ("q1", "q3"))
-        out += [q1.alias(f"{f}_q1"), F.greatest(q3 - q1, F.lit(least)).alias(f"{f}_range"), q3.alias(f"{f}_q3")]
-    return quartiles.groupBy(group).agg(*out)
+        out += [q1.alias(f"band_{f}_q1"), F.greatest(q3 - q1, F.lit(least)).alias(f"band_{f}_range"), q3.alias(f"band_{f}_q3")]
+    return quartiles.groupBy("band_group", F.col("for").alias("band_length")).agg(*out)
 
 
-def judged(measured, group="lang", reach=3.0, spread_tokens=200.0):
+def judged(measured, group="lang", reach=3.0, least_docs=100):
     """Adds base_failed, a flag per figure and kept."""
-    limits = held(bands(measured, group), "bands")
-    names = [c for c in limits.columns if c != group]
-    limits = few(limits.select(F.col(group).alias("band_group"), *[F.col(c).alias(f"band_{c}") for c in names]))
-    width = F.lit(reach) * (1 + F.sqrt(F.lit(spread_tokens) / F.greatest("n_tokens", F.lit(1))))
-    out = measured.join(limits, F.col(group).eqNullSafe(F.col("band_group")), "left").withColumn("base_failed", base_failed())
+    limits = few(held(bands(measured, group, least_docs), "bands"))
+    like = F.col(group).eqNullSafe(F.col("band_group")) & (length_bin() == F.col("band_length"))
+    out = measured.join(limits, like, "left").withColumn("base_failed", base_failed())
     inside = []
     for f in FIGURES:
-        room = width * F.col(f"band_{f}_range")
+        room = F.lit(reach) * F.col(f"band_{f}_range")
         x = F.col(f).between(F.col(f"band_{f}_q1") - room, F.col(f"band_{f}_q3") + room)
         out = out.withColumn(f"{f}_inside", F.coalesce(x, F.lit(False)))
         inside.append(F.col(f"{f}_inside"))
     kept = ~F.col("base_failed") & inside[0] & inside[1] & inside[2]
-    return out.withColumn("kept", kept).drop("band_group", *[f"band_{c}" for c in names])
+    return out.withColumn("kept", kept).drop(*limits.columns)

@@ -257,6 +257,18 @@ def test_quality_bands_by_brute_force(spark):
     assert all(out[i].kept for i in range(150)) and not out[900].kept and not out[901].kept and out[901].byte_share > 0.3
 
 
+def test_quality_bands_go_by_length(spark):
+    """A long text with the entropy of a short one falls out among texts of its own length; no other text does."""
+    from bookflow.llm.fertility import judged
+
+    def row(i, tokens, entropy):
+        return (i, "en", tokens, 0, tokens, 2.2 + 0.01 * (i % 5), 0.0, entropy + 0.05 * (i % 7))
+
+    rows = [row(i, 100 + i % 20, 5.6) for i in range(200)] + [row(i, 2000 + i, 6.8) for i in range(200, 400)] + [row(900 + i, 2100 + i, 5.9) for i in range(9)]
+    measured = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double")
+    assert {r.doc_id for r in judged(measured).where("NOT kept").collect()} == set(range(900, 909))
+
+
 @pytest.mark.parametrize("case", ["hard", "small"])
 def test_near_duplicates(spark, hard, case):
     path, rows = (hard, [r for r in ROWS if r[0] is not None]) if case == "hard" else (SMALL, small_rows(spark))
