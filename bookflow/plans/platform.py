@@ -377,7 +377,7 @@ def submission_rows(spark, path):
     "round(sum(value) + 1.23e-10, 6) + 0.0 AS value FROM events GROUP BY ALL",
 )
 def stream_look_back(spark, path):
-    out, _ = stream.drained(spark, path, lambda s: stream.look_back(s, ["event_type"], "6 hours"))
+    out = stream.stored(spark, path, lambda s, delay: stream.look_back(s, ["event_type"], "6 hours", delay=delay))
     return present(out.withColumn("start", F.unix_micros("start")), ("start", "event_type"))
 
 
@@ -387,7 +387,7 @@ def stream_look_back(spark, path):
     "(SELECT time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR * k AS s, value FROM events, range(4) r(k)) GROUP BY ALL",
 )
 def stream_nested_windows(spark, path):
-    out, _ = stream.drained(spark, path, lambda s: stream.look_back(s, [], "24 hours", "6 hours"))
+    out = stream.stored(spark, path, lambda s, delay: stream.look_back(s, [], "24 hours", "6 hours", delay))
     return present(out.withColumn("start", F.unix_micros("start")), ("start",))
 
 
@@ -399,7 +399,7 @@ def stream_nested_windows(spark, path):
     SELECT user_id, epoch_us(start) AS start, epoch_us(last_ts) AS last_ts, n::DOUBLE AS events, round(v + 1.23e-10, 6) + 0.0 AS value FROM s""",
 )
 def stream_complete_samples(spark, path):
-    out, _ = stream.drained(spark, path, lambda s: stream.complete_samples(s, "user_id", "2 hours", "1 hour"))
+    out = stream.stored(spark, path, lambda s, delay: stream.complete_samples(s, "user_id", "2 hours", delay))
     micros = {n: F.unix_micros(n) for n in ("start", "last_ts")}
     return present(out.withColumns(micros), ("user_id", "start", "last_ts"))
 

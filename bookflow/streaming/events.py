@@ -4,7 +4,11 @@
 windows of fixed length. `drained` runs either over all files there are and then closes the stream: a last row far behind
 the others moves the watermark past every open sample or window, so the trailing ones come out too. Each batch writes a
 folder of its own, so a batch that is repeated after a failure overwrites its own output. Rows later than the watermark are
-left out, and counted.
+left out, and counted as the state operators count them: a row of a look-back once per window, and rows of one task that
+fall into one window as one.
+
+Files of a stored table come in no order of time. `stored` reads such a table as a stream whose delay is the table's whole
+time span, so no row of any file is late whatever the order of the files, and fails should one be late all the same.
 """
 
 import uuid
@@ -13,6 +17,9 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import checkpoint_root
 
+#: stored without a zone: read as UTC, whatever the zone of the session
+MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"
+
 
 def event_stream(spark, path, name="events", files_per_batch=1):
     """Stream of the Parquet files of one table."""
@@ -23,9 +30,7 @@ def event_stream(spark, path, name="events", files_per_batch=1):
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(f"{path}/{name}.parquet*")
     )
-    # stored without a zone: read as UTC, whatever the zone of the session
-    micros = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"
-    return raw.withColumn("ts", F.timestamp_micros(F.expr(micros)))
+    return raw.withColumn("ts", F.timestamp_micros(F.expr(MICROS)))
 
 
 def complete_samples(events, key, gap, delay):
@@ -49,29 +54,52 @@ def look_back(events, keys, length, slide=None, delay="0 seconds"):
     )
 
 
+def stored(spark, path, build, reach=172_800, name="events"):
+    """Rows of build(stream, delay) over all files of a table, in whatever order they come.
+
+    Until the stream is closed the state holds every window or session. `reach`, in seconds, must exceed window length and gap.
+    """
+    micros = spark.read.parquet(f"{path}/{name}.parquet").select(F.expr(MICROS).alias("t"))
+    first, last = micros.agg(F.min("t"), F.max("t")).first()
+    span = 1 + ((last or 0) - (first or 0)) // 1_000_000
+    out, late = drained(spark, path, lambda s: build(s, f"{span} seconds"), f"{span + reach} seconds", name)
+    if late:
+        raise RuntimeError(f"rows of {path}/{name}.parquet came too late and are missing in the result: {late} as counted by the state")
+    return out
+
+
 def drained(spark, path, build, closing="2 days", name="events"):
-    """(rows of build(stream) over all files of a table, number of rows that came too late).
+    """(rows of build(stream) over all files of a table, number of rows that came too late, 0 only if none did).
 
     `closing` must exceed window length, gap and delay together.
     """
     root = f"{checkpoint_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    stored = spark.read.parquet(f"{path}/{name}.parquet")
-    stored.limit(0).write.parquet(f"{root}/closing/{name}.parquet")
-    late = _run(build(event_stream(spark, path, name).unionByName(event_stream(spark, f"{root}/closing", name))), root)
-    last = stored.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
-    end = last.select(*[(F.expr(f"ts + INTERVAL {closing}") if n == "ts" else F.lit(None)).cast(t).alias(n) for n, t in stored.dtypes])
+    table = spark.read.parquet(f"{path}/{name}.parquet")
+    table.limit(0).write.parquet(f"{root}/closing/{name}.parquet")
+    batches = len(table.inputFiles()) + 100
+    late = _run(build(event_stream(spark, path, name).unionByName(event_stream(spark, f"{root}/closing", name))), root, batches)
+    last = table.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
+    end = last.select(*[(F.expr(f"ts + INTERVAL {closing}") if n == "ts" else F.lit(None)).cast(t).alias(n) for n, t in table.dtypes])
     end.write.mode("append").parquet(f"{root}/closing/{name}.parquet")
-    late += _run(build(event_stream(spark, path, name).unionByName(event_stream(spark, f"{root}/closing", name))), root)
+    late += _run(build(event_stream(spark, path, name).unionByName(event_stream(spark, f"{root}/closing", name))), root, batches)
     return spark.read.parquet(f"{root}/rows").drop("batch"), late
 
 
-def _run(stream, root):
-    query = (
-        stream.writeStream.outputMode("append")
-        .option("checkpointLocation", f"{root}/state")
-        .trigger(availableNow=True)
-        .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}"))
-        .start()
-    )
+def _run(stream, root, batches):
+    # the reports of all batches are read for late rows; Spark keeps 100 unless told otherwise
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    conf = stream.sparkSession.conf
+    before = conf.get(kept)
+    conf.set(kept, max(int(before), batches))
+    try:
+        query = (
+            stream.writeStream.outputMode("append")
+            .option("checkpointLocation", f"{root}/state")
+            .trigger(availableNow=True)
+            .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}"))
+            .start()
+        )
+    finally:
+        conf.set(kept, before)
     query.awaitTermination()
     return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
