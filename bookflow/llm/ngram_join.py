@@ -9,6 +9,9 @@
    out by pairs of blocks, and a task sees two blocks. A block gives its link counts and a tree of its links, no pairs.
 4. Components of the links found give the class ids.
 
+Classes are named by a 64-bit hash of their digest while they are compared, so ids decide nothing: rows without an id and different
+texts under one id are linked like all others. A class and a component get the smallest id of their rows, null if none has one.
+
 Defined results: null and empty texts have no n-grams and are one class; a text of fewer than n words is one n-gram of all
 its words; repeated rows are rows of their own and no link; n_links counts the other texts of a row's class and the texts
 of linked classes; an empty table gives an empty one.
@@ -193,37 +196,65 @@ def compared(block, threshold):
 def near_duplicates(docs, n=N, threshold=THRESHOLD, recall=0.9995, hashes=256, block=BLOCK):
     """docs(doc_id, text) -> doc_id, class_id (smallest doc_id of its component), set_id (of its n-gram set), n_links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed, named = _grouped(docs, n, threshold, recall, hashes, block)
+    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "set_id", "n_links")
+
+
+def representatives(docs, n=N, threshold=THRESHOLD, recall=0.9995, hashes=256, block=BLOCK):
+    """docs(doc_id, text, ...) -> one row of each component, unchanged: smallest id, nulls last, then smallest hash of the text, then smallest text."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(F.col("doc_id").cast("long").alias("_own"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_copy"), *[F.col(c).alias(m) for c, m in names.items()])
+    signed, named = _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, threshold, recall, hashes, block)
+    # the first (id, hash) of each component, by partial aggregates; a pair of them is in one class of texts
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("copy").alias("hash"))
+    chosen = signed.select("doc_id", "copy", "digest").join(named.select("digest", "component"), "digest").groupBy("component").agg(F.min(order).alias("s"))
+    chosen = held(chosen.select(F.col("s.id").alias("_id"), F.col("s.hash").alias("_hash")), "chosen")
+    near = rows.join(chosen, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_hash")), "left_semi")
+    # equal id and equal text: repeated rows, of which one stays
+    first = near.groupBy("_own", "_copy").agg(F.min(F.struct(*[F.col(names[c]) for c in ["text", *[c for c in docs.columns if c != "text"]]])).alias("s"))
+    return first.select(*[F.col(f"s.{m}").alias(c) for c, m in names.items()])
+
+
+def _grouped(docs, n, threshold, recall, hashes, block):
+    """(signed rows: doc_id, copy, digest; classes: digest, component, class_id, set_id, n_links)."""
     bands, rows = bands_for(threshold, recall, hashes)
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"), "text")
     signed = held(texts.mapInArrow(_signed(n, bands, rows), "doc_id long, copy long, digest binary, bands array<bigint>"), "signed")
-    # classes: one n-gram set each; n_texts counts different texts
+    # classes: one n-gram set each; n_texts counts different texts. Its text is the one of the smallest id, or of the smallest hash
     copies = signed.groupBy("digest", "copy").agg(F.min("doc_id").alias("doc_id"))
-    classes = held(copies.groupBy("digest").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_texts")), "classes")
-    own = signed.where("bands IS NOT NULL").join(classes, (signed.digest == classes.digest) & (F.col("doc_id") == F.col("set_id"))).select("set_id", "n_texts", "bands")
-    own = held(own.dropDuplicates(["set_id"]), "class_bands")
-    keys = own.select("set_id", F.posexplode("bands").alias("band", "value")).select("set_id", F.xxhash64("band", "value").alias("bucket"))
-    stars = keys.groupBy("bucket").agg(F.min("set_id").alias("centre"), F.count("*").alias("size")).where("size > 1").select("bucket", "centre")
-    edges = keys.join(held(stars, "buckets"), "bucket").where("set_id <> centre").select(F.col("set_id").alias("a"), F.col("centre").alias("b")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("copy").alias("hash"))).alias("s")
+    classes = copies.groupBy("digest").agg(first, F.count("*").alias("n_texts"))
+    classes = held(classes.select("digest", F.xxhash64("digest").alias("set_key"), F.col("s.id").alias("set_id"), F.col("s.hash").alias("set_copy"), "n_texts"), "classes")
+    mine = signed.doc_id.eqNullSafe(F.col("set_id")) & (F.col("copy") == F.col("set_copy")) & (signed.digest == classes.digest)
+    own = signed.where("bands IS NOT NULL").join(classes, mine).select("set_key", "set_id", "set_copy", "n_texts", "bands")
+    own = held(own.dropDuplicates(["set_key"]), "class_bands")
+    keys = own.select("set_key", F.posexplode("bands").alias("band", "value")).select("set_key", F.xxhash64("band", "value").alias("bucket"))
+    stars = keys.groupBy("bucket").agg(F.min("set_key").alias("centre"), F.count("*").alias("size")).where("size > 1").select("bucket", "centre")
+    edges = keys.join(held(stars, "buckets"), "bucket").where("set_key <> centre").select(F.col("set_key").alias("a"), F.col("centre").alias("b")).distinct()
     found = components(held(edges, "candidates"))
-    links = held(_verified(docs, own.select("set_id", "n_texts"), found, n, threshold, block), "links")
+    links = held(_verified(docs, own.drop("bands"), found, n, threshold, block), "links")
     counted = links.groupBy("class_id").agg(F.sum("links").alias("links"))
     joined = components(held(links.where("class_id <> root").select(F.col("class_id").alias("a"), F.col("root").alias("b")).distinct(), "tree"))
-    named = classes.join(counted.withColumnRenamed("class_id", "set_id"), "set_id", "left").join(joined.withColumnRenamed("id", "set_id"), "set_id", "left")
-    named = held(named.select("digest", "set_id", F.coalesce("component", "set_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links")), "named")
-    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "set_id", "n_links")
+    named = classes.join(counted.withColumnRenamed("class_id", "set_key"), "set_key", "left").join(joined.withColumnRenamed("id", "set_key"), "set_key", "left")
+    links = (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links")
+    named = held(named.select("digest", "set_id", F.coalesce("component", "set_key").alias("component"), links), "named")
+    least = named.groupBy("component").agg(F.min("set_id").alias("class_id"))
+    return signed, held(named.join(least, "component").select("digest", "component", "class_id", "set_id", "n_links"), "classed")
 
 
 def _verified(docs, own, found, n, threshold, block):
     """(class_id, root, links) of all blocks; a class of a large component is in as many pairs of blocks as there are blocks."""
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    placed = found.join(sizes, "component").join(own, F.col("id") == F.col("set_id")).select("set_id", "component", "size", "n_texts")
+    placed = found.join(sizes, "component").join(own, F.col("id") == F.col("set_key")).select("set_key", "set_id", "set_copy", "component", "size", "n_texts")
     placed = held(placed, "placed")
-    here = docs.join(placed, F.col("doc_id") == F.col("set_id")).dropDuplicates(["set_id"]).select("set_id", "component", "size", "n_texts", "text")
-    sets = here.mapInArrow(_sets(n), "set_id long, component long, size long, n_texts long, grams binary")
+    texts = docs.withColumn("copy", F.xxhash64(F.coalesce("text", F.lit(""))))
+    mine = F.col("copy").eqNullSafe(F.col("set_copy")) & F.col("doc_id").eqNullSafe(F.col("set_id"))
+    here = texts.join(placed, mine).dropDuplicates(["set_key"]).select("set_key", "component", "size", "n_texts", "text")
+    sets = here.mapInArrow(_sets(n), "set_key long, component long, size long, n_texts long, grams binary")
     blocks = F.ceil(F.col("size") / block)
-    sets = sets.withColumn("blocks", blocks).withColumn("own_block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
+    sets = sets.withColumn("blocks", blocks).withColumn("own_block", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = sets.select(F.col("set_id").alias("class_id"), "component", "n_texts", "grams", "own_block", other)
+    dealt = sets.select(F.col("set_key").alias("class_id"), "component", "n_texts", "grams", "own_block", other)
     dealt = dealt.withColumn("block_a", F.least("own_block", "other")).withColumn("block_b", F.greatest("own_block", "other")).drop("other")
     # small components share a unit of work; a pair of blocks of a large one is dealt like them
     rows = placed.agg(F.sum(F.ceil(F.col("size") / block))).first()[0] or 0

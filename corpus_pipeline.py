@@ -5,14 +5,13 @@ group, the mixture takes words of each source to its target, and packing cuts wh
 """
 
 import public_tokenizers
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bookflow.llm.common import documents, held
 from bookflow.llm.fertility import judged, measures
 from bookflow.llm.line_dedup import LineIndex
 from bookflow.llm.mixing import Mixture
-from bookflow.llm.ngram_join import near_duplicates
+from bookflow.llm.ngram_join import representatives
 from bookflow.llm.packing import pack
 
 
@@ -36,13 +35,8 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def ngram_join(spark, docs, sf_dir):
-    """The document of the smallest id of each group of near duplicates, once."""
-    stays = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(F.col("doc_id").cast("long").alias("_own"), *[F.col(c).alias(n) for c, n in names.items()])
-    first = F.row_number().over(Window.partitionBy("_own").orderBy(names["text"]))
-    kept = rows.join(stays, F.col("_own").eqNullSafe(F.col("_id"))).withColumn("_n", first).where("_n = 1")
-    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
+    """The document of the smallest id of each group of near duplicates, once; ids may be null or shared."""
+    return representatives(docs)
 
 
 def mixture(spark, docs, sf_dir):

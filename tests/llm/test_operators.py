@@ -295,6 +295,33 @@ def test_large_groups_are_compared_in_blocks(spark):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute.near_groups(rows)
 
 
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    """Different and near-copy texts without an id or under one id: links as with ids of their own, and one row of each group stays."""
+    import random
+
+    import corpus_pipeline
+    from bookflow.llm.ngram_join import near_duplicates
+
+    rng = random.Random(9)
+    texts = []
+    for _ in range(6):
+        a = brute.prose(rng, 120)
+        texts += [a, a.replace(a.split()[60], "changed", 1), a.upper()]
+    ids = [None] * 6 + [7] * 6 + [1, None, 2, 7, 7, 3]
+    rows = list(zip(ids, texts))
+    want = brute.near_groups(list(enumerate(texts)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = near_duplicates(docs).collect()
+    group = lambda k: [ids[j] for j in want if want[j][0] == want[k][0] and ids[j] is not None]
+    expect = [(ids[k], min(group(k), default=None), want[k][1]) for k in want]
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == sorted(expect, key=repr)
+    stays = corpus_pipeline.ngram_join(spark, docs, None).collect()
+    assert {(r.doc_id, r.text) for r in stays} <= set(rows)
+    at = [next(want[k][0] for k in want if texts[k] == r.text) for r in stays]
+    assert sorted(at) == sorted({c for c, _ in want.values()})
+    assert all(r.doc_id == min(group(next(k for k in want if texts[k] == r.text)), default=None) for r in stays)
+
+
 def test_components(spark):
     from bookflow.llm.components import components
 
