@@ -9,8 +9,9 @@
    out by pairs of blocks, and a task sees two blocks. A block gives its link counts and a tree of its links, no pairs.
 4. Components of the links found give the class ids.
 
-Classes are named by a 64-bit hash of their digest while they are compared, so ids decide nothing: rows without an id and different
-texts under one id are linked like all others. A class and a component get the smallest id of their rows, null if none has one.
+Classes are numbered when their table is written, one number for each 128-bit digest, so ids decide nothing while they are
+compared: rows without an id and different texts under one id are linked like all others. A class and a component get the
+smallest id of their rows, null if none has one.
 
 Defined results: null and empty texts have no n-grams and are one class; a text of fewer than n words is one n-gram of all
 its words; repeated rows are rows of their own and no link; n_links counts the other texts of a row's class and the texts
@@ -29,8 +30,9 @@ from .components import components
 
 N = 5
 THRESHOLD = 0.8
-#: Classes in a block of a component, and in a work unit of small components.
+#: Classes in a block of a component, and in a work unit of small components; a block of long texts is fuller in bytes of n-grams.
 BLOCK = 128
+BLOCK_BYTES = 16 << 20
 SEED = 20240229
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -119,8 +121,8 @@ def _signed(n, bands, rows):
                 for i, row in zip(some, signer.bands_of([sets[i] for i in some])):
                     found[i] = row
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            out = {"doc_id": batch.column("doc_id"), "copy": batch.column("copy"), "digest": digest, "bands": found}
-            yield arrow(out, {"digest": pa.binary(), "bands": pa.list_(pa.int64())})
+            out = {"doc_id": batch.column("doc_id"), "copy": batch.column("copy"), "digest": digest, "n_grams": [len(s) for s in sets], "bands": found}
+            yield arrow(out, {"digest": pa.binary(), "n_grams": pa.int64(), "bands": pa.list_(pa.int64())})
 
     return run
 
@@ -200,39 +202,51 @@ def near_duplicates(docs, n=N, threshold=THRESHOLD, recall=0.9995, hashes=256, b
     return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "set_id", "n_links")
 
 
+def _own(doc_id):
+    """The id as a join key that is never null."""
+    return F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))
+
+
+def _copy(text):
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def representatives(docs, n=N, threshold=THRESHOLD, recall=0.9995, hashes=256, block=BLOCK):
-    """docs(doc_id, text, ...) -> one row of each component, unchanged: smallest id, nulls last, then smallest hash of the text, then smallest text."""
+    """docs(doc_id, text, ...) -> one row of each component, unchanged: smallest id, nulls last, then smallest digest of the text.
+
+    Repeated rows are made one before the exchange; the exchange of texts by (id, text digest) also serves the choice.
+    """
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(F.col("doc_id").cast("long").alias("_own"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_copy"), *[F.col(c).alias(m) for c, m in names.items()])
+    rows = docs.select(_own(F.col("doc_id")).alias("_own"), _copy(F.col("text")).alias("_copy"), *[F.col(c).alias(m) for c, m in names.items()])
     signed, named = _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, threshold, recall, hashes, block)
-    # the first (id, hash) of each component, by partial aggregates; a pair of them is in one class of texts
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("copy").alias("hash"))
+    # the first (id, digest) of each component, by partial aggregates; a pair of them is in one class of texts
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("copy").alias("copy"))
     chosen = signed.select("doc_id", "copy", "digest").join(named.select("digest", "component"), "digest").groupBy("component").agg(F.min(order).alias("s"))
-    chosen = held(chosen.select(F.col("s.id").alias("_id"), F.col("s.hash").alias("_hash")), "chosen")
-    near = rows.join(chosen, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_hash")), "left_semi")
-    # equal id and equal text: repeated rows, of which one stays
-    first = near.groupBy("_own", "_copy").agg(F.min(F.struct(*[F.col(names[c]) for c in ["text", *[c for c in docs.columns if c != "text"]]])).alias("s"))
-    return first.select(*[F.col(f"s.{m}").alias(c) for c, m in names.items()])
+    chosen = held(chosen.select(_own(F.col("s.id")).alias("_own"), F.col("s.copy").alias("_copy")), "chosen")
+    once = rows.groupBy("_own", "_copy").agg(F.min(F.struct(*[F.col(names[c]) for c in docs.columns if c != "text"], F.col(names["text"]))).alias("s"))
+    near = once.join(chosen.hint("merge"), ["_own", "_copy"], "left_semi")
+    return near.select(*[F.col(f"s.{m}").alias(c) for c, m in names.items()])
 
 
 def _grouped(docs, n, threshold, recall, hashes, block):
     """(signed rows: doc_id, copy, digest; classes: digest, component, class_id, set_id, n_links)."""
     bands, rows = bands_for(threshold, recall, hashes)
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"), "text")
-    signed = held(texts.mapInArrow(_signed(n, bands, rows), "doc_id long, copy long, digest binary, bands array<bigint>"), "signed")
-    # classes: one n-gram set each; n_texts counts different texts. Its text is the one of the smallest id, or of the smallest hash
-    copies = signed.groupBy("digest", "copy").agg(F.min("doc_id").alias("doc_id"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("copy").alias("hash"))).alias("s")
-    classes = copies.groupBy("digest").agg(first, F.count("*").alias("n_texts"))
-    classes = held(classes.select("digest", F.xxhash64("digest").alias("set_key"), F.col("s.id").alias("set_id"), F.col("s.hash").alias("set_copy"), "n_texts"), "classes")
-    mine = signed.doc_id.eqNullSafe(F.col("set_id")) & (F.col("copy") == F.col("set_copy")) & (signed.digest == classes.digest)
-    own = signed.where("bands IS NOT NULL").join(classes, mine).select("set_key", "set_id", "set_copy", "n_texts", "bands")
-    own = held(own.dropDuplicates(["set_key"]), "class_bands")
+    texts = docs.select("doc_id", _copy(F.col("text")).alias("copy"), "text")
+    signed = held(texts.mapInArrow(_signed(n, bands, rows), "doc_id long, copy binary, digest binary, n_grams long, bands array<bigint>"), "signed")
+    # classes: one n-gram set each; n_texts counts different texts. Its text is the one of the smallest id, or of the smallest digest
+    copies = signed.groupBy("digest", "copy").agg(F.min("doc_id").alias("doc_id"), F.first("n_grams").alias("n_grams"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("copy").alias("copy"))).alias("s")
+    classes = copies.groupBy("digest").agg(first, F.count("*").alias("n_texts"), F.first("n_grams").alias("n_grams"))
+    # numbers are exact: they are given once, when the table is written
+    classes = held(classes.select("digest", F.monotonically_increasing_id().alias("set_key"), F.col("s.id").alias("set_id"), F.col("s.copy").alias("set_copy"), "n_texts", "n_grams"), "classes")
+    mine = classes.where("n_grams > 0").select("digest", F.col("set_copy").alias("copy"), "set_key")
+    own = signed.where("bands IS NOT NULL").join(mine.hint("merge"), ["digest", "copy"]).select("set_key", "bands").dropDuplicates(["set_key"])
+    own = held(own, "class_bands")
     keys = own.select("set_key", F.posexplode("bands").alias("band", "value")).select("set_key", F.xxhash64("band", "value").alias("bucket"))
     stars = keys.groupBy("bucket").agg(F.min("set_key").alias("centre"), F.count("*").alias("size")).where("size > 1").select("bucket", "centre")
     edges = keys.join(held(stars, "buckets"), "bucket").where("set_key <> centre").select(F.col("set_key").alias("a"), F.col("centre").alias("b")).distinct()
     found = components(held(edges, "candidates"))
-    links = held(_verified(docs, own.drop("bands"), found, n, threshold, block), "links")
+    links = held(_verified(docs, classes.drop("digest", "set_id"), found, n, threshold, block), "links")
     counted = links.groupBy("class_id").agg(F.sum("links").alias("links"))
     joined = components(held(links.where("class_id <> root").select(F.col("class_id").alias("a"), F.col("root").alias("b")).distinct(), "tree"))
     named = classes.join(counted.withColumnRenamed("class_id", "set_key"), "set_key", "left").join(joined.withColumnRenamed("id", "set_key"), "set_key", "left")
@@ -242,21 +256,23 @@ def _grouped(docs, n, threshold, recall, hashes, block):
     return signed, held(named.join(least, "component").select("digest", "component", "class_id", "set_id", "n_links"), "classed")
 
 
-def _verified(docs, own, found, n, threshold, block):
-    """(class_id, root, links) of all blocks; a class of a large component is in as many pairs of blocks as there are blocks."""
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    placed = found.join(sizes, "component").join(own, F.col("id") == F.col("set_key")).select("set_key", "set_id", "set_copy", "component", "size", "n_texts")
-    placed = held(placed, "placed")
-    texts = docs.withColumn("copy", F.xxhash64(F.coalesce("text", F.lit(""))))
-    mine = F.col("copy").eqNullSafe(F.col("set_copy")) & F.col("doc_id").eqNullSafe(F.col("set_id"))
-    here = texts.join(placed, mine).dropDuplicates(["set_key"]).select("set_key", "component", "size", "n_texts", "text")
-    sets = here.mapInArrow(_sets(n), "set_key long, component long, size long, n_texts long, grams binary")
-    blocks = F.ceil(F.col("size") / block)
-    sets = sets.withColumn("blocks", blocks).withColumn("own_block", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
+def _verified(docs, classes, found, n, threshold, block):
+    """(class_id, root, links) of all blocks; a class of a large component is in as many pairs of blocks as there are blocks.
+
+    Texts go through one exchange by their digest, of which only those of classes in components come out; copies are made
+    one before it. The plan is the same at every size. A block holds `block` classes or BLOCK_BYTES of n-grams on average.
+    """
+    placed = found.join(classes, F.col("id") == F.col("set_key")).select("set_key", "set_copy", "component", "n_texts", "n_grams")
+    sizes = placed.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_grams") * 8 / BLOCK_BYTES)).alias("blocks"))
+    placed = held(placed.join(sizes, "component"), "placed")
+    texts = docs.groupBy(_copy(F.col("text")).alias("set_copy")).agg(F.first("text").alias("text"))
+    here = texts.join(placed.hint("merge"), "set_copy").select("set_key", "component", "blocks", "n_texts", "text")
+    sets = here.mapInArrow(_sets(n), "set_key long, component long, blocks long, n_texts long, grams binary")
+    sets = sets.withColumn("own_block", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     dealt = sets.select(F.col("set_key").alias("class_id"), "component", "n_texts", "grams", "own_block", other)
     dealt = dealt.withColumn("block_a", F.least("own_block", "other")).withColumn("block_b", F.greatest("own_block", "other")).drop("other")
     # small components share a unit of work; a pair of blocks of a large one is dealt like them
-    rows = placed.agg(F.sum(F.ceil(F.col("size") / block))).first()[0] or 0
-    unit = F.pmod(F.xxhash64("component", "block_a", "block_b"), F.lit(max(1, -(-rows // block))))
+    whole = placed.agg(F.ceil(F.greatest(F.sum("blocks") / block, F.sum(F.col("blocks") * F.col("n_grams")) * 8 / BLOCK_BYTES))).first()[0] or 0
+    unit = F.pmod(F.xxhash64("component", "block_a", "block_b"), F.lit(max(1, int(whole))))
     return dealt.withColumn("unit", unit).groupBy("unit").applyInPandas(lambda g: compared(g, threshold), "class_id long, root long, links long")
