@@ -158,12 +158,12 @@ n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT * FROM f WHERE k > 1 AND a >= 100),
 longer AS (SELECT lang, unnest([words[1:k - 1], words[2:k]]) AS words, a AS b FROM c WHERE k > 2),
 kept AS (SELECT c.* FROM c LEFT JOIN (SELECT lang, words, max(b) AS b FROM longer GROUP BY ALL) x USING (lang, words) WHERE b IS NULL OR 100 * b < 100 * a),
-cuts AS (SELECT kept.*, unnest(range(1, k)) AS at FROM kept),
+cuts AS (SELECT kept.*, unnest(range(1, k)) AS pos FROM kept),
 scored AS (
-    SELECT cuts.lang, cuts.words, cuts.a, cuts.at, l.a AS l, r.a AS r, n.n, ((1000::HUGEINT * cuts.a * n.n) // (l.a::HUGEINT * r.a))::BIGINT AS score
-    FROM cuts JOIN f l ON l.lang = cuts.lang AND l.words = cuts.words[1:cuts.at] JOIN f r ON r.lang = cuts.lang AND r.words = cuts.words[cuts.at + 1:cuts.k] JOIN n ON n.lang = cuts.lang
+    SELECT cuts.lang, cuts.words, cuts.a, cuts.pos, l.a AS l, r.a AS r, n.n, ((1000::HUGEINT * cuts.a * n.n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+    FROM cuts JOIN f l ON l.lang = cuts.lang AND l.words = cuts.words[1:cuts.pos] JOIN f r ON r.lang = cuts.lang AND r.words = cuts.words[cuts.pos + 1:cuts.k] JOIN n ON n.lang = cuts.lang
 ),
-best AS (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, at) AS nth FROM scored),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, pos) AS nth FROM scored),
 ranked AS (SELECT *, array_to_string(words, ' ') AS phrase FROM best WHERE nth = 1)
 SELECT * FROM (
     SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM ranked
