@@ -1,12 +1,12 @@
 """Reading event files, labels and CSV features; one-time conversion of Arrow files to Parquet."""
 
-import pyarrow as pa
-import pyarrow.fs as pa_fs
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import KEY, SEQ, TIME
+from .arrow_source import ROWS_PER_TASK, read_arrow
 
 
 def read_events(spark, path, columns=None):
@@ -48,58 +48,22 @@ def keep_ids(df, ids, key=KEY):
     return df.join(ids.select(key), key, "left_semi")
 
 
-def _open(path, columns=None):
-    """Arrow file on any file system; `columns` are the only ones that are decompressed."""
-    if "://" in path:
-        store, name = pa_fs.FileSystem.from_uri(path)
-        source = store.open_input_file(name)
-    else:
-        source = pa.memory_map(path, "r")
-    names = pa.ipc.open_file(source).schema.names
-    picked = None if columns is None else sorted(names.index(n) for n in columns)
-    return pa.ipc.open_file(source, options=pa.ipc.IpcReadOptions(included_fields=picked))
-
-
-def convert_arrow_files(spark, files, schema, rows_per_slice=1_000_000):
+def convert_arrow_files(spark, files, schema, rows_per_slice=ROWS_PER_TASK):
     """DataFrame of Arrow IPC (feather) files with `event_seq`, the row number in file order.
 
-    One task counts the rows of a file's batches by one column. Then a task reads one batch, once and only the columns of
-    `schema`, and hands it on in slices.
+    A task reads `rows_per_slice` rows of the columns of `schema`, however large a file's record batches are.
     """
-    listing = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "file int, path string")
-    names = [f.name for f in schema.fields]
-
-    def footers(batches):
-        for b in batches:
-            for i, p in zip(b["file"].to_pylist(), b["path"].to_pylist()):
-                with _open(p, names[:1]) as f:
-                    sizes = [f.get_batch(k).num_rows for k in range(f.num_record_batches)]
-                rows = [(i, p, k, sum(sizes[:k])) for k in range(len(sizes))]
-                kinds = {"file": pa.int32(), "path": pa.string(), "batch": pa.int32(), "offset": pa.int64()}
-                cols = list(zip(*rows)) if rows else [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values())], list(kinds))
-
-    plan = listing.repartition(max(1, len(files))).mapInArrow(footers, "file int, path string, batch int, offset long")
-    out = T.StructType([*schema.fields, T.StructField(SEQ, T.LongType())])
-    arrow = to_arrow_schema(out)
-
-    def read(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                with _open(row["path"], names) as f:
-                    whole = f.get_batch(row["batch"])
-                for start in range(0, whole.num_rows, rows_per_slice):
-                    part = whole.slice(start, rows_per_slice)
-                    first = row["file"] * 2**40 + row["offset"] + start
-                    seq = pa.array(range(first, first + part.num_rows), pa.int64())
-                    cols = [part.column(n).cast(arrow.field(n).type) for n in names]
-                    yield pa.RecordBatch.from_arrays([*cols, seq], schema=arrow)
-
-    # dealt in turn, so no task gets a second batch before each has one
-    return plan.repartition(spark.sparkContext.defaultParallelism).mapInArrow(read, out)
+    return read_arrow(spark, files, schema, rows_per_slice)
 
 
 def write_bucketed(df, table, buckets, key=KEY):
     """Table bucketed by sample and sorted in time, so per-sample windows and joins need no shuffle."""
     sort = [key, TIME, SEQ] if TIME in df.columns else [key]
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(*sort).saveAsTable(table)
+
+
+def bucketed(df, buckets, key=KEY):
+    """`df` as a table of its own bucketed and sorted by `key`: joins and aggregations by the key need no exchange."""
+    table = f"bucketed_{uuid.uuid4().hex}"
+    write_bucketed(df, table, buckets, key)
+    return df.sparkSession.table(table)

@@ -1,9 +1,14 @@
 """Writing feature packs, prepared datasets and submissions."""
 
+import uuid
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.expr import finite_or_zero
 from ..operators.contract import manifest
@@ -39,6 +44,28 @@ def read_pack(spark, path, verify=True):
     return df
 
 
+def write_arrow(df, path, compression="lz4"):
+    """One Arrow IPC file of one record batch for each partition, in `path`, a folder that all executors share; returns the files in partition order.
+
+    A task writes under a name of its own attempt and reports it, so files of failed or doubled attempts are in no list.
+    """
+    schema = to_arrow_schema(df.schema)
+
+    def write(batches):
+        whole = pa.Table.from_batches(batches, schema).combine_chunks()
+        if whole.num_rows:
+            store, folder = pa_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa_fs.LocalFileSystem(), path)
+            store.create_dir(folder, recursive=True)
+            part = TaskContext.get().partitionId()
+            name = f"part-{part:06d}-{uuid.uuid4().hex}.arrow"
+            with store.open_output_stream(f"{folder}/{name}") as sink, pa.ipc.new_file(sink, schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as out:
+                out.write_batch(whole.to_batches()[0])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{path}/{name}"])], ["part", "file"])
+
+    # one row per file, as for any manifest of a folder
+    return [r.file for r in df.mapInArrow(write, "part int, file string").orderBy("part").collect()]
+
+
 def prepared(base, packs, label, drop=()):
     """Wide dataset: label rows joined to base and packs by id, missing and non-finite values 0.
 

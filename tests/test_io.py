@@ -1,8 +1,10 @@
 """Files in and out: Arrow conversion, packs, submissions, CSV, contract errors."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bookflow.operators import contract
 from bookflow.schema import ORDER
@@ -31,6 +33,55 @@ def test_arrow_files_keep_row_order(spark, tmp_path):
     assert df.schema["price"].dataType.simpleString() == "float" and df.schema["side"].dataType.simpleString() == "tinyint"
 
 
+@pytest.mark.parametrize("codec", [None, "lz4", "zstd"])
+def test_one_huge_batch_is_read_by_ranges(spark, tmp_path, codec):
+    """Several tasks share one record batch; columns with nulls, columns that are not asked for and both codecs."""
+    n, path = 100_003, str(tmp_path / "one.feather")
+    rng = np.random.default_rng(1)
+    x = pa.array(rng.normal(size=n), mask=rng.random(n) < 0.1)
+    table = pa.record_batch({"sample_id": pa.array(np.arange(n) // 7, pa.int32()), "note": pa.array(["a" * (i % 5) for i in range(n)]), "x": x, "same": pa.array(np.zeros(n), pa.float32())})
+    with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as out:
+        out.write_batch(table)
+    schema = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("sample_id", T.LongType()), T.StructField("same", T.FloatType())])
+    df = ingest.convert_arrow_files(spark, [path, path], schema, rows_per_slice=9_001)
+    assert df.rdd.getNumPartitions() == 24
+    got = df.where("event_seq < 1000000").orderBy("event_seq").toArrow()
+    assert got["event_seq"].to_pylist() == list(range(n)) and got["sample_id"].to_pylist() == [i // 7 for i in range(n)]
+    assert got["x"].to_pylist() == x.to_pylist() and set(got["same"].to_pylist()) == {0.0}
+    assert df.where("event_seq >= 1000000").agg(F.min("event_seq"), F.max("event_seq"), F.count("x")).first() == (1 << 40, (1 << 40) + n - 1, n - x.null_count)
+
+
+def test_a_task_holds_no_column(tmp_path):
+    """20 million rows in one packed batch: a range of a million takes far less than one column (160 MB)."""
+    import subprocess
+    import sys
+
+    path, n = str(tmp_path / "large.feather"), 20_000_000
+    table = pa.record_batch({"sample_id": pa.array(np.arange(n) // 100), "price": pa.array(np.arange(n) % 1000 / 8.0)})
+    with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_batch(table)
+    code = f"""
+import resource
+from bookflow.sources.arrow_source import rows_of
+list(rows_of({path!r}, 0, 0, 8, ["price"]))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rows = sum(len(c["price"]) for _, c in rows_of({path!r}, 0, {n} - 1_000_003, {n}, ["price", "sample_id"]) if c["sample_id"][0].as_py() >= 0)
+print(rows, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    rows, more = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert rows == 1_000_003 and more < 100_000
+
+
+def test_text_columns_are_refused(spark, tmp_path):
+    path = str(tmp_path / "t.feather")
+    table = pa.record_batch({"note": pa.array(["a"])})
+    with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, table.schema) as out:
+        out.write_batch(table)
+    for name, what in (("note", "no number"), ("gone", "no columns")):
+        with pytest.raises(Exception, match=what):
+            ingest.convert_arrow_files(spark, [path], T.StructType([T.StructField(name, T.DoubleType())])).collect()
+
+
 def test_pack_round_trip_and_tampering(spark, tmp_path):
     df = spark.range(20).select(F.col("id").cast("int").alias("sample_id"), (F.col("id") * 0.5).alias("x"))
     sinks.write_pack(df, str(tmp_path / "pack"))
