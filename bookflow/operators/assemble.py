@@ -21,6 +21,11 @@ def on_spine(spine, *tables, fill=None):
     return out if fill is None else out.na.fill(fill)
 
 
+def on_bucketed_spine(spine, *tables, fill=None):
+    """As `on_spine`, for tables bucketed alike by sample: sorted buckets are merged in one stage, none of them is exchanged."""
+    return on_spine(spine, *[t.hint("merge") for t in tables], fill=fill)
+
+
 def outer(*tables):
     return reduce(lambda a, b: a.join(b, KEY, "full_outer"), tables)
 

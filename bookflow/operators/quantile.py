@@ -1,9 +1,10 @@
-"""Exact quantiles by rank. Equal values are counted first, then ranked per (key, value slice),
-so no task ever holds all values of one key."""
+"""Exact quantiles. Where a key has few rows, its values are aggregated and sorted in one step; keys above the slice limit,
+and tables without keys, go by rank: equal values are counted first, then ranked per (key, value slice), so no task ever
+holds all values of a large key."""
 
 from pyspark.sql import functions as F
 
-from .timeline import Timeline
+from .timeline import Timeline, large_keys
 
 
 def _ranked(df, value, keys):
@@ -12,8 +13,7 @@ def _ranked(df, value, keys):
         .groupBy(*keys, value.alias("_x"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # asinh spreads heavy tails, so equal-width slices hold similar numbers of values
-    line = Timeline.of(counts, keys=keys, by=F.asinh(F.col("_x")), order=(F.col("_x"),))
+    line = Timeline.of(counts, keys=keys, order=(F.col("_x"),))
     return line.running_sum({"upto": F.col("n")}).key_total("rows", F.col("n"))
 
 
@@ -56,10 +56,37 @@ def exact_quantiles(df, value, probs, keys=(), interpolation="linear"):
 
 
 def quantiles_of(df, values, keys=()):
-    """{name: (value column, probability)} for several columns in one pass, one row per key.
+    """{name: (value column, probability)} for several columns in one pass, one row per key; linear interpolation.
 
-    The columns are stacked to (key, column number, value), so all are ranked together.
+    With keys, those of at most `bookflow.rowsPerSlice` rows take one aggregation that keeps (value, count) of each column;
+    the larger ones, if there are any, are ranked beside it.
     """
+    if not keys:
+        return _ranked_of(df, values, keys)
+    large, schema = large_keys(df, keys)
+    if not large:
+        return _gathered(df, values, keys)
+    # at most MAX_LARGE_KEYS rows, whatever the size of the data
+    listed = F.broadcast(df.sparkSession.createDataFrame(large, schema).select(*keys))
+    small = _gathered(df.join(listed, list(keys), "left_anti"), values, keys)
+    return small.unionByName(_ranked_of(df.join(listed, list(keys), "left_semi"), values, keys))
+
+
+def _gathered(df, values, keys):
+    probs, column, sets = {}, {}, []
+    for value, p in values.values():
+        probs.setdefault(str(value), []).append(p)
+    for value, _ in values.values():
+        if str(value) not in column:
+            column[str(value)] = f"_q{len(column)}"
+            at = F.array(*[F.lit(float(p)) for p in probs[str(value)]])
+            sets.append(F.percentile(value.cast("double"), at).alias(column[str(value)]))
+    picked = [F.element_at(column[str(v)], probs[str(v)].index(p) + 1).alias(name) for name, (v, p) in values.items()]
+    return df.groupBy(*keys).agg(*sets).select(*keys, *picked)
+
+
+def _ranked_of(df, values, keys):
+    """The columns are stacked to (key, column number, value), so all are ranked together."""
     columns, number = [], {}
     for name, (value, _) in values.items():
         if str(value) not in number:

@@ -4,11 +4,13 @@ import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as X
 from ..functions import stats
 from ..operators import blend, book, contract, drift, flow, joins, models, quotes
-from ..operators.assemble import on_spine
+from ..operators.assemble import on_bucketed_spine, on_spine
+from ..operators.lineage import checkpoint_root
 from ..schema import SEQ
 from ..sources import ingest, sinks
 from ..sources.adapters import predictions, streams
@@ -16,7 +18,7 @@ from ..streaming import events as stream
 from .book import BASE_JOIN, base_steps
 from .modelling import FT, average_rank_sql, features
 from .quotes import W
-from .registry import present, register
+from .registry import entries, present, register
 from .sql import cols, query
 
 ONE = ("k",)
@@ -138,14 +140,58 @@ def bucketed_activity(spark, path):
 
 def bucketed_gaps(spark, path, buckets=8):
     """Per-sample window and totals over a bucketed table: no exchange."""
-    table = f"bucketed_{uuid.uuid4().hex}"
-    ingest.write_bucketed(streams(spark, path).transaction, table, buckets)
+    trades = ingest.bucketed(streams(spark, path).transaction, buckets)
     w = Window.partitionBy("sample_id").orderBy(F.desc("seconds_before_predict"), "event_seq")
     t = F.col("seconds_before_predict")
-    rows = spark.table(table).withColumn("gap", F.lag(t).over(w) - t)
+    rows = trades.withColumn("gap", F.lag(t).over(w) - t)
     return rows.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"), F.max("gap").alias("longest"))
 
 
+FAMILIES = {"trade_flow": "transaction", "trade_windows": "transaction", "order_flow": "order"}
+
+
+@register(
+    "bucketed_families",
+    " JOIN ".join(f"{'SELECT * FROM ' * (k == 0)}({entries()[n][1]}) {'USING (sample_id)' * (k > 0)}" for k, n in enumerate(FAMILIES)),
+)
+def bucketed_families(spark, path):
+    return present(joined_families(spark, path))
+
+
+def joined_families(spark, path, buckets=8):
+    """Three families of events bucketed by sample, joined to a spine bucketed alike: no exchange in families or joins."""
+    s = streams(spark, path)
+    spine = ingest.bucketed(s.spine, buckets)
+    events = {"transaction": ingest.bucketed(s.transaction, buckets), "order": ingest.bucketed(s.order, buckets)}
+    return on_bucketed_spine(spine, *[getattr(flow, name)(events[stream], spine) for name, stream in FAMILIES.items()])
+
+
+ARROW_COLUMNS = ("sample_id", "seconds_before_predict", "price", "volume", "side", "order_action")
+
+
+@register(
+    "arrow_events",
+    query(
+        ["od"],
+        """SELECT sample_id, count(*) AS n, sum(volume) AS volume, sum(price) AS price, sum(side) AS sells, sum(act) AS cancels, max(t) AS first_seen, min(t) AS last_seen,
+        count(*) AS places, 0 AS out_of_order FROM od GROUP BY sample_id""",
+    ),
+)
+def arrow_events(spark, path):
+    """Orders written as Arrow files of one record batch each in file order of their samples, read back by ranges of rows."""
+    orders = streams(spark, path).order.repartitionByRange(3, "sample_id").sortWithinPartitions("sample_id", F.desc("seconds_before_predict"), "event_seq")
+    files = sinks.write_arrow(orders.select(*ARROW_COLUMNS), f"{checkpoint_root(spark).rstrip('/')}/arrow-{uuid.uuid4().hex}")
+    schema = T.StructType([T.StructField(n, T.DoubleType() if n in ("seconds_before_predict", "price") else T.LongType()) for n in ARROW_COLUMNS])
+    back = ingest.convert_arrow_files(spark, files, schema, rows_per_slice=1_000_000)
+    t = F.col("seconds_before_predict")
+    out = back.groupBy("sample_id").agg(
+        F.count("*").alias("n"), F.sum("volume").alias("volume"), F.sum("price").alias("price"), F.sum("side").alias("sells"), F.sum("order_action").alias("cancels"),
+        F.max(t).alias("first_seen"), F.min(t).alias("last_seen"), (F.max(SEQ) - F.min(SEQ) + 1).alias("places"),
+        (F.max_by(t, F.col(SEQ)) - F.min(t) + F.max(t) - F.min_by(t, F.col(SEQ))).alias("out_of_order"),
+    )
+    return present(out)
+
+
 @register("distinct_rows", query(["mk"], "SELECT DISTINCT sample_id, tc, bv1 FROM mk"))
 def distinct_rows(spark, path):
     m = streams(spark, path).market

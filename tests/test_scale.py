@@ -148,3 +148,37 @@ def test_bucketed_windows_need_no_exchange(spark):
 
     plan = bucketed_gaps(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" in plan
+
+
+def test_bucketed_families_join_without_exchange(spark):
+    from bookflow.plans.platform import joined_families
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = joined_families(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") >= 3
+
+
+def test_quantiles_of_small_and_large_keys_agree(spark):
+    """Keys above and below the slice limit in one table, with ties and nulls, against numpy."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from bookflow.operators.quantile import quantiles_of
+
+    rng = np.random.default_rng(3)
+    rows = [(int(k), i, float(x) if x > -1.5 else None) for i, (k, x) in enumerate(zip(np.minimum(rng.geometric(0.3, 3000), 9), np.round(rng.normal(size=3000), 1)))]
+    df = spark.createDataFrame(rows, "sample_id int, event_seq long, x double")
+    values = {"lo": (F.col("x"), 0.1), "mid": (F.col("x"), 0.5), "double": (2 * F.col("x"), 0.9)}
+    spark.conf.set("bookflow.rowsPerSlice", "200")
+    try:
+        got = {r.sample_id: (r.lo, r.mid, r.double) for r in quantiles_of(df, values, ("sample_id",)).collect()}
+    finally:
+        spark.conf.unset("bookflow.rowsPerSlice")
+    for k in {r[0] for r in rows}:
+        x = np.array([v for s, _, v in rows if s == k and v is not None])
+        assert np.allclose(got[k], (np.quantile(x, 0.1), np.quantile(x, 0.5), 2 * np.quantile(x, 0.9)))
