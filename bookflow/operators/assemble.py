@@ -18,7 +18,8 @@ def derive(df, cols, keys=(KEY,)):
 def on_spine(spine, *tables, fill=None):
     """Left join of per-sample tables to the id spine; missing samples get `fill` if given."""
     out = reduce(lambda a, b: a.join(b, KEY, "left"), tables, spine)
-    return out if fill is None else out.na.fill(fill)
+    # the key stays as it is, so the next join by it needs no further exchange
+    return out if fill is None else out.na.fill(fill, [n for n in out.columns if n != KEY])
 
 
 def on_bucketed_spine(spine, *tables, fill=None):
