@@ -18,9 +18,10 @@ Defined results: null and empty texts have no words; a null language is `und`; r
 gives an empty one. Scores are exact decimals.
 """
 
+import struct
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -32,9 +33,9 @@ UNKNOWN = "und"
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Pairs, before equal ones are joined, that a shard gets on average.
-SHARD_PAIRS = 2_000_000
+SHARD_PAIRS = 1_000_000
 
 #: Bytes that end a piece of text. The byte 0xFF, which no UTF-8 text has, stands for them.
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -81,7 +82,8 @@ class _Block:
             ["lang", "word", "count"],
         )
         entries = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), entry)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_tight(rank[numbers]).astype("<i8").tobytes()], pa.binary()), entries], ["block", "numbers", "entries"])
+        numbers = _tight(rank[numbers])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_stored(numbers)], pa.binary()), pa.array([len(numbers)], pa.int64()), entries], ["block", "numbers", "n", "entries"])
 
 
 def _tight(numbers):
@@ -106,8 +108,21 @@ def _blocks(limit):
     return run
 
 
-def _read(raw):
-    return np.frombuffer(raw, "<i8")
+def _stored(numbers):
+    """Numbers packed by zstd, in four bytes each if all fit, else in eight; the head tells the size of one and of all."""
+    size = 4 if numbers.max(initial=0) < 1 << 31 else 8
+    raw = numbers.astype(f"<i{size}").tobytes()
+    return struct.pack("<Bq", size, len(raw)) + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _numbers(raw):
+    size, whole = struct.unpack_from("<Bq", raw)
+    return np.frombuffer(pa.decompress(raw[9:], whole, "zstd", asbytes=True), f"<i{size}").astype(np.int64)
+
+
+def _block(block, numbers):
+    numbers = _tight(numbers)
+    return pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([_stored(numbers)], pa.binary()), pa.array([len(numbers)], pa.int64())], ["block", "numbers", "n"])
 
 
 def _pairs(numbers):
@@ -119,8 +134,8 @@ def _pairs(numbers):
 def _filters(width, shard_bits):
     def run(batches):
         for batch in batches:
-            for block, raw in zip(batch.column("block").to_pylist(), batch.column("numbers").to_pylist()):
-                _, a, b = _pairs(_read(raw))
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("numbers")):
+                _, a, b = _pairs(_numbers(raw.as_py()))
                 if not len(a):
                     continue
                 left, right, count = qf.sorted_counts(*qf.permute(a, b, width), np.ones(len(a), np.int64), width)
@@ -134,7 +149,11 @@ def _filters(width, shard_bits):
 
 
 def _merged(width, shard_bits, least):
-    """Merge the filters of a shard. Rows: block -1 with the frequent pairs and their counts, then each block's share of them."""
+    """Merge the filters of a shard.
+
+    Rows: block -1 with the frequent pairs and their counts; then for each block the places in its own filter (left) whose pairs
+    are frequent, and their places among the frequent ones (value).
+    """
 
     def run(key, table):
         shard = key[0].as_py()
@@ -142,77 +161,68 @@ def _merged(width, shard_bits, least):
         left, right, count = qf.sorted_counts(*(np.concatenate(x) for x in zip(*parts)), width)
         some = count >= least
         left, right, count = left[some], right[some], count[some]
-        blocks, lefts, rights, values = [-1], [left], [right], [count]
+        rows = [(-1, _stored(left.astype(np.int64)), _stored(right.astype(np.int64)), _stored(count))] if len(left) else []
         for block, (a, b, _) in zip(table.column("block").to_pylist(), parts):
             own, at = _place(a, b, left, right, width)
             if len(own):
-                blocks.append(block)
-                lefts.append(a[own])
-                rights.append(b[own])
-                values.append(at)
-        raw = lambda xs: pa.array([np.asarray(x).astype("<i8").tobytes() for x in xs], pa.binary())
-        n = len(blocks) if len(left) else 0
-        columns = [pa.array([shard] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), raw(lefts), raw(rights), raw(values), pa.array([len(left)] * len(blocks), pa.int64())]
-        return pa.Table.from_arrays([c.slice(0, n) for c in columns], ["shard", "block", "left", "right", "value", "kept"])
+                rows.append((block, _stored(np.diff(own, prepend=0)), b"", _stored(np.diff(at, prepend=0))))
+        blocks, lefts, rights, values = zip(*rows) if rows else ((),) * 4
+        columns = [pa.array([shard] * len(rows), pa.int32()), pa.array(blocks, pa.int64()), *(pa.array(x, pa.binary()) for x in (lefts, rights, values)), pa.array([len(left)] * len(rows), pa.int64())]
+        return pa.Table.from_arrays(columns, ["shard", "block", "left", "right", "value", "kept"])
 
     return run
 
 
 def _place(a, b, left, right, width):
-    """(which of the sorted pairs a, b are among the sorted pairs left, right; where there)."""
+    """(which of the sorted pairs a, b are among the sorted pairs left, right; where there), both rising."""
     if not len(left) or not len(a):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if width <= 32:
         x, y = (a << np.uint64(width)) | b, (left << np.uint64(width)) | right
     else:
-        order = np.lexsort((np.r_[b, right], np.r_[a, left]))
-        u, v = np.r_[a, left][order], np.r_[b, right][order]
+        order, first = qf.ordered(np.r_[a, left], np.r_[b, right], width)
         code = np.empty(len(order), np.int64)
-        code[order] = np.cumsum(np.r_[0, (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
+        code[order] = np.cumsum(first)
         x, y = code[: len(a)], code[len(a) :]
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     own = np.flatnonzero(y[at] == x)
     return own, at[own]
 
 
-def _renumbered(width, stride):
+def _renumbered(width, shard_bits, stride):
     """A block's numbers of the n-grams that begin at each place; n-grams that are not frequent are breaks."""
 
     def run(batches):
         for batch in batches:
-            made = []
-            for raw, found in zip(batch.column("numbers").to_pylist(), batch.column("found").to_pylist()):
-                numbers = _read(raw)
+            for block, raw, found in zip(*(batch.column(c) for c in ("block", "numbers", "found"))):
+                numbers = _numbers(raw.as_py())
                 at, a, b = _pairs(numbers)
-                part = [(_read(f["left"]).astype(np.uint64), _read(f["right"]).astype(np.uint64), _read(f["value"]) + f["shard"] * stride) for f in found]
-                left, right, value = (np.concatenate(x) for x in zip(*part))
-                order = np.lexsort((right, left))
-                left, right, value = left[order], right[order], value[order]
-                x, y = qf.permute(a, b, width)
-                sort = np.lexsort((y, x))
-                own, where = _place(x[sort], y[sort], left, right, width)
+                left, right = qf.permute(a, b, width)
+                order, first = qf.ordered(left, right, width)
+                shard = (left[order[first]] >> np.uint64(width - shard_bits)).astype(np.int64)
+                begin = np.searchsorted(shard, np.arange(1 << shard_bits))
+                name = np.full(len(shard), -1, np.int64)
+                for f in found.as_py():
+                    own, value = np.cumsum(_numbers(f["left"])), np.cumsum(_numbers(f["value"]))
+                    name[begin[f["shard"]] + own] = value + f["shard"] * stride
                 out = np.full(len(numbers), -1, np.int64)
-                out[at[sort][own]] = value[where]
-                made.append(_tight(out).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(made, pa.binary())], ["block", "numbers"])
+                out[at[order]] = name[np.cumsum(first) - 1]
+                yield _block(block, out)
 
     return run
 
 
-def _named(stride):
+def _named():
     """Numbers of words instead of their places in the block's dictionary."""
 
     def run(batches):
         for batch in batches:
-            made = []
-            for raw, found in zip(batch.column("numbers").to_pylist(), batch.column("found")):
-                local, part, row = (pc.struct_field(found.values, f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("local", "part", "row"))
-                numbers = _read(raw)
-                name = np.full(max(int(numbers.max(initial=-1)), int(local.max(initial=-1))) + 2, -1, np.int64)
-                name[local] = part * stride + row
+            for block, raw, place, number in zip(*(batch.column(c) for c in ("block", "numbers", "places", "names"))):
+                numbers, place = _numbers(raw.as_py()), place.values.to_numpy().astype(np.int64)
+                name = np.full(max(int(numbers.max(initial=-1)), int(place.max(initial=-1))) + 2, -1, np.int64)
+                name[place] = number.values.to_numpy()
                 name[-1] = -1
-                made.append(_tight(name[numbers]).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(made, pa.binary())], ["block", "numbers"])
+                yield _block(block, name[numbers])
 
     return run
 
@@ -223,7 +233,7 @@ def _entries(width, stride):
     def run(batches):
         for batch in batches:
             for shard, *raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "left", "right", "value"))):
-                left, right, count = map(_read, raw)
+                left, right, count = map(_numbers, raw)
                 a, b = qf.restore(left, right, width)
                 number = np.arange(len(count), dtype=np.int64) + shard * stride
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (number, count, a, b)], ["number", "a", "left", "right"])
@@ -234,7 +244,7 @@ def _entries(width, stride):
 def blocks(docs, block_bytes=BLOCK_BYTES):
     """docs(text, lang) -> block, numbers (of its words, -1 between pieces), entries (lang, word, count: its dictionary)."""
     rows = docs.select(F.coalesce(F.col("lang"), F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return held(rows.mapInArrow(_blocks(block_bytes), "block long, numbers binary, entries array<struct<lang:string,word:binary,count:bigint>>"), "blocks")
+    return held(rows.mapInArrow(_blocks(block_bytes), "block long, numbers binary, n long, entries array<struct<lang:string,word:binary,count:bigint>>"), "blocks")
 
 
 def frequent_phrases(docs, least=LEAST, longest=LONGEST, block_bytes=BLOCK_BYTES, shard_pairs=SHARD_PAIRS):
@@ -255,13 +265,14 @@ def frequent_phrases(docs, least=LEAST, longest=LONGEST, block_bytes=BLOCK_BYTES
     number = F.col("part") * stride + F.col("row")
     single = F.array("a")
     tables = [held(vocabulary.select(number.alias("number"), "lang", "a", F.array(F.col("word").cast("string")).alias("words"), single.alias("firsts"), single.alias("lasts")), "phrases1")]
-    back = words.join(vocabulary, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("local", "part", "row")).alias("found"))
-    text = held(cut.select("block", "numbers").join(back, "block").mapInArrow(_named(stride), "block long, numbers binary"), "numbers1")
+    named = vocabulary.select("lang", "word", number.alias("number"))
+    back = words.drop("count").join(named.hint("merge"), ["lang", "word"]).groupBy("block").agg(F.collect_list("local").alias("places"), F.collect_list("number").alias("names"))
+    text = held(cut.select("block", "numbers").join(back.hint("merge"), "block").mapInArrow(_named(), "block long, numbers binary, n long"), "numbers1")
     top = (high + 1) * stride - 1
     for n in range(2, longest + 1):
         width = max(1, int(top).bit_length())
-        places = text.agg(F.sum(F.octet_length("numbers"))).first()[0] or 0
-        shard_bits = min(width, max(0, (places // 8 // shard_pairs).bit_length()))
+        places = text.agg(F.sum("n")).first()[0] or 0
+        shard_bits = min(width, (places // shard_pairs).bit_length())
         filters = text.mapInArrow(_filters(width, shard_bits), "shard int, block long, filter binary")
         merged = filters.groupBy("shard").applyInArrow(_merged(width, shard_bits, least), "shard int, block long, left binary, right binary, value binary, kept long")
         merged = held(merged, f"merged{n}")
@@ -277,8 +288,8 @@ def frequent_phrases(docs, least=LEAST, longest=LONGEST, block_bytes=BLOCK_BYTES
         longer = longer.select("number", "lang", "a", F.concat("head", "tail").alias("words"), grown(F.col("heads")).alias("firsts"), grown(F.col("tails")).alias("lasts"), "left", "right")
         tables.append(held(longer, f"phrases{n}"))
         if n < longest:
-            back = merged.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "left", "right", "value")).alias("found"))
-            text = held(text.join(back, "block").mapInArrow(_renumbered(width, stride), "block long, numbers binary"), f"numbers{n}")
+            back = merged.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "left", "value")).alias("found"))
+            text = held(text.select("block", "numbers").join(back.hint("merge"), "block").mapInArrow(_renumbered(width, shard_bits, stride), "block long, numbers binary, n long"), f"numbers{n}")
             top = (1 << shard_bits) * stride - 1
     return tables, total
 

@@ -39,21 +39,27 @@ def restore(left, right, width):
     return left, right
 
 
-def sorted_counts(left, right, count, width):
-    """(left, right, count) sorted by (left, right), equal pairs added up; widths over 32 bits are sorted by both halves."""
+def ordered(left, right, width):
+    """(order that sorts the pairs, whether each place of it begins a new pair); widths over 32 bits are sorted by both halves."""
     if not len(left):
-        return left, right, count
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     if width <= 32:
         x = (left << _U(width)) | right
         order = np.argsort(x, kind="stable")  # sorted runs are merged
         x = x[order]
-        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        x = x[first]
-        return x >> _U(width), x & _mask(width), np.add.reduceat(count[order], first)
+        return order, np.r_[True, x[1:] != x[:-1]]
     order = np.lexsort((right, left))
     left, right = left[order], right[order]
-    first = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
-    return left[first], right[first], np.add.reduceat(count[order], first)
+    return order, np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])]
+
+
+def sorted_counts(left, right, count, width):
+    """(left, right, count) sorted by (left, right), equal pairs added up."""
+    if not len(left):
+        return left, right, count
+    order, first = ordered(left, right, width)
+    at = np.flatnonzero(first)
+    return left[order[at]], right[order[at]], np.add.reduceat(count[order], at)
 
 
 def _packed(x, size):
