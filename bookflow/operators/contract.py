@@ -3,11 +3,13 @@
 Every check is one aggregation that counts violations, so a check never moves rows.
 """
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as X
 from ..schema import KEY, SEQ, TIME
+from .quantile import exact_quantiles
 from .timeline import Timeline
 
 c = F.col
@@ -23,13 +25,27 @@ def contract_counts(df, span, codes=("side",), may_miss=()):
 
     may_miss names columns whose missing value means "no data"; they are counted apart.
     """
+    return df.agg(*_rules(df, span, codes, may_miss))
+
+
+def observed(df, span, codes=("side",), may_miss=()):
+    """(the same rows, Observation): the counts of `contract_counts` are taken by the action that reads the rows, not by a scan of their own."""
+    seen = Observation()
+    return df.observe(seen, *_rules(df, span, codes, may_miss)), seen
+
+
+def broken(counts):
+    """The rules that a dict of counts breaks, with their counts."""
+    return {n: k for n, k in counts.items() if k and (n.startswith(("bad_", "code_")) or n == "outside_span")}
+
+
+def _rules(df, span, codes, may_miss):
     numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in (KEY, SEQ)]
     t = c(TIME).cast("double")
     aggs = [F.count(F.lit(1)).alias("rows"), F.count_if(c(KEY).isNull() | (c(KEY) < 0)).alias("bad_id")]
     aggs += [F.count_if(_bad_number(n)).alias(("nodata_" if n in may_miss else "bad_") + n) for n in numeric]
     aggs += [F.count_if((t < 0) | (t > span)).alias("outside_span")]
-    aggs += [F.count_if(~c(n).isin(0, 1)).alias(f"code_{n}") for n in codes if n in df.columns]
-    return df.agg(*aggs)
+    return aggs + [F.count_if(~c(n).isin(0, 1)).alias(f"code_{n}") for n in codes if n in df.columns]
 
 
 def checked(df, span, codes=("side",), may_miss=()):
@@ -90,12 +106,38 @@ def stream_profile(df, code_columns=()):
         F.min("lo").alias("time_min"),
         F.max("hi").alias("time_max"),
     )
+    out = out.crossJoin(exact_quantiles(per, c("n"), {"rows_q25": 0.25, "rows_median": 0.5, "rows_q75": 0.75}))  # one row each
     if not code_columns:
         return out
     # counted by value, so no task holds the values of a column that turns out not to be a code
     return out.crossJoin(df.agg(*[F.countDistinct(n).alias(f"values_{n}") for n in code_columns]))  # one row each
 
 
+def probe(df, keys=(KEY,), lg_k=12, k=200):
+    """One row per stream that can be kept and merged with others: rows, types, and sketches of distinct keys and of numeric columns."""
+    numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in keys]
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.lit(",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema)).alias("types"),
+        F.hll_sketch_agg(F.hash(*keys) if len(keys) > 1 else c(keys[0]).cast("long"), F.lit(lg_k)).alias("keys"),
+        *[F.kll_sketch_agg_double(c(n).cast("double"), F.lit(k)).alias(f"sketch_{n}") for n in numeric],
+    )
+
+
+def merged_probes(probes):
+    """One probe of several of the same types; other types are an error."""
+    sketches = [n for n in probes.columns if n.startswith("sketch_")]
+    one = F.when(F.count_distinct("types") <= 1, F.min("types")).otherwise(F.raise_error(F.lit("streams differ in their types")))
+    return probes.agg(F.sum("rows").alias("rows"), one.alias("types"), F.hll_union_agg("keys").alias("keys"), *[F.kll_merge_agg_double(n).alias(n) for n in sketches])
+
+
+def probed(probe, probs=(0.25, 0.5, 0.75)):
+    """Figures of a probe: rows, types, distinct keys (1.6 % standard error), quantiles (about 1.3 % of the ranks off) as arrays by column."""
+    at = F.array(*[F.lit(float(p)) for p in probs])
+    quantiles = [F.kll_sketch_get_quantile_double(n, at).alias(n.removeprefix("sketch_")) for n in probe.columns if n.startswith("sketch_")]
+    return probe.select("rows", "types", F.hll_sketch_estimate("keys").alias("keys"), *quantiles)
+
+
 def order_audit(df):
     """One row: rows whose countdown rises against the previous row by `event_seq`, and the samples
     they are in."""

@@ -7,11 +7,13 @@ month.
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..schema import KEY, MONTH
 from .joins import strict_align
+from .lineage import cut
 from .quantile import exact_quantiles
 
 c = F.col
@@ -246,24 +248,66 @@ def promotion_gates(paired, min_delta=0.0, min_positive_months=1):
     return out.withColumn("passed", c("gain") & c("months") & c("lomo"))
 
 
-MAX_CANDIDATES = 10_000
+#: Rows that are compared with each other in one task of a Pareto front.
+PARETO_BLOCK = 2_000
 
 
-def pareto(df, metrics, name="name", group="group", eps=1e-12):
+def _front(metrics):
+    """Rows of a part that no other row of it reaches in all metrics; equal rows stay."""
+
+    def run(part):
+        x = part[metrics].to_numpy(float)
+        order = np.argsort(-x.sum(1), kind="stable")  # only a row of a larger sum can be above another
+        best = np.empty((0, len(metrics)))
+        keep = []
+        for i in order:
+            above = (best >= x[i]).all(1) & (best > x[i]).any(1)
+            if not above.any():
+                keep.append(i)
+                best = np.vstack([best, x[i]])
+        return part.iloc[keep]
+
+    return run
+
+
+def _beaten(metrics, name, eps):
+    """Names of rows of the left part that a row of the right part dominates."""
+
+    def run(rows, front):
+        if not len(rows) or not len(front):
+            return rows[[name, "_g"]].iloc[:0]
+        lost = np.zeros(len(rows), bool)
+        x, own = rows[metrics].to_numpy(float), rows[name].to_numpy()
+        for y, other in zip(front[metrics].to_numpy(float), front[name].to_numpy()):
+            gap = y - x
+            lost |= (gap >= -eps).all(1) & (gap > eps).any(1) & (own != other)
+        return rows[[name, "_g"]][lost]
+
+    return run
+
+
+def pareto(df, metrics, name="name", group="group", eps=1e-12, block=PARETO_BLOCK):
     """Rows not dominated within their group on all metrics.
 
-    The input is a score table; a group of more than `MAX_CANDIDATES` rows is an error, as all its pairs are compared.
+    Fronts of parts of a group are taken first, twice; whatever row dominates another, one of the fronts does so too. Then blocks of rows
+    are compared with blocks of what is left of the fronts, so no task holds a group and no pairs are written. A missing metric dominates nothing.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    small = F.when(c("_n") > MAX_CANDIDATES, F.raise_error(F.lit("too many candidates in a group"))).otherwise(F.lit(True))
-    df = df.join(sizes.filter(small).drop("_n"), group)
-    other = df.select(group, c(name).alias("_o"), *[c(m).alias(f"_o_{m}") for m in metrics])
-    better = reduce(lambda a, b: a & b, [c(f"_o_{m}") - c(m) >= -eps for m in metrics])
-    strictly = reduce(lambda a, b: a | b, [c(f"_o_{m}") - c(m) > eps for m in metrics])
-    losers = (
-        df.join(other, group).filter((c("_o") != c(name)) & better & strictly).select(group, name).distinct()
-    )
-    marked = losers.withColumn("_lost", F.lit(True))
+    rows = df.select(F.col(group).alias("_g"), name, *[c(m).cast("double").alias(m) for m in metrics])
+    whole = rows.dropna(subset=list(metrics))
+    front, schema = whole, whole.schema
+    for _ in range(2):
+        parts = front.groupBy("_g").agg(F.ceil(F.count("*") / block).alias("_parts"))
+        dealt = front.join(parts, "_g").withColumn("_part", F.pmod(F.xxhash64(name, *metrics), F.col("_parts"))).drop("_parts")
+        front = cut(dealt.groupBy("_g", "_part").applyInPandas(lambda p: _front(metrics)(p.drop(columns="_part")), schema))
+    counts = front.groupBy("_g").agg(F.ceil(F.count("*") / block).alias("_fronts"))
+    counts = cut(whole.groupBy("_g").agg(F.ceil(F.count("*") / (10 * block)).alias("_rows")).join(counts, "_g"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64(name), F.col(n))
+    left = whole.join(counts, "_g").select("_g", name, *metrics, part("_rows").alias("_a"), every("_fronts").alias("_b"))
+    right = front.join(counts, "_g").select("_g", name, *metrics, part("_fronts").alias("_b"), every("_rows").alias("_a"))
+    key = ("_g", "_a", "_b")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_beaten(list(metrics), name, eps), whole.select(name, "_g").schema)
+    marked = found.distinct().withColumnRenamed("_g", group).withColumn("_lost", F.lit(True))
     return df.join(marked, [group, name], "left").withColumn("nondominated", c("_lost").isNull()).drop("_lost")
 
 

@@ -10,7 +10,7 @@ from ..functions import expr as X
 from ..functions import stats
 from ..operators import blend, book, contract, drift, flow, joins, models, quotes
 from ..operators.assemble import on_bucketed_spine, on_spine
-from ..operators.lineage import checkpoint_root
+from ..operators.lineage import checkpoint_root, cut
 from ..schema import SEQ
 from ..sources import ingest, sinks
 from ..sources.adapters import predictions, streams
@@ -51,6 +51,15 @@ _contract(
 )
 
 
+@register("observed_trades", entries()["contract_trades"][1])
+def observed_trades(spark, path):
+    """The counts of contract_trades, taken while the rows are written to the shared folder."""
+    trades = streams(spark, path).transaction
+    rows, seen = contract.observed(trades, 60)
+    cut(rows)
+    return one_row(spark.createDataFrame([tuple(seen.get.values())], [f"{n}" for n in seen.get]))
+
+
 @register(
     "level_profile",
     query(
@@ -70,7 +79,7 @@ def level_profile(spark, path):
     "stream_profile",
     query(
         ["od"],
-        """SELECT 0 AS k, count(*) AS samples, sum(n) AS rows, min(n) AS rows_min, max(n) AS rows_max, avg(n) AS rows_mean, min(lo) AS time_min,
+        """SELECT 0 AS k, count(*) AS samples, sum(n) AS rows, min(n) AS rows_min, max(n) AS rows_max, avg(n) AS rows_mean, quantile_cont(n, 0.25) AS rows_q25, median(n) AS rows_median, quantile_cont(n, 0.75) AS rows_q75, min(lo) AS time_min,
         max(hi) AS time_max, (SELECT count(DISTINCT side) FROM od) AS values_side, (SELECT count(DISTINCT act) FROM od) AS values_order_action
         FROM (SELECT sample_id, count(*) AS n, min(t) AS lo, max(t) AS hi FROM od GROUP BY sample_id)""",
         keys=ONE,

@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import contract
 from ..schema import KEY, SEQ, TIME
 from .arrow_source import ROWS_PER_TASK, read_arrow
 
@@ -56,6 +57,20 @@ def convert_arrow_files(spark, files, schema, rows_per_slice=ROWS_PER_TASK):
     return read_arrow(spark, files, schema, rows_per_slice)
 
 
+def ingest_arrow(spark, files, schema, path, span, codes=("side",), may_miss=(), rows_per_slice=ROWS_PER_TASK):
+    """Arrow files as a Parquet table at `path`, checked by the pass that writes it; returns the counts of all rules.
+
+    A broken rule is an error, and the table is then left without its `contract` row, as an unfinished one.
+    """
+    rows, seen = contract.observed(read_arrow(spark, files, schema, rows_per_slice), span, codes, may_miss)
+    rows.write.mode("errorifexists").parquet(f"{path}/data")
+    counts = seen.get
+    if bad := contract.broken(counts):
+        raise ValueError(f"input contract broken: {bad}")
+    spark.createDataFrame([tuple(counts.values())], list(counts)).write.json(f"{path}/contract")
+    return counts
+
+
 def write_bucketed(df, table, buckets, key=KEY):
     """Table bucketed by sample and sorted in time, so per-sample windows and joins need no shuffle."""
     sort = [key, TIME, SEQ] if TIME in df.columns else [key]

@@ -127,3 +127,35 @@ def test_slices_may_not_overlap(spark):
     a = spark.createDataFrame([(0, 1.0)], "sample_id int, x double")
     with pytest.raises(Exception, match="overlap"):
         contract.union_disjoint([a, a]).collect()
+
+
+def test_ingest_counts_every_rule_in_one_pass(spark, tmp_path):
+    """Each broken rule fails; good rows are written and their counts equal a count of their own."""
+    n = 50
+    good = {"sample_id": [i // 5 for i in range(n)], "seconds_before_predict": [float(59 - i % 60) for i in range(n)], "price": [1.0 + i for i in range(n)],
+            "volume": list(range(n)), "side": [i % 2 for i in range(n)], "order_action": [0] * n}
+    kinds = [pa.int32(), pa.float32(), pa.float32(), pa.int32(), pa.int8(), pa.int8()]
+
+    def ingested(name, **broken):
+        columns = {k: [broken[k]] + v[1:] if k in broken else v for k, v in good.items()}
+        table, path = pa.record_batch([pa.array(v, t) for v, t in zip(columns.values(), kinds)], list(columns)), str(tmp_path / f"{name}.arrow")
+        with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, table.schema) as out:
+            out.write_batch(table)
+        return ingest.ingest_arrow(spark, [path], ORDER, str(tmp_path / name), 60, ("side", "order_action"), rows_per_slice=13)
+
+    counts = ingested("good")
+    assert counts == contract.contract_counts(spark.read.parquet(str(tmp_path / "good/data")), 60, ("side", "order_action")).first().asDict()
+    assert counts["rows"] == n and not contract.broken(counts)
+    for k, (rule, broken) in enumerate({"bad_id": {"sample_id": -1}, "outside_span": {"seconds_before_predict": 61.0}, "bad_price": {"price": float("nan")}, "bad_volume": {"volume": None}, "code_side": {"side": 2}, "code_order_action": {"order_action": 3}}.items()):
+        with pytest.raises(ValueError, match=f"{rule}': 1"):
+            ingested(f"bad{k}", **broken)
+
+
+def test_probes_merge(spark):
+    df = spark.range(20000).select((F.col("id") % 5000).cast("int").alias("sample_id"), (F.col("id") * 0.5).alias("x"))
+    probes = contract.probe(df.where("sample_id < 2500")).unionByName(contract.probe(df.where("sample_id >= 2500")))
+    r = contract.probed(contract.merged_probes(probes)).first()
+    assert r.rows == 20000 and r.types == "sample_id:int,x:double" and abs(r.keys - 5000) < 250
+    assert all(abs(q - p * 10000) < 300 for q, p in zip(r.x, (0.25, 0.5, 0.75)))
+    with pytest.raises(Exception, match="differ in their types"):
+        contract.merged_probes(probes.union(contract.probe(df.withColumn("x", F.col("x").cast("float"))))).collect()

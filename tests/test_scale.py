@@ -182,3 +182,26 @@ def test_quantiles_of_small_and_large_keys_agree(spark):
     for k in {r[0] for r in rows}:
         x = np.array([v for s, _, v in rows if s == k and v is not None])
         assert np.allclose(got[k], (np.quantile(x, 0.1), np.quantile(x, 0.5), 2 * np.quantile(x, 0.9)))
+
+
+def test_pareto_front_in_blocks(spark):
+    """Fronts of many blocks, ties and null metrics, equal the comparison of all pairs; a million rows in one group are no error."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from bookflow.operators.evaluate import pareto
+
+    rng = np.random.default_rng(5)
+    rows = [(f"n{i}", int(g), *[float(v) for v in np.round(x, 1)]) for i, (g, x) in enumerate(zip(rng.integers(0, 3, 900), rng.normal(size=(900, 3))))]
+    rows += [("null", 0, None, 9.0, 9.0), ("twin", 1, *rows[1][2:])]
+    df = spark.createDataFrame(rows, "name string, group int, a double, b double, c double")
+    got = {r.name: r.nondominated for r in pareto(df, ["a", "b", "c"], block=40).collect()}
+
+    def beaten(r):
+        return None not in r[2:] and any(o[1] == r[1] and None not in o[2:] and all(y >= x for x, y in zip(r[2:], o[2:])) and o[2:] != r[2:] for o in rows)
+
+    assert got == {r[0]: not beaten(r) for r in rows}
+    wide = spark.range(1_000_000).select(F.col("id").alias("name"), F.lit(0).alias("group"), F.rand(1).alias("a"), F.rand(2).alias("b")).where("a + b < 1.9")
+    best = pareto(wide, ["a", "b"]).where("nondominated").select("a", "b").collect()
+    top = sorted(((r.a, r.b) for r in best), reverse=True)
+    assert top and all(x[1] < y[1] for x, y in zip(top, top[1:]))
