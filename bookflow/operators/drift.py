@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import null_if_nan
 from ..functions.stats import correlation
 from ..schema import KEY
+from .linear import added, column_means
 from .preprocess import equal_positions
 from .quantile import exact_quantiles
 from .timeline import Timeline
@@ -160,17 +161,14 @@ def _pair_sums(names, centre):
 def pair_moments(df, names):
     """(i, j, n, corr) of every ordered pair of columns in one pass; missing values are left out pairwise.
 
-    A task holds six matrices of columns by columns and gives one row per column; blocks of them are added by column. Values
+    A task holds six matrices of columns by columns and gives one row per column, which are added as vectors (`added`). Values
     are taken from their column means first, so that products keep their digits. `corr` is null when a side is constant.
     """
     names, k = list(names), len(names)
     x = df.select(*[null_if_nan(c(n).cast("double")).alias(f"x{i}") for i, n in enumerate(names)])
-    centre = F.array(*[F.coalesce(F.avg(f"x{i}"), F.lit(0.0)) for i in range(k)])
-    centre = np.array(x.agg(centre.alias("m")).first().m)  # one number per column
-    sums = x.mapInPandas(_pair_sums(names, centre), "i int, sums array<double>")
-    cells = sums.select("i", F.posexplode("sums").alias("cell", "v")).groupBy("i", "cell").agg(F.sum("v").alias("v"))
-    at = lambda part: F.max(F.when((c("cell") / k).cast("int") == part, c("v")))
-    pairs = cells.groupBy("i", (c("cell") % k).alias("j")).agg(*[at(p).alias(f"s{p}") for p in range(6)])
+    centre = column_means(x)
+    parts = F.arrays_zip(*[F.slice("sums", p * k + 1, k).alias(f"s{p}") for p in range(6)])
+    pairs = added(x, _pair_sums(names, centre)).select("i", F.posexplode(parts).alias("j", "_s")).select("i", "j", "_s.*")
     n, sx, sy, sxx, syy, sxy = (c(f"s{p}") for p in range(6))
     vx, vy = sxx - sx * sx / n, syy - sy * sy / n
     flat = (vx <= 1e-12 * sxx) | (vy <= 1e-12 * syy)

@@ -199,15 +199,18 @@ def postprocess_ablation(df, pred, bounds, nodata, without=66):
     return scores.crossJoin(F.broadcast(changed))  # one row
 
 
-def recency_ensemble(long, folds, half_life):
-    """Equal mean and recency-weighted mean over folds and seeds.
+def recency_ensemble(long, folds, half_life, by=(), incomplete="raise"):
+    """Equal mean and recency-weighted mean over folds and seeds, for each sample and value of the columns `by` (arms).
 
-    long: sample_id, fold, seed, pred; folds: fold, train_end (a few rows). A fold weighs
+    long: sample_id, *by, fold, seed, pred; folds: fold, train_end (a few rows). A fold weighs
     2 ** ((train_end - latest) / half_life), normalised; seeds of a fold share its weight.
-    Every sample needs every fold and seed.
+    Every sample needs every fold and seed that the table knows. A sample which lacks some is an error, or with
+    incomplete="report" a row without means; `models` and `complete` tell such rows from the others.
     """
     if not half_life > 0:
         raise ValueError("half-life must be positive")
+    if incomplete not in ("raise", "report"):
+        raise ValueError("incomplete must be raise or report")
     latest = folds.agg(F.max("train_end").alias("latest"))
     w = folds.crossJoin(latest).withColumn("w", F.pow(F.lit(2.0), (c("train_end") - c("latest")) / float(half_life)))
     total = w.agg(F.sum("w").alias("tw"))
@@ -218,7 +221,7 @@ def recency_ensemble(long, folds, half_life):
     t = (
         long.join(F.broadcast(w), "fold")  # one row per fold
         .crossJoin(F.broadcast(shape))
-        .groupBy(KEY)
+        .groupBy(KEY, *by)
         .agg(
             F.avg(finite(c("pred"))).alias("base"),
             F.sum(c("pred") * c("w") / c("ns")).alias("recency"),
@@ -226,8 +229,12 @@ def recency_ensemble(long, folds, half_life):
             F.max(c("nf") * c("ns")).alias("need"),
         )
     )
-    whole = F.when(c("k") != c("need"), F.raise_error(F.lit("incomplete fold and seed coverage")))
-    return t.select(KEY, "base", whole.otherwise(c("recency")).alias("recency"))
+    whole = c("k") == c("need")
+    if incomplete == "report":
+        means = [F.when(whole, c(n)).alias(n) for n in ("base", "recency")]
+        return t.select(KEY, *by, *means, c("k").alias("models"), whole.cast("int").alias("complete"))
+    gap = F.when(~whole, F.raise_error(F.lit("incomplete fold and seed coverage")))
+    return t.select(KEY, *by, "base", gap.otherwise(c("recency")).alias("recency"))
 
 
 def promotion_gates(paired, min_delta=0.0, min_positive_months=1):

@@ -244,7 +244,9 @@ def postprocess_ablation(spark, path):
     "recency_ensemble",
     query(
         ["pr"],
-        "SELECT sample_id, avg(pred) AS base, sum(pred * w / 2) AS recency FROM lp JOIN w USING (fold) WHERE arm = 'a' GROUP BY sample_id",
+        "SELECT sample_id, arm, CASE WHEN count(*) = 10 THEN avg(pred) END AS base, CASE WHEN count(*) = 10 THEN sum(pred * w / 2) END AS recency, "
+        "count(*) AS models, (count(*) = 10)::INT AS complete FROM lp JOIN w USING (fold) GROUP BY sample_id, arm",
+        keys=("sample_id", "arm"),
         steps=[
             LONG,
             """w AS (SELECT fold, pow(2, (e - 62) / 20.0::DOUBLE) / sum(pow(2, (e - 62) / 20.0::DOUBLE)) OVER () AS w FROM
@@ -253,9 +255,9 @@ def postprocess_ablation(spark, path):
     ),
 )
 def recency_ensemble(spark, path):
-    long = long_predictions(spark, path).filter("arm = 'a'")
     folds = spark.createDataFrame([(i, f[0]) for i, f in enumerate(ev.FOLDS)], "fold int, train_end int")
-    return present(ev.recency_ensemble(long, folds, 20))
+    out = ev.recency_ensemble(long_predictions(spark, path), folds, 20, by=("arm",), incomplete="report")
+    return present(out, ("sample_id", "arm"))
 
 
 def _month_scores(spark, path):

@@ -367,14 +367,24 @@ def aggregate_forms(spark, path):
     "pack_manifest",
     query(
         ["tx", "spine"],
-        "SELECT 0 AS k, count(*) AS rows, count(DISTINCT sample_id) AS ids, 18 AS columns, 0 AS bad_values FROM spine",
+        "SELECT 0 AS k, count(*) AS rows, count(DISTINCT sample_id) AS ids, 18 AS columns, 0 AS bad_values, 1 AS matches, (count(*) = 0)::INT AS change_unseen FROM spine",
         keys=ONE,
     ),
 )
 def pack_manifest(spark, path):
     s = streams(spark, path)
     pack = on_spine(s.spine, flow.trade_summary(s.transaction), fill=0.0)
-    return one_row(contract.manifest(pack).drop("fingerprint"))
+    folder = f"{checkpoint_root(spark).rstrip('/')}/pack-{uuid.uuid4().hex}"
+    kept = sinks.write_pack(pack, folder)
+    read = sinks.read_pack(spark, folder, verify=False)
+    # the kept fingerprint against the one of the rows in another order, and of a pack with one number changed
+    now = contract.manifest(read.repartition(7, F.hash("sample_id")))
+    last = read.agg(F.max("sample_id").alias("_last"))  # one row
+    other = read.crossJoin(F.broadcast(last)).withColumn("tx_n", F.col("tx_n") + (F.col("sample_id") == F.col("_last")).cast("double")).drop("_last")
+    other = contract.manifest(other).select(F.col("fingerprint").alias("changed"))
+    same = lambda n: F.col(n).eqNullSafe(F.lit(kept.fingerprint).cast("long")).cast("int")
+    out = now.crossJoin(F.broadcast(other)).withColumns({"matches": same("fingerprint"), "change_unseen": same("changed")})
+    return one_row(out.drop("fingerprint", "changed"))
 
 
 PREPARED = ("tx_n", "tx_vol", "tx_imb", "mk_nbars", "mk_imb1_mean", "ofi1", "ofi2")
@@ -459,6 +469,15 @@ def stream_complete_samples(spark, path):
     return present(out.withColumns(micros), ("user_id", "start", "last_ts"))
 
 
+@register(
+    "stream_complete_keys",
+    "SELECT l_orderkey, count(*)::DOUBLE AS lines, round(sum(l_quantity) + 1.23e-10, 6) + 0.0 AS quantity, epoch_us(max(l_shipdate)) AS last_ship FROM lineitem GROUP BY l_orderkey",
+)
+def stream_complete_keys(spark, path):
+    sums = [F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"), F.max(F.expr(stream.micros("l_shipdate"))).alias("last_ship")]
+    return present(stream.stored_keys(spark, path, "lineitem", "l_orderkey", sums), ("l_orderkey", "last_ship"))
+
+
 # models ------------------------------------------------------------------------------------------
 
 MODEL_FEATURES = ["pred_a", "pred_b", "gap", "holey"]

@@ -139,6 +139,10 @@ def test_recency_needs_every_model(spark):
     assert r.base == 2 and r.recency > 2
     with pytest.raises(Exception, match="incomplete"):
         evaluate.recency_ensemble(long.filter("NOT (fold = 1 AND seed = 2)"), folds, 20).collect()
+    arms = long.withColumn("arm", F.lit("a")).unionByName(long.filter("NOT (fold = 1 AND seed = 2)").withColumn("arm", F.lit("b")))
+    got = {x.arm: x for x in evaluate.recency_ensemble(arms, folds, 20, by=("arm",), incomplete="report").collect()}
+    assert (got["a"].recency, got["a"].complete, got["a"].models) == (r.recency, 1, 10)
+    assert (got["b"].base, got["b"].recency, got["b"].complete, got["b"].models) == (None, None, 0, 9)
 
 
 def test_partial_overlap_is_refused(spark):

@@ -121,14 +121,16 @@ def test_streams_end_completely_and_count_late_rows(spark, tmp_path):
     assert done.agg(F.sum("events")).first()[0] + late == 7
 
 
-@pytest.mark.parametrize("name", ["stream_look_back", "stream_nested_windows", "stream_complete_samples"])
+@pytest.mark.parametrize("name", ["stream_look_back", "stream_nested_windows", "stream_complete_samples", "stream_complete_keys"])
 def test_streams_read_files_in_any_order(spark, tmp_path, name):
     """Files that each hold rows of the whole time span, against the check SQL on the one file they are from."""
     from bookflow.plans import registry
     from tests.oracle import canon, run_sql
 
     whole = "/root/testdata/sf0.001"
-    spark.read.parquet(f"{whole}/events.parquet").repartition(4, F.hash("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    for table in ("events", "lineitem"):
+        rows = spark.read.parquet(f"{whole}/{table}.parquet")
+        rows.repartition(4, F.hash(*rows.columns)).write.parquet(f"{tmp_path}/{table}.parquet")
     run, sql = registry.entries()[name]
     out = run(spark, str(tmp_path))
     assert canon([tuple(r) for r in out.collect()], out.columns)[0] == run_sql(whole, sql)[0]
@@ -143,6 +145,51 @@ def test_stored_tables_without_late_rows_only(spark, tmp_path):
         stream.stored(spark, str(tmp_path), lambda s, delay: stream.look_back(s, ["user_id"], "6 hours"))
 
 
+def _files(spark, path, parts, schema):
+    for rows in parts:  # one after the other, so that their times of writing differ
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def _states(df):
+    """(rows given out, most rows in the state after a batch, late rows) of a stream that isn't closed."""
+    out = []
+    query = df.writeStream.outputMode("append").trigger(availableNow=True).foreachBatch(lambda batch, _: out.extend(batch.collect())).start()
+    query.awaitTermination()
+    states = [o for p in query.recentProgress for o in p["stateOperators"]]
+    return out, max(o["numRowsTotal"] for o in states), sum(o["numRowsDroppedByWatermark"] for o in states)
+
+
+def test_state_holds_open_keys_only(spark, tmp_path):
+    """Keys in order of files: all but those of the last files are given out, once, and a row of a finished key is counted."""
+    parts = [[(k, 1.0) for k in range(40 * f, 40 * f + 41) for _ in range(3)] for f in range(8)]  # a key spans two files
+    _files(spark, f"{tmp_path}/t.parquet", parts, "k long, value double")
+    assert stream.disorder(spark, str(tmp_path), "t", "k") == 0
+    sums = [F.count(F.lit(1)).alias("n")]
+    out, most, late = _states(stream.complete_keys(stream.event_stream(spark, str(tmp_path), "t"), "k", 0, sums))
+    want = {k: 6 if k % 40 == 0 and 0 < k < 320 else 3 for k in range(321)}
+    assert len({r.k for r in out}) == len(out) and all(want[r.k] == r.n for r in out)
+    assert {r.k for r in out} >= set(range(280)) and most <= 90 and late == 0
+    got = stream.stored_keys(spark, str(tmp_path), "t", "k", sums).collect()
+    assert {r.k: r.n for r in got} == want and len(got) == 321
+    _files(spark, f"{tmp_path}/t.parquet", [[(5, 1.0)]], "k long, value double")
+    assert stream.disorder(spark, str(tmp_path), "t", "k") == 315
+    assert _states(stream.complete_keys(stream.event_stream(spark, str(tmp_path), "t"), "k", 0, sums))[2] == 1
+    want[5] += 1
+    assert {r.k: r.n for r in stream.stored_keys(spark, str(tmp_path), "t", "k", sums).collect()} == want
+
+
+def test_state_holds_open_sessions_only(spark, tmp_path):
+    """Files in order of time need no delay, and the state holds the sessions of the last files."""
+    at = lambda minute: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+    parts = [[(u, at(600 * f + 10 * i + u % 7), 1.0) for u in range(20) for i in range(3)] for f in range(5)]
+    _files(spark, f"{tmp_path}/events.parquet", parts, "user_id int, ts timestamp_ntz, value double")
+    assert stream.disorder(spark, str(tmp_path), "events", stream.MICROS) == 0
+    out, most, late = _states(stream.complete_samples(stream.event_stream(spark, str(tmp_path)), "user_id", "2 hours", "1 second"))
+    assert len(out) >= 3 * 20 and most <= 60 and late == 0
+    done = stream.stored(spark, str(tmp_path), lambda s, delay: stream.complete_samples(s, "user_id", "2 hours", delay))
+    assert sorted(r.events for r in done.collect()) == [3] * 100
+
+
 def test_bucketed_windows_need_no_exchange(spark):
     from bookflow.plans.platform import bucketed_gaps
 
@@ -163,6 +210,26 @@ def test_bucketed_families_join_without_exchange(spark):
     assert "Exchange" not in plan and plan.count("SortMergeJoin") >= 3
 
 
+def test_wide_product_sums_do_not_grow_with_splits(spark):
+    """450 columns over 64 splits: what is shuffled is one vector per column and summing task."""
+    import pyspark.sql.functions as fn
+
+    wide = spark.range(0, 4000, 1, 64).select(*[((fn.col("id") * (7 + 2 * i)) % 1009).cast("double").alias(f"c{i}") for i in range(450)])
+    spark.conf.set("bookflow.sumTasks", "8")
+    try:
+        pairs = drift.pair_moments(wide, wide.columns)
+        got = {(r.i, r.j): (r.n, r["corr"]) for r in pairs.where("i < 3 OR j > 447").collect()}
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("bookflow.sumTasks")
+    assert "Coalesce 8" in plan
+    x = np.array([[(r * (7 + 2 * i)) % 1009 for i in range(450)] for r in range(4000)], float)
+    want = np.corrcoef(x.T)
+    assert len(got) == 3 * 450 + 2 * 447
+    for (i, j), (n, r) in got.items():
+        assert n == 4000 and abs(r - want[i, j]) < 1e-9
+
+
 def test_quantiles_of_small_and_large_keys_agree(spark):
     """Keys above and below the slice limit in one table, with ties and nulls, against numpy."""
     import numpy as np
