@@ -13,6 +13,7 @@ import hashlib
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from .common import arrow, held, steps, utf8_bytes
@@ -66,11 +67,11 @@ def token_counts(docs, path, cache=None):
     spark, version = docs.sparkSession, tokenizer_version(path)
     rows = docs.select("doc_id", content_digest(F.col("text")).alias("content"), utf8_bytes(F.col("text")).alias("n_bytes"))
     texts = docs.select(content_digest(F.col("text")).alias("content"), F.coalesce("text", F.lit("")).alias("text"))
-    known = None
-    if cache is not None and _exists(spark, cache):
-        known = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).select("content", "n_tokens").distinct()
-        texts = texts.join(known.select("content"), "content", "left_anti")
-    misses = texts.groupBy("content").agg(F.first("text").alias("text"))
+    misses = texts.groupBy("content").agg(F.first("text").alias("text"))  # copies are one text before the cache is asked
+    known = None if cache is None else _stored(spark, cache)
+    if known is not None:
+        known = known.where(F.col("tokenizer") == version).select("content", "n_tokens").distinct()
+        misses = misses.join(known.select("content"), "content", "left_anti")
     counted = misses.mapInArrow(_count(path), "content string, n_tokens long").select("content", F.lit(version).alias("tokenizer"), "n_tokens")
     if cache is None:
         counts = held(counted, "token_cache").select("content", "n_tokens")
@@ -80,7 +81,11 @@ def token_counts(docs, path, cache=None):
     return rows.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
-def _exists(spark, path):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+def _stored(spark, cache):
+    """The cache as a table; None where nothing is stored yet."""
+    try:
+        return spark.read.schema(CACHE).parquet(cache)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None

@@ -109,11 +109,11 @@ def test_token_cache_is_used_and_appended(spark, tmp_path):
     from pyspark.sql import functions as F
 
     path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
-    docs = spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, "d e"), (4, "a b c")], "doc_id long, text string")
     row = docs.where("doc_id = 1").select(content_digest(F.col("text")).alias("content"), F.lit(tokenizer_version(path)).alias("tokenizer"), F.lit(77).cast("long").alias("n_tokens"))
     row.write.parquet(cache)
     first = {r.doc_id: r.n_tokens for r in token_counts(docs, path, cache).collect()}
-    assert first == {1: 77, 2: 2}  # the stored count is believed, the other is made and kept
+    assert first == {1: 77, 2: 2, 3: 2, 4: 77}  # the stored count is believed, the other is made and kept
     assert spark.read.schema(CACHE).parquet(cache).count() == 2
     assert {r.doc_id: r.n_tokens for r in token_counts(docs, path, cache).collect()} == first
     assert spark.read.schema(CACHE).parquet(cache).count() == 2
