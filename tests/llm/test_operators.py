@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from bookflow.llm import queries
 from bookflow.llm.spot_signatures import ANCHORS
@@ -181,6 +182,54 @@ def test_line_dedup_is_reversible(spark):
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in index.apply(frame(rows)).collect()) == sorted(brute.deduped(rows))
 
 
+def test_lines_of_null_and_shared_ids(spark):
+    from bookflow.llm.line_dedup import LineIndex
+
+    rows = [(None if i % 2 else i // 3 * 3, f"a line of all documents\nthe line number {i % 7}\nown line {i} of its row\n{'x' * (i % 12)}") for i in range(240)]
+    frame = lambda rs: spark.createDataFrame(rs, "doc_id long, text string")
+    index = LineIndex(spark)
+    index.insert(frame(rows[:100]))
+    index.insert(frame(rows[100:]))
+    got = lambda rs: sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in index.apply(frame(rs)).collect()), key=repr)
+    assert got(rows) == sorted(brute.deduped([(*r, None, None, None) for r in rows]), key=repr)
+    index.delete(frame([(None, None), (0, None)]))
+    left = [r for r in rows if r[0]]
+    assert got(left) == sorted(brute.deduped([(*r, None, None, None) for r in left]), key=repr)
+
+
+def test_filters_decide_which_lines_are_looked_up(spark):
+    from bookflow.llm import line_dedup
+
+    frame = lambda rs: spark.createDataFrame(rs, "doc_id long, text string")
+    first = [(i, f"first line number {i}\nsecond line number {i}") for i in range(50)]
+    second = [(100 + i, f"first line number {i}\nanother line number {i}") for i in range(50)]
+
+    def dropped(blind):
+        index = line_dedup.LineIndex(spark)
+        index.insert(frame(first))
+        if blind:  # filters that know nothing: no key is looked up, so no line is dropped
+            index.filters = index.filters.withColumn("filter", F.lit(bytes(16)))
+        known = index.insert(frame(second)).where("known").count()
+        return known, index.candidates.count(), sum(r.n_dropped for r in index.apply(frame(first + second)).collect())
+
+    assert dropped(False) == (50, 50, 50)
+    assert dropped(True) == (0, 0, 0)
+
+
+def test_filter_shards_grow_before_a_batch_is_asked(spark, monkeypatch):
+    from bookflow.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 20)
+    frame = lambda rs: spark.createDataFrame(rs, "doc_id long, text string")
+    rows = [(i, f"line number {i} of many\nline number {i // 2} of pairs") for i in range(300)]
+    index = line_dedup.LineIndex(spark)
+    for part in (rows[:5], rows[5:200], rows[200:]):
+        index.insert(frame(part))
+    assert index.shards >= 10 and index.filters.agg(F.max("keys")).first()[0] <= 4 * 20
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in index.apply(frame(rows)).collect())
+    assert got == sorted(brute.deduped([(*r, None, None, None) for r in rows]))
+
+
 def test_cuckoo_filter():
     from bookflow.llm.line_dedup import CuckooFilter
 
