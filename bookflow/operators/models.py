@@ -1,8 +1,12 @@
 """Model fitting with the ML library: boosted and random trees, ridge, adversarial ranking,
-residual codes and pseudo-labels. Trees grow level by level and differ from leaf-wise learners."""
+residual codes and pseudo-labels. Trees grow level by level and differ from leaf-wise learners.
+
+Fits that repeat (seeds, folds, rounds, levels) read one table held in the shared folder, so that
+the rows behind it are computed once whatever the number of fits."""
 
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -11,7 +15,8 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from ..schema import KEY
-from .linear import predicted, ridge_fit
+from .lineage import cut
+from .linear import moments, predicted, ridge_fit
 from .preprocess import _with_row, average_rank
 from .quantile import exact_quantiles
 
@@ -32,17 +37,61 @@ def seed_average(make, train, score, seeds, keys=(KEY,)):
 
 def boosted_trees(df, names, train_filter, score_filter, seeds=(1, 2), depth=4, rounds=20, weight=None):
     """Gradient-boosted regression on the training months, averaged over seeds."""
-    v = assembled(df, names)
+    v = cut(assembled(df, names))
+    return seed_average(lambda seed: _booster(seed, depth, rounds, weight), v.filter(train_filter), v.filter(score_filter), seeds)
 
-    def make(seed):
-        m = GBTRegressor(labelCol="target", maxDepth=depth, maxIter=rounds, stepSize=0.1, subsamplingRate=0.8, seed=seed)
-        return m.setWeightCol(weight) if weight else m
 
-    return seed_average(make, v.filter(train_filter), v.filter(score_filter), seeds)
+def _booster(seed, depth, rounds, weight=None):
+    m = GBTRegressor(labelCol="target", maxDepth=depth, maxIter=rounds, stepSize=0.1, subsamplingRate=0.8, seed=seed)
+    return m.setWeightCol(weight) if weight else m
+
+
+def round_cosines(model, df, target="target"):
+    """Cosine of target and prediction after each round of a boosted ensemble, from one pass over `df`.
+
+    Each tree's share is a column; the product sums of these columns and the target give every partial sum's.
+    """
+    names = [f"_tree_{i}" for i in range(len(model.trees))]
+    for name, tree in zip(names, model.trees):
+        df = tree.setPredictionCol(name).transform(df)
+    n, mean, cov = moments(df, [*names, target])
+    products = n * (cov + np.outer(mean, mean))
+    w = np.array(model.treeWeights)
+    own = np.cumsum(np.cumsum(products[:-1, :-1] * np.outer(w, w), 0), 1).diagonal()
+    size = np.sqrt(np.maximum(own, 0.0) * products[-1, -1])
+    return np.divide(np.cumsum(w * products[:-1, -1]), size, out=np.zeros(len(w)), where=size > 0)
+
+
+def best_round(scores, patience):
+    """Rounds to keep: the first with the best score, looking no further once `patience` rounds brought nothing better."""
+    best = 0
+    for i, score in enumerate(scores):
+        if score > scores[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def stopped_trees(df, names, train_filter, valid_filter, score_filter, seeds=(1, 2), depth=4, rounds=60, patience=15, more=1.1):
+    """Boosting stopped by the cosine of the validation months: (mean prediction over seeds, [(seed, rounds kept, cosine)]).
+
+    Each seed's ensemble is fitted again on training and validation months together, with `more` times the rounds kept.
+    """
+    v = cut(assembled(df, names))
+    train, valid = v.filter(train_filter), v.filter(valid_filter)
+    kept = []
+    for seed in seeds:
+        scores = round_cosines(_booster(seed, depth, rounds).fit(train), valid)
+        n = best_round(scores, patience)
+        kept.append((seed, n, float(scores[n - 1])))
+    grown = {seed: max(1, int(n * more)) for seed, n, _ in kept}
+    both = v.filter(F.expr(train_filter) | F.expr(valid_filter))
+    return seed_average(lambda seed: _booster(seed, depth, grown[seed]), both, v.filter(score_filter), seeds), kept
 
 
 def random_forest(df, names, train_filter, score_filter, seeds=(1,), depth=6, trees=20):
-    v = assembled(df, names)
+    v = cut(assembled(df, names))
     make = lambda seed: RandomForestRegressor(labelCol="target", maxDepth=depth, numTrees=trees, seed=seed)
     return seed_average(make, v.filter(train_filter), v.filter(score_filter), seeds)
 
@@ -60,15 +109,14 @@ def feature_gains(df, names, train_filter, seed=1, depth=4, rounds=10):
     return dict(zip(names, m.featureImportances.toArray().tolist()))
 
 
-def adversarial(train, test, names, seed=1, rounds=10):
-    """Can a classifier tell test from train? Rows of out-of-fold scores, AUC and feature gains.
+def _halves(train, test, names):
+    """Both tables with `label` 0 and 1 and a fold by the hash of the id, held for all fits."""
+    train, test = (df.select(KEY, *names).withColumn("label", F.lit(x)) for df, x in ((train, 0.0), (test, 1.0)))
+    return cut(train.unionByName(test).withColumn("fold", F.pmod(F.hash(KEY), F.lit(2))))
 
-    Two folds by id parity; each half is scored by the model of the other.
-    """
-    both = train.select(KEY, *names).withColumn("label", F.lit(0.0)).unionByName(
-        test.select(KEY, *names).withColumn("label", F.lit(1.0))
-    )
-    v = assembled(both, names).withColumn("fold", F.pmod(F.hash(KEY), F.lit(2)))
+
+def _told_apart(both, names, seed, rounds):
+    v = assembled(both, names)
     scored, gains = [], [0.0] * len(names)
     for k in (0, 1):
         m = GBTClassifier(maxDepth=3, maxIter=rounds, seed=seed).fit(v.filter(c("fold") != k))
@@ -79,11 +127,20 @@ def adversarial(train, test, names, seed=1, rounds=10):
     return out, auc, dict(zip(names, gains))
 
 
-def drop_shifted(train, test, names, keep_auc=0.55, step=1, seed=1):
+def adversarial(train, test, names, seed=1, rounds=10):
+    """Can a classifier tell test from train? Rows of out-of-fold scores, AUC and feature gains.
+
+    Two folds by the hash of the id; each half is scored by the model of the other.
+    """
+    return _told_apart(_halves(train, test, names), names, seed, rounds)
+
+
+def drop_shifted(train, test, names, keep_auc=0.55, step=1, seed=1, rounds=10):
     """Drop the most telling features until train and test look alike: (kept, [(auc, dropped)])."""
     kept, history = list(names), []
+    both = _halves(train, test, names)
     while len(kept) > step:
-        _, auc, gains = adversarial(train, test, kept, seed)
+        _, auc, gains = _told_apart(both, kept, seed, rounds)
         worst = sorted(kept, key=lambda n: -gains[n])[:step]
         history.append((auc, worst if auc > keep_auc else []))
         if auc <= keep_auc:
@@ -103,14 +160,17 @@ def rank_auc(df, score, label):
 
 
 def residual_codes(df, column="target", levels=2, size=8, seed=1):
-    """Residual quantisation: at each level a k-means code of what earlier levels left over."""
-    out = df.withColumn("_res", c(column))
+    """Residual quantisation: at each level a k-means code of what earlier levels left over.
+
+    A level reads what the one before it wrote.
+    """
+    out = cut(df.withColumn("_res", c(column)))
     for level in range(levels):
         v = VectorAssembler(inputCols=["_res"], outputCol="_v").transform(out)
         m = KMeans(k=size, seed=seed, featuresCol="_v", predictionCol=f"code_{level}").fit(v)
         centres = F.array(*[F.lit(float(x[0])) for x in m.clusterCenters()])  # `size` numbers
         out = m.transform(v).drop("_v")
-        out = out.withColumn("_res", c("_res") - F.element_at(centres, c(f"code_{level}") + 1))
+        out = cut(out.withColumn("_res", c("_res") - F.element_at(centres, c(f"code_{level}") + 1)))
     return out.withColumnRenamed("_res", "residual")
 
 

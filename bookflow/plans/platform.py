@@ -489,6 +489,12 @@ def model_boosted_trees(spark, path):
     return present(models.boosted_trees(features(spark, path), MODEL_FEATURES, TRAIN, SCORE, depth=3, rounds=5))
 
 
+@register("model_stopped_trees")
+def model_stopped_trees(spark, path):
+    out, _ = models.stopped_trees(features(spark, path), MODEL_FEATURES, "month < 40", "month >= 40 AND month < 50", SCORE, depth=3, rounds=8, patience=3)
+    return present(out)
+
+
 @register("model_random_forest")
 def model_random_forest(spark, path):
     return present(models.random_forest(features(spark, path), MODEL_FEATURES, TRAIN, SCORE, trees=8, depth=4))
