@@ -96,6 +96,53 @@ def test_shards(spark, hard, case):
         assert max(held.values()) <= mean + largest and min(held.values()) >= mean - largest
 
 
+def leaf_bytes(got):
+    out = defaultdict(list)
+    for g in got:
+        out[g.shard].append((g["size"], g.text_crc32))
+    return out
+
+
+@pytest.mark.parametrize("target", [3000, 24794])
+def test_leaves_reach_their_target(spark, target):
+    from bookflow.llm.kd_shards import kd_shards
+
+    leaves = leaf_bytes(kd_shards(spark.read.parquet(f"{SMALL}/documents.parquet"), target_bytes=target).collect())
+    assert sorted(leaves) == list(range(len(leaves))) and len(leaves) > 10
+    over = [v for v in leaves.values() if sum(size for size, _ in v) > target]
+    assert all(len(set(v)) == 1 for v in over)  # one text, or a part of its copies
+    assert sum(len(v) for v in leaves.values()) == len(small_rows(spark))
+
+
+def test_shards_of_a_hot_group(spark):
+    from bookflow.llm.kd_shards import kd_shards
+
+    docs = spark.range(30000, numPartitions=4).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN concat('text ', id % 300) END AS text", "'en' AS lang", "CAST(id % 2 AS string) AS source")
+    spark.conf.set("bookflow.rowsPerSlice", "1000")
+    try:
+        got = kd_shards(docs, shards=8, group_share=0.1).collect()
+    finally:
+        spark.conf.unset("bookflow.rowsPerSlice")
+    leaves = leaf_bytes(got)
+    size = {k: sum(s for s, _ in v) for k, v in leaves.items()}
+    assert len(got) == 30000 and sorted(g.doc_id for g in got) == list(range(30000))
+    assert max(size.values()) <= 1.1 * min(size.values())
+    # copies that fit a shard stay together
+    homes = defaultdict(set)
+    for g in got:
+        homes[g.text_crc32].add(g.shard)
+    assert sum(len(v) > 1 for v in homes.values()) <= 1
+
+
+def test_one_text_is_one_leaf(spark):
+    from bookflow.llm.kd_shards import kd_shards
+
+    docs = spark.createDataFrame([(1, "a long text " * 50, "en", "s")], "doc_id long, text string, lang string, source string")
+    assert [g.shard for g in kd_shards(docs, target_bytes=10).collect()] == [0]
+    assert len(kd_shards(docs, shards=4).collect()) == 1
+    assert kd_shards(docs.limit(0), target_bytes=10).collect() == []
+
+
 def test_token_counts(spark, hard):
     import sentencepiece
 
