@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import expr as X
 from ..functions import stats
-from ..operators import blend, book, contract, drift, flow, joins, models, quotes
+from ..operators import blend, book, contract, drift, flow, joins, linear, models, quotes
 from ..operators.assemble import on_bucketed_spine, on_spine
 from ..operators.lineage import checkpoint_root, cut
 from ..schema import SEQ
@@ -537,6 +537,29 @@ def model_prune_by_gain(spark, path):
     return present(spark.createDataFrame([(n, float(g), float(n in kept)) for n, g in gains.items()], "name string, gain double, kept double"), ("name",))
 
 
+GAIN_FEATURES = {"pred_a": "pred_a", "pred_b": "pred_b", "product": "pred_a * pred_b", "distance": "abs(pred_a - pred_b)"}
+
+
+@register(
+    "prune_by_correlation_gain",
+    query(
+        ["pr"],
+        "SELECT name, gain, row_number() OVER (ORDER BY gain, name) > 1 AS kept FROM ("
+        + " UNION ALL ".join(f"SELECT '{n}' AS name, abs(corr({e}, target)) AS gain FROM pr WHERE month < 50" for n, e in GAIN_FEATURES.items())
+        + ")",
+        keys=("name",),
+    ),
+)
+def prune_by_correlation_gain(spark, path):
+    """Pruning by a gain that SQL can state: the absolute correlation with the target on the training months."""
+    names = list(GAIN_FEATURES)
+    x = predictions(spark, path).filter(TRAIN).select("target", *[F.expr(e).alias(n) for n, e in GAIN_FEATURES.items()])
+    _, _, cov = linear.moments(x, [*names, "target"])
+    gains = {n: abs(float(cov[i, -1])) / float(cov[i, i] * cov[-1, -1]) ** 0.5 for i, n in enumerate(names)}
+    kept = drift.prune_by_gain(gains, 0.25)
+    return present(spark.createDataFrame([(n, g, float(n in kept)) for n, g in gains.items()], "name string, gain double, kept double"), ("name",))
+
+
 @register("residual_codes")
 def residual_codes(spark, path):
     out = models.residual_codes(predictions(spark, path), levels=2, size=4)
