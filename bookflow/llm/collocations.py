@@ -2,8 +2,8 @@
 
 1. Texts are read once and kept as blocks: the numbers of a block's words in order, with a break between pieces of text,
    and its dictionary. A block has about `block_bytes` of text and is the only thing a task holds of it.
-2. Words are counted by language over the dictionaries; those of `least` occurrences or more get a number, which goes back
-   to the blocks that have the word.
+2. The words of the dictionaries are dealt to shards by language and word, once. A shard counts its words over all blocks, gives those
+   of `least` occurrences or more a number, and tells each block the numbers of its words in one packed row.
 3. An n-gram is packed as two numbers: that of its first and that of its last n - 1 words (for n = 2 the two word ids). Both
    must be frequent, as a phrase is no more frequent than its parts; so nothing that could reach `least` is left out.
    Each block counts its pairs in counting quotient filters (`quotient_filter`), one a shard; a shard merges the filters
@@ -22,6 +22,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ TOP = 2000
 BLOCK_BYTES = 4 << 20
 #: Pairs, before equal ones are joined, that a shard gets on average.
 SHARD_PAIRS = 1_000_000
+#: Shards of words at least, so that many tasks share a small table.
+WORD_SHARDS = 64
 
 #: Bytes that end a piece of text. The byte 0xFF, which no UTF-8 text has, stands for them.
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -212,15 +215,57 @@ def _renumbered(width, shard_bits, stride):
     return run
 
 
-def _named():
+def _words(least):
+    """Count the words of a shard.
+
+    Rows: block -1 with each frequent word, its count a and its place among them; then for each block the places of its frequent
+    words in its dictionary, rising, and their places among the frequent ones (names).
+    """
+
+    def run(key, table):
+        lang, word = (table.column(c).cast(pa.large_binary()) for c in ("lang", "word"))
+        # no text has the byte 0xFF
+        code = pc.binary_join_element_wise(lang, word, pa.scalar(b"\xff", pa.large_binary())).combine_chunks().dictionary_encode()
+        kind, count = code.indices.to_numpy().astype(np.int64), table.column("count").to_numpy()
+        sums = np.zeros(len(code.dictionary), np.int64)
+        np.add.at(sums, kind, count)
+        some = np.flatnonzero(sums >= least)
+        name = np.full(len(sums), -1, np.int64)
+        name[some] = np.arange(len(some))
+        frequent = [w.split(b"\xff", 1) for w in code.dictionary.take(pa.array(some)).to_pylist()]
+        number, block, local = name[kind], table.column("block").to_numpy(), table.column("local").to_numpy()
+        own = np.flatnonzero(number >= 0)
+        own = own[np.lexsort((local[own], block[own]))]
+        blocks, begin = np.unique(block[own], return_index=True)
+        parts = [own[a:b] for a, b in zip(begin, [*begin[1:], len(own)])]
+        none = [None] * len(parts)
+        columns = [
+            pa.array([key[0].as_py()] * (len(some) + len(parts)), pa.int64()),
+            pa.array(np.r_[np.full(len(some), -1), blocks], pa.int64()),
+            pa.array([None] * len(some) + [_stored(np.diff(local[x].astype(np.int64), prepend=0)) for x in parts], pa.binary()),
+            pa.array([None] * len(some) + [_stored(number[x]) for x in parts], pa.binary()),
+            pa.array([x.decode() for x, _ in frequent] + none, pa.string()),
+            pa.array([x for _, x in frequent] + none, pa.binary()),
+            pa.array(sums[some].tolist() + none, pa.int64()),
+            pa.array([*range(len(some)), *none], pa.int64()),
+            pa.array([len(some)] * (len(some) + len(parts)), pa.int64()),
+        ]
+        return pa.Table.from_arrays(columns, ["shard", "block", "places", "names", "lang", "word", "a", "place", "kept"])
+
+    return run
+
+
+def _named(stride):
     """Numbers of words instead of their places in the block's dictionary."""
 
     def run(batches):
         for batch in batches:
-            for block, raw, place, number in zip(*(batch.column(c) for c in ("block", "numbers", "places", "names"))):
-                numbers, place = _numbers(raw.as_py()), place.values.to_numpy().astype(np.int64)
+            for block, raw, found in zip(*(batch.column(c) for c in ("block", "numbers", "found"))):
+                numbers = _numbers(raw.as_py())
+                parts = [(np.cumsum(_numbers(f["places"])), _numbers(f["names"]) + f["shard"] * stride) for f in found.as_py()]
+                place, number = (np.concatenate(x) for x in zip(*parts))
                 name = np.full(max(int(numbers.max(initial=-1)), int(place.max(initial=-1))) + 2, -1, np.int64)
-                name[place] = number.values.to_numpy()
+                name[place] = number
                 name[-1] = -1
                 yield _block(block, name[numbers])
 
@@ -255,20 +300,24 @@ def frequent_phrases(docs, least=LEAST, longest=LONGEST, block_bytes=BLOCK_BYTES
     """
     cut = blocks(docs, block_bytes)
     words = cut.select("block", F.posexplode("entries").alias("local", "e")).select("block", "local", "e.lang", "e.word", "e.count")
-    total = held(words.groupBy("lang").agg(F.sum("count").alias("n")), "totals")
-    vocabulary = words.groupBy("lang", "word").agg(F.sum("count").alias("a")).where(F.col("a") >= least)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    vocabulary = held(vocabulary.select("lang", "word", "a", F.spark_partition_id().cast("long").alias("part"), row.alias("row")), "vocabulary")
-    high, stride, some = vocabulary.agg(F.max("part"), F.max("row") + 1, F.count("*")).first()
-    if not some:
+    # long words weigh more, as a shard holds the bytes of its words
+    weight = F.sum(1 + F.shiftright(F.octet_length("word"), 6))
+    total = held(words.groupBy("lang").agg(F.sum("count").alias("n"), weight.alias("weight")), "totals")
+    shards = max(WORD_SHARDS, 1 << ((total.agg(F.sum("weight")).first()[0] or 0) // shard_pairs).bit_length())
+    total = total.drop("weight")
+    dealt = words.withColumn("shard", F.pmod(F.xxhash64("lang", "word"), F.lit(shards))).groupBy("shard")
+    vocabulary = "shard long, block long, places binary, names binary, lang string, word binary, a long, place long, kept long"
+    counted = held(dealt.applyInArrow(_words(least), vocabulary), "words")
+    stride = counted.agg(F.max("kept")).first()[0]
+    if not stride:
         return [], total
-    number = F.col("part") * stride + F.col("row")
     single = F.array("a")
-    tables = [held(vocabulary.select(number.alias("number"), "lang", "a", F.array(F.col("word").cast("string")).alias("words"), single.alias("firsts"), single.alias("lasts")), "phrases1")]
-    named = vocabulary.select("lang", "word", number.alias("number"))
-    back = words.drop("count").join(named.hint("merge"), ["lang", "word"]).groupBy("block").agg(F.collect_list("local").alias("places"), F.collect_list("number").alias("names"))
-    text = held(cut.select("block", "numbers").join(back.hint("merge"), "block").mapInArrow(_named(), "block long, numbers binary, n long"), "numbers1")
-    top = (high + 1) * stride - 1
+    number = F.col("shard") * stride + F.col("place")
+    phrases = counted.where("block = -1").select(number.alias("number"), "lang", "a", F.array(F.col("word").cast("string")).alias("words"), single.alias("firsts"), single.alias("lasts"))
+    tables = [held(phrases, "phrases1")]
+    back = counted.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "places", "names")).alias("found"))
+    text = held(cut.select("block", "numbers").join(back.hint("merge"), "block").mapInArrow(_named(stride), "block long, numbers binary, n long"), "numbers1")
+    top = shards * stride - 1
     for n in range(2, longest + 1):
         width = max(1, int(top).bit_length())
         places = text.agg(F.sum("n")).first()[0] or 0

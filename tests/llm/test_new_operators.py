@@ -208,6 +208,24 @@ def test_collocations_of_overlaps_and_long_runs(spark):
     assert found(got) == found(phrases(rows, 2))
 
 
+def test_words_go_back_to_blocks_in_packed_rows(spark, monkeypatch):
+    from bookflow.llm import collocations as c
+
+    kept = {}
+    monkeypatch.setattr(c, "held", lambda df, name, held=c.held: kept.setdefault(name, held(df, name)))
+    rows = [(k, " ".join(f"w{(k * j) % 499}" for j in range(1, 400)), ("en", None)[k % 2], "s") for k in range(1, 40)]
+    tables, _ = c.frequent_phrases(spark.createDataFrame(rows, COLUMNS), least=5, longest=2, block_bytes=1000)
+    count, entries = Counter(), Counter()
+    for _, text, lang, _ in rows:
+        count.update((lang or "und", w) for w in text.split())
+        entries.update({(lang or "und", w) for w in text.split()})
+    assert {(r.lang, r.words[0]): r.a for r in tables[0].collect()} == {w: n for w, n in count.items() if n >= 5}
+    # a block gets at most one row of each shard, not one of each word
+    back, blocks = kept["words"].where("block >= 0"), kept["blocks"].count()
+    assert blocks > 5 and kept["numbers1"].count() == blocks
+    assert back.count() == back.select("block", "shard").distinct().count() <= blocks * c.WORD_SHARDS < sum(entries.values())
+
+
 @pytest.mark.parametrize("width", [1, 5, 16, 32, 40])
 def test_quotient_filter(width):
     rng = np.random.default_rng(width)
