@@ -146,13 +146,33 @@ def compare_runs(left, right, metric="cosine", without=66):
 # ensembles ---------------------------------------------------------------------------------------
 
 
+#: Models of a sample that one mask tells apart.
+MASK = 64
+
+
 def prediction_mean(long, model_keys, group=()):
-    """Mean and number of models per sample; a model contributes a sample at most once."""
-    once = long.groupBy(*group, KEY, *model_keys).agg(
-        F.sum(finite(c("pred"))).alias("pred"), F.count(F.lit(1)).alias("k")
+    """Mean and number of models per sample; a model contributes a sample at most once.
+
+    The models are numbered and those of a sample are bits of a mask, so rows are summed where they are read, and one row per
+    sample and task is shuffled. More than 64 models take a mask for each 64 and a second sum.
+    """
+    of = [*group, KEY]
+    number = F.row_number().over(Window.orderBy(*model_keys)) - 1  # one row per model
+    models = cut(long.select(*model_keys).distinct().select(*[c(k).alias(f"_of_{k}") for k in model_keys], number.alias("_model")))
+    many = models.count() > MASK
+    same = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"_of_{k}")) for k in model_keys])
+    rows = long.join(F.broadcast(models), same).withColumn("_mask", F.expr(f"_model div {MASK}"))
+    once = rows.groupBy(*of, *["_mask"] * many).agg(
+        F.sum(finite(c("pred"))).alias("pred"),
+        F.count(F.lit(1)).alias("k"),
+        F.bit_or(F.expr(f"shiftleft(1L, _model % {MASK})")).alias("_bits"),
     )
-    checked = F.when(c("k") > 1, F.raise_error(F.lit("duplicate model prediction"))).otherwise(c("pred"))
-    return once.groupBy(*group, KEY).agg(F.avg(checked).alias("pred"), F.count(F.lit(1)).alias("models"))
+    different = F.bit_count("_bits").cast("long")
+    checked = F.when(c("k") > different, F.raise_error(F.lit("duplicate model prediction"))).otherwise(c("pred"))
+    once = once.select(*of, checked.alias("pred"), different.alias("models"))
+    if many:
+        once = once.groupBy(*of).agg(F.sum("pred").alias("pred"), F.sum("models").alias("models"))
+    return once.select(*of, (c("pred") / c("models")).alias("pred"), "models")
 
 
 def coverage(mean, expected, group=()):

@@ -125,6 +125,23 @@ def test_prediction_mean_and_duplicates(spark):
         evaluate.prediction_mean(long.union(long), ["model"]).collect()
 
 
+def test_prediction_mean_sums_before_it_shuffles(spark):
+    models = [(a, f, s) for a in "ab" for f in range(34) for s in (1, None)]
+    rows = [(a, f, s, i, float(f + i)) for i in range(40) for a, f, s in models if not (a == "b" and i == 3 and f > 1)]
+    long = spark.createDataFrame(rows, "arm string, fold int, seed int, sample_id int, pred double").coalesce(2)
+    few = long.where("fold < 10")  # 20 models of an arm, then 68
+    for part, folds in ((few, 10), (long, 34)):
+        mean = evaluate.prediction_mean(part, ["fold", "seed"], ["arm"])
+        got = {(r.arm, r.sample_id): (r.pred, r.models) for r in mean.collect()}
+        n = lambda a, i: 2 if (a, i) == ("b", 3) else folds
+        assert got == {(a, i): ((n(a, i) - 1) / 2 + i, 2 * n(a, i)) for a in "ab" for i in range(40)}
+        with pytest.raises(Exception, match="duplicate model"):
+            evaluate.prediction_mean(part.union(part.where("sample_id = 7 AND fold = 3 AND seed IS NULL AND arm = 'b'")), ["fold", "seed"], ["arm"]).collect()
+    # one exchange, of sums
+    plan = evaluate.prediction_mean(few, ["fold", "seed"], ["arm"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") < plan.index("partial_sum")
+
+
 def test_clip_comes_before_zero(spark):
     df = spark.createDataFrame([(0, 0.0, True), (1, 5.0, False)], "sample_id int, p double, nodata boolean")
     b = spark.createDataFrame([(1.0, 2.0)], "low double, high double")
